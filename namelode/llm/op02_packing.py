@@ -7,8 +7,8 @@ length prices new patterns until none improves the bound by more than GAP. Patte
 at most a few items a pattern, is packed best-fit decreasing. Patterns say how many sequences take how many pieces of each
 class: a piece's rank within its class, computed by distributed counting, tells its sequence.
 
-Lengths up to EXACT are classes of their own; longer ones are rounded up to a multiple of STEP, which costs STEP/2 padding
-tokens a piece on average. A sequence whose length is a power of two needs no padding; the plan does not count on that.
+A class is a length rounded up to a multiple of a unit, the largest of UNITS that costs no more than ROUNDING of all tokens
+as padding; so long pieces make few wide classes and short ones narrow classes. A sequence whose length is a power of two needs no padding; the plan does not count on that.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import running_offsets, written
 
-EXACT, STEP, GAP = 64, 4, 2e-4
+UNITS, ROUNDING, GAP = (16, 8, 4, 2, 1), 4e-3, 1e-3
+BATCH_COLUMNS = 4
 BUCKET_ROWS = 4096
 MEMO_CHUNKS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -106,58 +108,82 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, i
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, PIECES)
 
 
-def class_size(length: int) -> int:
-    return length if length <= EXACT else -(-length // STEP) * STEP
+def unit_of(lengths: dict[int, int], capacity: int) -> int:
+    total = sum(n * k for n, k in lengths.items())
+    waste = lambda u: sum((-n % u) * k for n, k in lengths.items())
+    return next((u for u in UNITS if capacity % u == 0 and waste(u) <= ROUNDING * total), 1)
 
 
-def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The unbounded knapsack: counts of sizes (ascending) that fit the capacity and are worth most."""
+def priced_patterns(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: int = BATCH_COLUMNS) -> tuple[float, list[np.ndarray]]:
+    """The unbounded knapsack over sizes (ascending): its best value, and the best patterns that begin with different sizes."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
         if k := upto[w]:
             value = worth[:k] + best[w - sizes[:k]]
-            i = int(value.argmax())
-            if value[i] > best[w]:
+            i = value.argmax()
+            if value[i] > best[w - 1]:
                 best[w], took[w] = value[i], i
-    counts, w = np.zeros(len(sizes), np.int64), capacity
-    while w > 0:
-        if took[w] >= 0:
-            counts[took[w]] += 1
-            w -= sizes[took[w]]
-        else:
-            w -= 1
-    return float(best[capacity]), counts
+                continue
+        best[w] = best[w - 1]
+    begun = worth + best[capacity - sizes]
+    out = []
+    for i in np.argsort(-begun, kind="stable")[:most]:
+        counts, w = np.zeros(len(sizes), np.int64), capacity - int(sizes[i])
+        counts[i] = 1
+        while w > 0:
+            if took[w] >= 0:
+                counts[took[w]] += 1
+                w -= int(sizes[took[w]])
+            else:
+                w -= 1
+        out.append(counts)
+    return float(best[capacity]), out
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[float, np.ndarray]]:
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 8000) -> list[tuple[float, np.ndarray]]:
     """Patterns and how often to use each: the linear program's optimum up to gap (any stop leaves a feasible plan)."""
     m = len(sizes)
-    patterns = [np.eye(m, dtype=np.int64)[i] * (capacity // sizes[i]) for i in range(m)]
+    unit = np.eye(m)
+    basis, cost = [unit[i] * (capacity // sizes[i]) for i in range(m)], np.ones(m)  # a pattern costs a sequence, a surplus nothing
     inverse = np.diag(1.0 / (capacity // sizes))
     use = inverse @ demand
-    for turn in range(rounds):
-        if turn % 200 == 199:
-            inverse = np.linalg.inv(np.array(patterns, float).T)
-            use = np.maximum(inverse @ demand, 0)
-        worth = inverse.sum(0)
-        value, pattern = best_pattern(sizes, np.maximum(worth, 0), capacity)
-        if value <= 1 + gap:  # use.sum() / value is a lower bound on the optimum
-            break
-        step = inverse @ pattern
+    ideal = float(sizes @ demand) / capacity
+
+    def enter(column: np.ndarray, price: float) -> bool:
+        nonlocal use, inverse
+        if (cost @ inverse) @ column <= price + 1e-9:
+            return False
+        step = inverse @ column
         able = step > 1e-9
         ratio = np.where(able, use / np.where(able, step, 1), np.inf)
         r = int(ratio.argmin())
-        if not np.isfinite(ratio[r]):
+        if np.isfinite(ratio[r]):
+            use = np.maximum(use - ratio[r] * step, 0)
+            use[r] = ratio[r]
+            row = inverse[r] / step[r]
+            inverse -= np.outer(step, row)
+            inverse[r] = row
+            basis[r], cost[r] = column, price
+        return True
+
+    center, pull, bound = sizes / capacity, 0.95, ideal  # prices by size alone are feasible; pulled towards them, prices settle sooner
+    for turn in range(rounds):
+        for i in np.flatnonzero(cost @ inverse < -1e-9):  # more of a class than asked for is allowed
+            enter(-unit[i], 0.0)
+        worth = pull * center + (1 - pull) * np.maximum(cost @ inverse, 0)
+        value, columns = priced_patterns(sizes, worth, capacity)
+        bound = max(bound, float(worth @ demand) / value)
+        if cost @ use <= bound * (1 + gap):
             break
-        use = np.maximum(use - ratio[r] * step, 0)
-        use[r] = ratio[r]
-        row = inverse[r] / step[r]
-        inverse -= np.outer(step, row)
-        inverse[r] = row
-        patterns[r] = pattern
-    return [(float(u), p) for u, p in zip(use, patterns) if u > 1e-9]
+        if not any([enter(c, 1.0) for c in columns]):
+            if pull == 0:
+                break
+            pull = 0 if pull < 0.1 else pull / 2
+        if turn % 100 == 99:  # against rounding errors
+            inverse = np.linalg.inv(np.array(basis).T)
+            use = np.maximum(inverse @ demand, 0)
+    return [(float(u), p.astype(np.int64)) for u, p, c in zip(use, basis, cost) if u > 1e-9 and c]
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -177,7 +203,7 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndar
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(class size, first rank, last rank + 1, first sequence, pieces a sequence) for runs of ranks within each class."""
+    """(class, first rank, last rank + 1, first sequence, pieces a sequence) for runs of ranks within each class."""
     if not histogram:
         return []
     sizes = np.array(sorted(histogram))
@@ -205,11 +231,14 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, seed: int = 17
     an empty result. Other columns are not read. tokenizer: a file that every executor can open.
     """
     spark = docs.sparkSession
-    size = F.when(F.col("length") <= EXACT, F.col("length")).otherwise(F.ceil(F.col("length") / STEP) * STEP).cast("long")
-    pieces = written(pieces_of(docs, tokenizer, capacity, id_col=id_col, text_col=text_col).withColumn("size", size), "pieces")
-    histogram = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}  # a row a class at most
+    pieces = written(pieces_of(docs, tokenizer, capacity, id_col=id_col, text_col=text_col), "pieces")
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length up to the capacity at most
+    unit, histogram = unit_of(lengths, capacity), Counter()
+    for n, k in lengths.items():
+        histogram[-(-n // unit)] += k
+    pieces = pieces.withColumn("size", F.expr(f"(length + {unit - 1}L) div {unit}L"))
     classes = spark.createDataFrame([(s, max(1, -(-n // BUCKET_ROWS))) for s, n in histogram.items()], "c_size long, buckets long")
-    runs = spark.createDataFrame(plan(histogram, capacity), "r_size long, lo long, hi long, base long, each long")
+    runs = spark.createDataFrame(plan(histogram, capacity // unit), "r_size long, lo long, hi long, base long, each long")
     keyed = pieces.join(F.broadcast(classes), F.col("size") == F.col("c_size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")).withColumn("bucket", F.pmod("h", "buckets"))
     counts = running_offsets(keyed.groupBy("size", "bucket").agg(F.count("*").alias("n")), ["size"], "bucket", "n").select(F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), "before")
     ties = ["h", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
