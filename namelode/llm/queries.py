@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op01_sharding import OP1_SQL, op1_query
 from .op02_packing import op2_query
 from .op03_licenses import op3_query
+from .op04_jaccard import OP4_SQL, op4_query
 from .op08_media import op8_query
 from .op09_topk import OP9_SQL, op9_query
 from .op10_pieces import op10_query
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_stratified_shards": op1_query,
     "op2_cutting_stock": op2_query,
     "op3_license_notices": op3_query,
+    "op4_jaccard_classes": op4_query,
     "op8_media_archives": op8_query,
     "op9_maxscore_topk": op9_query,
     "op10_merge_pieces": op10_query,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_stratified_shards": OP1_SQL,
+    "op4_jaccard_classes": OP4_SQL,
     "op9_maxscore_topk": OP9_SQL,
 }
