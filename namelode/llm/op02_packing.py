@@ -168,6 +168,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         return True
 
     center, pull, bound = sizes / capacity, 0.95, ideal  # prices by size alone are feasible; pulled towards them, prices settle sooner
+    since = float(cost @ use)
     for turn in range(rounds):
         for i in np.flatnonzero(cost @ inverse < -1e-9):  # more of a class than asked for is allowed
             enter(-unit[i], 0.0)
@@ -180,9 +181,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
             if pull == 0:
                 break
             pull = 0 if pull < 0.1 else pull / 2
-        if turn % 100 == 99:  # against rounding errors
-            inverse = np.linalg.inv(np.array(basis).T)
+        if turn % 100 == 99:
+            inverse = np.linalg.inv(np.array(basis).T)  # against rounding errors
             use = np.maximum(inverse @ demand, 0)
+            if (last := since - float(cost @ use)) < max(gap / 5 * since, 0.05) and pull == 0:
+                break
+            pull, since = 0 if last < max(gap * since, 0.5) else pull, float(cost @ use)
     return [(float(u), p.astype(np.int64)) for u, p, c in zip(use, basis, cost) if u > 1e-9 and c]
 
 
