@@ -1,0 +1 @@
+"""Indexing and searching lists of internet domain names on Spark."""

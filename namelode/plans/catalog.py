@@ -2,9 +2,353 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import json
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import text as T
+from ..operators import index as I
+from ..operators import search as S
+from ..operators import sync as Y
+from ..operators.normalize import normalize, with_status
+from ..operators.segment import DictionarySegmenter, add_tokens
+from ..session import configure
+from ..sources import lines as L
+from ..sources.requests import from_json, query_rows
+from . import fixtures, snapshot
+from . import oracles as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return register
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.scan(fixtures.raw_domains(spark, sf_dir)).select("seq", "s")
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_status(normalize(scanned(spark, sf_dir), "s"))
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.build_docs(scanned(spark, sf_dir), fixtures.segmenter(spark, sf_dir), "seq")
+
+
+def index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.index_of(docs(configure(spark), sf_dir))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", T.join_tokens(F.col("tokens")))
+
+
+# scans and normalizing
+
+
+@query(O.corpus("SELECT seq, s FROM scanned"))
+def scan_parse(spark, sf_dir):
+    return scanned(spark, sf_dir)
+
+
+@query(O.corpus("SELECT count(*) AS n_lines FROM raw_domains WHERE trim(raw) <> '' AND trim(raw) NOT LIKE '#%' AND trim(raw) LIKE '%.%'"))
+def scan_count(spark, sf_dir):
+    return L.count_lines(fixtures.raw_domains(spark, sf_dir))
+
+
+PADDED = ["\t a.com \n", " b.net　", "c.org", "  d e.io ", ""]
+
+
+@query(r"SELECT n::BIGINT AS n, regexp_replace(raw, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS trimmed FROM " + O.values(list(enumerate(PADDED))) + " AS t(n, raw)")
+def norm_trim(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(PADDED)), "n long, raw string").select("n", T.trim(F.col("raw")).alias("trimmed"))
+
+
+@query(O.corpus("SELECT seq, d AS domain_exact FROM status"))
+def norm_domain(spark, sf_dir):
+    return normalized(spark, sf_dir).select("seq", "domain_exact")
+
+
+@query(O.corpus("SELECT seq, label, tld FROM status"))
+def norm_split(spark, sf_dir):
+    return normalized(spark, sf_dir).select("seq", "label", "tld")
+
+
+@query(O.corpus("SELECT seq, strlen(label)::INTEGER AS len FROM status"))
+def norm_len(spark, sf_dir):
+    return normalized(spark, sf_dir).select("seq", "len")
+
+
+@query(O.corpus("SELECT seq, label LIKE '%-%' AS has_hyphen FROM status"))
+def norm_hyphen(spark, sf_dir):
+    return normalized(spark, sf_dir).select("seq", "has_hyphen")
+
+
+@query(O.corpus("SELECT seq, d AS domain_exact, status AS reject_reason FROM status WHERE status IN ('no_dot', 'label_too_long', 'empty_label')"))
+def norm_rejects(spark, sf_dir):
+    return normalized(spark, sf_dir).where("reject_reason is not null").select("seq", "domain_exact", "reject_reason")
+
+
+@query()
+def norm_idna(spark, sf_dir):
+    """Words of the documents that are not ASCII, as names; no SQL knows their ASCII forms."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").distinct().where(~T.is_ascii(F.col("w")))
+    return normalize(words.select(F.concat("w", F.lit(".de")).alias("raw"))).select("raw", "domain_exact", "label", "len", "reject_reason")
+
+
+@query(O.corpus("SELECT seq, label, status LIKE 'junk%' AS is_junk FROM status WHERE status IN ('ok', 'junk_repeat', 'junk_numeric')"))
+def junk_filter(spark, sf_dir):
+    return normalized(spark, sf_dir).where("reject_reason is null").select("seq", "label", T.is_junk(F.col("label")).alias("is_junk"))
+
+
+@query(O.corpus("SELECT seq, cast('0x' || substr(md5(d), 1, 12) AS BIGINT) AS id48 FROM status"))
+def domain_id48(spark, sf_dir):
+    return normalized(spark, sf_dir).select("seq", T.id48(F.col("domain_exact")).alias("id48"))
+
+
+@query(O.corpus("SELECT seq, s, ((row_number() OVER (ORDER BY seq) - 1) // 100)::BIGINT AS batch FROM scanned"))
+def batch_ids(spark, sf_dir):
+    return L.batch_ids(scanned(spark, sf_dir), "seq", 100).select("seq", "s", "batch")
+
+
+# functions
+
+
+@query("SELECT p_partkey, array_to_string(string_split(p_name, ' '), ' ') AS joined FROM part")
+def tokens_join(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.join_tokens(F.split("p_name", " ")).alias("joined"))
+
+
+SPACED = [" a  b ", "", "one", "x\ty  z"]
+
+
+@query(r"SELECT n::BIGINT AS n, array_to_string(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''), '|') AS tokens, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM " + O.values(list(enumerate(SPACED))) + " AS t(n, s)")
+def tokens_split(spark, sf_dir):
+    tokens = T.split_tokens(F.col("s"))
+    return spark.createDataFrame(list(enumerate(SPACED)), "n long, s string").select("n", F.array_join(tokens, "|").alias("tokens"), F.size(tokens).alias("n_tokens"))
+
+
+@query("SELECT p_partkey, base64(encode(p_name)) AS b64 FROM part")
+def base64_fn(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.base64(F.col("p_name").cast("binary")).alias("b64"))
+
+
+@query(O.corpus("SELECT seq, '/' || tld AS facet FROM status WHERE status = 'ok'"))
+def facet_path(spark, sf_dir):
+    return normalized(spark, sf_dir).where("status = 'ok'").select("seq", T.facet_path(F.col("tld")).alias("facet"))
+
+
+@query("SELECT p_partkey, round((p_size % 7) / 10.0::DOUBLE * 100 + (1 - (p_partkey % 63) / 63.0::DOUBLE) * 10 + least(p_retailprice / 50, 20.0) / 20, 6) AS score FROM part")
+def combined_score(spark, sf_dir):
+    score = T.combined_score(F.col("p_size") % 7, F.col("p_partkey") % 63, F.col("p_retailprice") / 50)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, 'search:' || q || '|' || coalesce(qtld, 'any') || '|' || lim || '|' || min_match AS cache_key FROM queries"))
+def cache_key(spark, sf_dir):
+    return fixtures.queries(spark).select("qid", T.cache_key(F.col("q"), F.col("tld"), F.col("lim"), F.col("min_match")).alias("cache_key"))
+
+
+# building
+
+
+@query(O.corpus("SELECT label, array_to_string(tokens, ' ') AS tokens FROM (SELECT DISTINCT label FROM status WHERE status = 'ok') JOIN segments USING (label)"))
+def segment_join(spark, sf_dir):
+    labels = normalized(spark, sf_dir).where("status = 'ok'").select("label").distinct()
+    return shown(fixtures.segmenter(spark, sf_dir).segments(labels)).select("label", "tokens")
+
+
+@query(O.corpus("SELECT doc_seq, label FROM docs WHERE len(tokens) = 0"))
+def segment_missing(spark, sf_dir):
+    return docs(spark, sf_dir).where(F.size("tokens") == 0).select("doc_seq", "label")
+
+
+@query()
+def segment_dictionary(spark, sf_dir):
+    """Labels split by a dictionary of part names; there is no SQL for the dynamic program."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count()
+    counts = {r["w"]: r["count"] for r in names.orderBy(F.col("count").desc(), "w").limit(100_000).collect()}
+    rows = normalized(spark, sf_dir).where("status = 'ok'").select("seq", "label")
+    return shown(add_tokens(rows, DictionarySegmenter(counts))).select("seq", "label", "tokens")
+
+
+@query(O.corpus(f"SELECT {O.DOC_COLUMNS} FROM docs"))
+def build_docs(spark, sf_dir):
+    return shown(docs(spark, sf_dir))
+
+
+@query(O.corpus("SELECT token, doc_seq, tf, dl FROM postings", O.INDEX))
+def build_postings(spark, sf_dir):
+    return I.postings_of(docs(spark, sf_dir))
+
+
+@query(O.corpus("SELECT status, count(*) AS n FROM status GROUP BY status"))
+def build_summary(spark, sf_dir):
+    return normalized(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(O.corpus("SELECT token, df FROM term_stats", O.INDEX))
+def term_stats(spark, sf_dir):
+    return index(spark, sf_dir).terms
+
+
+@query(O.corpus("SELECT n, round(avgdl, 6) AS avgdl FROM corpus_stats", O.INDEX))
+def corpus_stats(spark, sf_dir):
+    return index(spark, sf_dir).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+# searching
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, pos::BIGINT AS place, token FROM (SELECT qid, unnest(qtokens) AS token, unnest(range(len(qtokens))) AS pos FROM tokenized)"))
+def query_tokens(spark, sf_dir):
+    return S.tokenized(fixtures.queries(spark)).select("qid", F.posexplode("qtokens").alias("place", "token")).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, n_tokens::INTEGER AS n_tokens, candidate_limit::INTEGER AS candidate_limit FROM tokenized"))
+def candidate_limit(spark, sf_dir):
+    return S.tokenized(fixtures.queries(spark)).select("qid", "n_tokens", "candidate_limit")
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, score FROM scored"))
+def search_bm25(spark, sf_dir):
+    return S.scored(S.tokenized(fixtures.queries(spark)), index(spark, sf_dir))
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, score, r::INTEGER AS r FROM candidates"))
+def topn_candidates(spark, sf_dir):
+    return S.candidates(S.tokenized(fixtures.queries(spark)), index(spark, sf_dir)).select("qid", "doc_seq", "score", "r")
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, match_count::INTEGER AS match_count, perfect FROM matched"))
+def match_count(spark, sf_dir):
+    return S.matched(S.tokenized(fixtures.queries(spark)), index(spark, sf_dir)).select("qid", "doc_seq", "match_count", "perfect")
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, perfect_before::BIGINT AS perfect_before FROM stopped"))
+def early_stop(spark, sf_dir):
+    return S.stopped(S.matched(S.tokenized(fixtures.queries(spark)), index(spark, sf_dir))).select("qid", "doc_seq", "perfect_before")
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, has_hyphen, g::INTEGER AS g FROM grouped"))
+def rank_groups(spark, sf_dir):
+    return S.grouped(S.stopped(S.matched(S.tokenized(fixtures.queries(spark)), index(spark, sf_dir)))).select("qid", "doc_seq", "has_hyphen", "g")
+
+
+@query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, pos::INTEGER AS pos FROM placed"))
+def interleave(spark, sf_dir):
+    return S.survivors(fixtures.queries(spark), index(spark, sf_dir)).select("qid", "doc_seq", "pos")
+
+
+def results_of(*qids: int):
+    def run(spark, sf_dir):
+        return shown(S.search(query_rows(spark, [q for q in fixtures.QUERIES if not qids or q[0] in qids]), index(spark, sf_dir)))
+
+    return run
+
+
+for _name, _qids in {"search_any": (0, 5, 6), "search_multi": (5, 10), "search_tld": (1, 3, 7), "search_min_match": (2, 4), "search_dup_tokens": (2,), "search_bulk": ()}.items():
+    query(O.searched("SELECT * FROM results" + (f" WHERE qid IN ({', '.join(map(str, _qids))})" if _qids else "")), _name)(results_of(*_qids))
+
+
+@query(O.searched("SELECT q.qid::INTEGER AS qid, count(pos) AS total_candidates, coalesce(sum((pos <= p.lim)::INTEGER), 0)::BIGINT AS returned FROM queries q LEFT JOIN placed p USING (qid) GROUP BY q.qid"))
+def search_summary(spark, sf_dir):
+    return S.summaries(fixtures.queries(spark), index(spark, sf_dir))
+
+
+BODY = json.dumps({"queries": [{"q": "gear"}, {"q": "small gear", "tld": "com"}, {"q": "red red bolt", "min_match": 2}], "limit": 6})
+
+
+@query("SELECT * FROM (VALUES (0, 'gear', NULL, 6, 1), (1, 'small gear', 'com', 6, 1), (2, 'red red bolt', NULL, 6, 2)) AS t(qid, q, tld, lim, min_match)")
+def bulk_from_json(spark, sf_dir):
+    return from_json(spark.createDataFrame([(BODY,)], "body string"))
+
+
+@query()
+def search_json(spark, sf_dir):
+    """Each query's answer as JSON; its text depends on the writer, so there is no SQL."""
+    hits = S.search(fixtures.queries(spark), index(spark, sf_dir))
+    hit = F.struct("domain", "label", "tld", "length", "has_hyphen", "tokens", "match_count", "score")
+    return hits.groupBy("qid").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("pos", hit.alias("hit")))), lambda x: x["hit"]).alias("results"), F.max("total_candidates").alias("total_candidates"))).alias("body"))
+
+
+@query(O.corpus("SELECT qid, domain_exact AS domain, label, tld, len::BIGINT AS length, has_hyphen, array_to_string(tokens, ' ') AS tokens FROM docs JOIN lookups ON domain_exact = name QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_seq) = 1", O.LOOKUP))
+def exact_lookup(spark, sf_dir):
+    asked = normalize(spark.createDataFrame(fixtures.LOOKUPS, "qid int, raw string"))
+    return shown(S.exact(docs(spark, sf_dir), asked))
+
+
+# syncing and upkeep
+
+
+def changed(spark, sf_dir) -> tuple[DataFrame, Y.Delta]:
+    have = docs(spark, sf_dir)
+    adds, removes = fixtures.sync_lines(spark, have)
+    return have, Y.delta(adds, removes, fixtures.segmenter(spark, sf_dir), fixtures.FIRST_ADDED)
+
+
+@query(O.synced(f"SELECT {O.DOC_COLUMNS} FROM removed_only"))
+def sync_remove(spark, sf_dir):
+    have, change = changed(spark, sf_dir)
+    return shown(have.join(change.removed, "domain_exact", "left_anti").select(*I.DOCS))
+
+
+@query(O.synced("SELECT d AS domain_exact, line_no FROM winners"))
+def sync_dedupe(spark, sf_dir):
+    adds, _ = fixtures.sync_lines(spark, docs(spark, sf_dir))
+    return Y.last_wins(with_status(normalize(L.scan(adds), "s")).where("status = 'ok'")).select("domain_exact", "line_no")
+
+
+@query(O.synced(f"SELECT {O.DOC_COLUMNS} FROM upserted"))
+def sync_upsert(spark, sf_dir):
+    have, change = changed(spark, sf_dir)
+    return shown(have.join(change.added, "domain_exact", "left_anti").select(*I.DOCS).unionByName(change.added))
+
+
+@query(O.synced(f"SELECT {O.DOC_COLUMNS} FROM applied"))
+def sync_apply(spark, sf_dir):
+    return shown(Y.apply(*changed(spark, sf_dir)))
+
+
+@query(O.synced("""SELECT *, final - initial AS net_change FROM (SELECT (SELECT count(*) FROM docs) AS initial, (SELECT count(*) FROM requests) AS delete_requests,
+  (SELECT count(*) FROM docs WHERE domain_exact IN (SELECT domain_exact FROM requests)) AS rows_removed, (SELECT count(*) FROM added) AS added,
+  (SELECT count(*) FROM judged_adds WHERE status LIKE 'junk%') AS filtered, (SELECT count(*) FROM applied) AS final)"""))
+def sync_summary(spark, sf_dir):
+    return Y.summary(*changed(spark, sf_dir))
+
+
+@query(O.synced("SELECT count(*) AS documents, count(DISTINCT domain_exact) AS names, count(DISTINCT tld) AS tlds FROM applied"))
+def index_stats(spark, sf_dir):
+    """Counts of a snapshot that has been written, synced and read back."""
+    have, change = changed(spark, sf_dir)
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(have)
+    store.sync(change)
+    return store.docs().agg(F.count("*").alias("documents"), F.countDistinct("domain_exact").alias("names"), F.countDistinct("tld").alias("tlds"))
+
+
+@query(O.synced(f"SELECT {O.DOC_COLUMNS} FROM applied"))
+def optimize_noop(spark, sf_dir):
+    """Compaction changes files, never rows."""
+    have, change = changed(spark, sf_dir)
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(have)
+    store.sync(change)
+    store.optimize()
+    return shown(store.docs().select(*I.DOCS))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(S.search(query_rows(spark, [(0, "small gear", None, 5, None)]), index(spark, sf_dir)))
