@@ -6,6 +6,7 @@ from .op01_sharding import OP1_SQL, op1_query
 from .op02_packing import op2_query
 from .op03_licenses import op3_query
 from .op04_jaccard import OP4_SQL, op4_query
+from .op05_revisits import OP5_SQL, op5_query
 from .op06_chains import op6_query
 from .op07_toxicity import op7_query
 from .op08_media import op8_query
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_cutting_stock": op2_query,
     "op3_license_notices": op3_query,
     "op4_jaccard_classes": op4_query,
+    "op5_revisit_resolution": op5_query,
     "op6_collinear_chains": op6_query,
     "op7_noisy_channel": op7_query,
     "op8_media_archives": op8_query,
@@ -27,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op1_stratified_shards": OP1_SQL,
     "op4_jaccard_classes": OP4_SQL,
+    "op5_revisit_resolution": OP5_SQL,
     "op9_maxscore_topk": OP9_SQL,
 }
