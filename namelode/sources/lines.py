@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-class BadText(ValueError):
-    """A file holds bytes that are no UTF-8."""
-
-
 def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
     """file, line_no (position order within the file), raw. Lines end at \\n only. strict: bad UTF-8 raises.
 
@@ -19,7 +15,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = False
     """
     lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
     if strict:
-        lines = lines.withColumn("raw", F.when(F.col("raw").contains("�"), F.raise_error(F.lit("a line is not UTF-8"))).otherwise(F.col("raw")))
+        lines = lines.withColumn("raw", F.when(F.is_valid_utf8("raw"), F.col("raw")).otherwise(F.raise_error(F.lit("a line is not UTF-8"))))
     # within a block rows come in file order, and the lower bits of the increasing id count them
     return lines.select("file", (F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), "raw")
 
