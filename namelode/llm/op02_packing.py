@@ -29,7 +29,7 @@ from .common import running_offsets, written
 UNITS, ROUNDING, GAP = (16, 8, 4, 2, 1), 4e-3, 1e-3
 BATCH_COLUMNS = 4
 BUCKET_ROWS = 4096
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _loaded: dict[str, Ids] = {}
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 128
