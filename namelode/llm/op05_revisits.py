@@ -83,7 +83,7 @@ def captures(pages: DataFrame) -> DataFrame:
     day = lambda n: F.concat(F.lit("day "), n.cast("string"))
     block = lambda *fields: F.concat_ws("\r\n", *[F.concat(F.lit(k + ": "), v) for k, v in fields])
     ts = 1000 * (p % 1009)
-    spelled = F.regexp_replace(F.regexp_replace("url", "^https?://([^/?#]*)", "HTTP://WWW.$1:80"), "[?].*$", "?utm_medium=mail")
+    spelled = F.regexp_replace(F.regexp_replace("url", "^https?://(?:www[.])?([^/?#]*)", "HTTP://WWW.$1:80"), "[?].*$", "?utm_medium=mail")
     spelled = F.concat(F.when(F.col("url").contains("?"), F.col("url")).otherwise(spelled), F.when(F.col("url").contains("#"), "").otherwise("#part"))
     full = lambda n, at, version: F.struct((4 * p + n).alias("record_id"), F.lit("response").alias("kind"), F.col("url"), at.alias("ts"), block(("ETag", tag(version)), ("Last-Modified", day(p % 50)), ("Content-Type", F.lit("text/html")), ("Date", day(at))).alias("headers"), F.md5(F.concat("html", F.lit(version))).alias("digest"))
     asked = F.when(p % 11 == 0, F.lit('"other"')).when(p % 5 == 0, tag("b")).otherwise(F.concat(F.lit("W/"), tag("a")))
