@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelode.llm import op02_packing, op04_jaccard, op06_chains, op07_toxicity
-from namelode.llm.common import written
+from namelode.llm.common import tidy, written
 
 THRESHOLD = 0.5
 
@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([own.score(own.total(t.as_py() or "")[0]) < THRESHOLD for t in texts], pa.bool_()))
+        own.memo.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,13 +18,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_offsets, written
+from .common import running_offsets, small_batches, tidy, written
 
 UNITS, ROUNDING, GAP = (16, 8, 4, 2, 1), 4e-3, 1e-3
 BATCH_COLUMNS = 4
@@ -52,7 +53,6 @@ class Ids(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -60,10 +60,16 @@ class Ids(dict):
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.fast = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, key: str) -> bytes:
         if (value := self.old.pop(key, None)) is None:
             value = np.array(self.fast.encode_ordinary(key), "<u4").tobytes()
@@ -104,8 +110,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, i
                 rows += [(doc_id, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
             if rows:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in PIECES.split(", ")])
+        own.clear()
+        own.old.clear()
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, PIECES)
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(tidy(run), PIECES)
 
 
 def unit_of(lengths: dict[int, int], capacity: int) -> int:
@@ -235,6 +243,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, seed: int = 17
     an empty result. Other columns are not read. tokenizer: a file that every executor can open.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = written(pieces_of(docs, tokenizer, capacity, id_col=id_col, text_col=text_col), "pieces")
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length up to the capacity at most
     unit, histogram = unit_of(lengths, capacity), Counter()

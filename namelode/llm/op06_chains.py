@@ -1,7 +1,7 @@
 """Repeated passages by collinear chaining.
 
 1. Seeds: of every WINDOW successive runs of SEED words the one with the smallest hash. The first document (by id) that has a
-   seed is its reference; every other document's seeds are matched with the reference only, so a passage that a third of
+   seed is its source; every other document's seeds are matched with the source only, so a passage that a third of
    all documents share gives a match a document and seed, never pairs.
 2. The matches of two documents are chained: in the order of their places in one document, each takes the best chain so far
    that ends before it in the other, found in a Fenwick tree of prefix maxima, less the cost of the gaps between them.
@@ -19,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, tidy, written
 from .shingles import shingle_hashes, word_hashes
 
 SEED, WINDOW = 6, 12
 MIN_WORDS, MIN_PART, MIN_IDENTITY = 40, 12, 0.8
 GAP_COST, MAX_GAP = 0.05, 60
 GROW = 64
-MATCHES = "doc_id long, source_id long, pos long, source_pos long"
 CHAINS = "doc_id long, source_id long, start long, end long, source_start long, source_end long, anchors array<long>"
 PARTS = "doc_id long, source_id long, start_word long, end_word long, source_start long, source_end long, matched long, edits long"
 
@@ -56,7 +55,7 @@ def seed_rows(docs: DataFrame) -> DataFrame:
                     places.append(at)
                 yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places))], ["seed", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "seed long, doc_id long, pos long")
+    return docs.mapInArrow(tidy(run), "seed long, doc_id long, pos long")
 
 
 def best_chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
@@ -139,7 +138,7 @@ def chain_rows(matches: DataFrame) -> DataFrame:
             rows += flush(key, *map(np.concatenate, zip(*own)))
         yield from emit(1)
 
-    return matches.mapInArrow(run, CHAINS)
+    return matches.mapInArrow(tidy(run), CHAINS)
 
 
 def gap_edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -196,7 +195,7 @@ def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "start", "end", "words"])
 
     joined = docs.join(lists.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, start long, end long, words binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, start long, end long, words binary")
 
 
 def aligned(chains: DataFrame) -> DataFrame:
@@ -212,7 +211,7 @@ def aligned(chains: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], [x.split()[0] for x in PARTS.split(", ")])
 
-    return chains.mapInArrow(run, PARTS)
+    return chains.mapInArrow(tidy(run), PARTS)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,6 +224,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     Repetition inside one document is left alone. Other columns are not read.
     """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
+    small_batches(docs.sparkSession)
     seeds = seed_rows(picked)
     # a seed's first document; made a table so that the join below can split frequent seeds
     refs = written(seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").selectExpr("seed as r_seed", "at.doc_id as source_id", "at.pos as source_pos"), "seeds")

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 BLOCK = 1 << 20
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
@@ -238,8 +240,8 @@ def exchange(rows: DataFrame, bits: int, num: int, den: int) -> DataFrame:
     other documents too, those tokens, rarest first."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = rows.repartition(min(parts, 1 << bits), "bucket").sortWithinPartitions("bucket")
-    answers = by_bucket.mapInArrow(answered, ANSWERS)
-    return answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda b: gathered(b, num, den), SETS)
+    answers = by_bucket.mapInArrow(tidy(answered), ANSWERS)
+    return answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(lambda b: gathered(b, num, den)), SETS)
 
 
 def text_rows(docs: DataFrame, width: int, bits: int, table: bytes = SPACES) -> DataFrame:
@@ -256,7 +258,7 @@ def text_rows(docs: DataFrame, width: int, bits: int, table: bytes = SPACES) ->
                     # 48 bits a token from here on: two tokens of a document that fall together would still count as two
                     yield doc_id, len(tokens), fp, np.unique(tokens >> np.uint64(16))
 
-    return docs.mapInArrow(lambda b: chunked(sets(b), bits), CHUNK_ROWS)
+    return docs.mapInArrow(tidy(lambda b: chunked(sets(b), bits)), CHUNK_ROWS)
 
 
 def set_rows(sets: DataFrame, bits: int) -> DataFrame:
@@ -267,9 +269,10 @@ def set_rows(sets: DataFrame, bits: int) -> DataFrame:
             for doc_id, n, fp, tokens in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 yield doc_id, n, fp, np.sort(unplanes(tokens, 6))
 
-    return sets.mapInArrow(lambda b: chunked(read(b), bits), CHUNK_ROWS)
+    return sets.mapInArrow(tidy(lambda b: chunked(read(b), bits)), CHUNK_ROWS)
 
 
 def bucket_bits(docs: DataFrame) -> int:
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     return (max(MIN_BUCKETS, size // BUCKET_BYTES) - 1).bit_length()
