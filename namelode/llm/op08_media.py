@@ -163,7 +163,9 @@ class ArchiveReader(DataSourceReader):
                 if not left:
                     raise
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing was planned
+            return
         names, offsets, datas, size = [], [], [], 0
         batch = lambda: pa.record_batch([pa.array([partition.archive] * len(names)), pa.array(names), pa.array(offsets, pa.int64()), pa.array(datas, pa.binary())], ["archive", "member", "offset", "media"])
         for info in self.directory(partition.archive):
