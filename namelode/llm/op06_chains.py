@@ -5,8 +5,9 @@
    all documents share gives a match a document and seed, never pairs.
 2. The matches of two documents are chained: in the order of their places in one document, each takes the best chain so far
    that ends before it in the other, found in a Fenwick tree of prefix maxima, less the cost of the gaps between them.
-3. Chains are aligned word by word: equal diagonals are compared at once, other gaps by edit distance, and both ends grow
-   while that pays. A passage is what a document's alignments cover together, MIN_WORDS words or more.
+3. Chains are aligned word by word: equal diagonals are compared at once, other gaps by edit distance. A gap that costs more
+   than it joins cuts the chain, each part is tested on its own, and its ends grow by a banded alignment while that pays.
+   A passage is what a document's alignments cover together, MIN_WORDS words or more.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .shingles import shingle_hashes, word_hashes
 SEED, WINDOW = 6, 12
 MIN_WORDS, MIN_PART, MIN_IDENTITY = 40, 12, 0.8
 GAP_COST, MAX_GAP = 0.05, 60
-GROW = 64
+GROW, BAND, DROP = 64, 8, 12
+WEIGHT = 4  # matched words that make up for an edit at MIN_IDENTITY
 CHAINS = "doc_id long, source_id long, start long, end long, source_start long, source_end long, anchors array<long>"
 PARTS = "doc_id long, source_id long, start_word long, end_word long, source_start long, source_end long, matched long, edits long"
 
@@ -58,12 +60,22 @@ def seed_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run), "seed long, doc_id long, pos long")
 
 
-def best_chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
+def exact_runs(pos: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and lengths of the runs of words that overlapping and touching matches of one diagonal make up."""
+    order = np.lexsort((pos, pos - other))
+    pos, other = pos[order], other[order]
+    cut = np.flatnonzero((np.diff(pos - other) != 0) | (np.diff(pos) > SEED)) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]]) - 1
+    return pos[first], other[first], pos[last] - pos[first] + SEED
+
+
+def best_chains(pos: np.ndarray, other: np.ndarray, length: np.ndarray | None = None) -> list[list[int]]:
     """Chains of matches (places ascending in both documents) by falling score; each match is in one chain at most."""
     order = np.lexsort((-other, pos))  # of matches at one place, those further on come first and so never chain
     x, y = pos[order].tolist(), other[order].tolist()
     rank = (np.unique(other, return_inverse=True)[1][order] + 1).tolist()
     n, top = len(x), int(max(rank))
+    size = [SEED] * n if length is None else length[order].tolist()
     tree, whose = [-1e18] * (top + 1), [-1] * (top + 1)
     score, before = [0.0] * n, [-1] * n
     for j in range(n):
@@ -74,10 +86,10 @@ def best_chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
             r &= r - 1
         place = GAP_COST * (x[j] + y[j])
         if who >= 0 and best - place > 0 and x[who] < x[j]:
-            score[j], before[j] = SEED + best - place, who
+            score[j], before[j] = size[j] + best - place, who
         else:
-            score[j] = SEED
-        value, r = score[j] + place, rank[j]
+            score[j] = size[j]
+        value, r = score[j] + place + 2 * GAP_COST * (size[j] - SEED), rank[j]
         while r <= top:
             if value > tree[r]:
                 tree[r], whose[r] = value, j
@@ -94,11 +106,11 @@ def best_chains(pos: np.ndarray, other: np.ndarray) -> list[list[int]]:
     return chains
 
 
-def split_chain(chain: list[int], pos: np.ndarray, other: np.ndarray) -> Iterator[list[int]]:
+def split_chain(chain: list[int], pos: np.ndarray, other: np.ndarray, length: np.ndarray) -> Iterator[list[int]]:
     """A chain's parts between gaps of more than MAX_GAP words."""
     part = [chain[0]]
     for a, b in zip(chain, chain[1:]):
-        if max(pos[b] - pos[a], other[b] - other[a]) > MAX_GAP + SEED:
+        if max(pos[b] - pos[a], other[b] - other[a]) > MAX_GAP + length[a]:
             yield part
             part = []
         part.append(b)
@@ -108,10 +120,11 @@ def split_chain(chain: list[int], pos: np.ndarray, other: np.ndarray) -> Iterato
 def chain_rows(matches: DataFrame) -> DataFrame:
     def flush(key: tuple[int, int], pos: np.ndarray, other: np.ndarray) -> list[tuple]:
         out = []
-        for chain in best_chains(pos, other):
-            for part in split_chain(chain, pos, other):
-                p, o = pos[part], other[part]
-                out.append((*key, int(p[0]), int(p[-1]) + SEED, int(o[0]), int(o[-1]) + SEED, np.stack([p - p[0], o - o[0]], 1).ravel().tolist()))
+        pos, other, length = exact_runs(pos, other)
+        for chain in best_chains(pos, other, length):
+            for part in split_chain(chain, pos, other, length):
+                p, o, n = pos[part], other[part], length[part]
+                out.append((*key, int(p[0]), int((p + n).max()), int(o[0]), int((o + n).max()), np.stack([p - p[0], o - o[0], n], 1).ravel().tolist()))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,33 +163,124 @@ def gap_edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def grown(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two runs go on alike from their starts, and the words that differ on the way."""
-    n = min(len(a), len(b))
-    gain = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
-    if not n:
-        return 0, 0
-    low = np.flatnonzero(np.maximum.accumulate(gain) - gain > 6)
-    gain = gain[: low[0]] if len(low) else gain
-    best = int(gain.argmax()) + 1 if len(gain) and gain.max() > 0 else 0
-    return best, int((a[:best] != b[:best]).sum())
-
-
-def align(words: np.ndarray, first: int, other: np.ndarray, other_first: int, start: int, source_start: int, anchors: np.ndarray) -> tuple[int, int, int, int, int, int]:
-    """(start, end, source start, source end, matched, edits). words begin at word ``first`` of the document."""
-    p, o = anchors[0::2] + start - first, anchors[1::2] + source_start - other_first
-    edits, covered = 0, SEED
-    for i in range(1, len(p)):
-        a, b = words[p[i - 1] + SEED : p[i]], other[o[i - 1] + SEED : o[i]]
-        if p[i] - p[i - 1] == o[i] - o[i - 1]:
-            edits += int((a != b).sum())
+def best_stretches(blocks: list[tuple], weight: int) -> list[tuple[int, int]]:
+    """The maximal stretches (Ruzzo and Tompa) of blocks that gain: matched words less weight times edits."""
+    found: list[tuple[int, int, int, int]] = []  # first, end, sum before, sum after
+    total = 0
+    for i, block in enumerate(blocks):
+        before, total = total, total + block[4] - weight * block[5]
+        if total <= before:
+            continue
+        first = i
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j -= 1
+            if j < 0 or found[j][3] >= total:
+                break
+            first, before = found[j][0], found[j][2]
+            del found[j:]
+        found.append((first, i + 1, before, total))
+    return [x[:2] for x in found]
+
+
+def alike(matched: int, own: int, source: int) -> bool:
+    return matched >= MIN_IDENTITY * max(own, source)
+
+
+def stretches(blocks: list[tuple], weight: int = 2) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(start, end, source start, source end, matched, edits) of the parts of a chain that are alike.
+
+    A gap that costs more than either side of it gains cuts; a part that is still not alike is cut at a higher price. At
+    WEIGHT, what gains is alike, so that no exact match is ever lost.
+    """
+    for i, j in best_stretches(blocks, weight):
+        own, first, last = blocks[i:j], blocks[i], blocks[j - 1]
+        matched, edits = sum(x[4] for x in own), sum(x[5] for x in own)
+        if weight >= WEIGHT or alike(matched, last[1] - first[0], last[3] - first[2]):
+            yield first[0], last[1], first[2], last[3], matched, edits
         else:
-            edits += gap_edits(a, b) if len(a) and len(b) else max(len(a), len(b), abs(int(p[i] - p[i - 1] - o[i] + o[i - 1])))
-    left, miss = grown(words[: p[0]][::-1], other[: o[0]][::-1])
-    right, more = grown(words[p[-1] + SEED :], other[o[-1] + SEED :])
-    a, b, c, d = first + int(p[0]) - left, first + int(p[-1]) + SEED + right, other_first + int(o[0]) - left, other_first + int(o[-1]) + SEED + right
-    edits += miss + more
-    return a, b, c, d, max(0, b - a - edits), edits
+            yield from stretches(own, weight + 1)
+
+
+def chain_blocks(words: np.ndarray, other: np.ndarray, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, source start, source end, matched, edits) of a chain's exact runs and the gaps between them, in turn."""
+    out, x, y = [], None, None
+    for p, o, n in anchors:
+        if x is not None:
+            skip = max(x - p, y - o, 0)
+            p, o, n = p + skip, o + skip, n - skip
+            if n <= 0:
+                continue
+            if p > x or o > y:
+                a, b = words[x:p], other[y:o]
+                edits = longest = max(len(a), len(b))
+                if len(a) == len(b):
+                    edits = int((a != b).sum())
+                if edits > 2 and len(a) and len(b) and not set(a.tolist()).isdisjoint(b.tolist()):
+                    edits = min(edits, gap_edits(a, b))
+                out.append((x, p, y, o, longest - edits, edits))
+        x, y = p + n, o + n
+        out.append((p, x, o, y, n, 0))
+    return out
+
+
+def grown(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How far pairs of runs of words go on alike from their starts, substitutions, insertions and deletions counted.
+
+    For each pair (own words, source words, matched, edits) where matched less 2 times edits is greatest, and the same for
+    WEIGHT times edits. All pairs go through the rows of a banded alignment together; a pair rests once it has lost DROP.
+    """
+    one, edit = 256, -(2 * 256 + 1)  # a cell is gain * 256 - edits
+    best = np.zeros((len(pairs), 2, 4), np.int64)
+    a = np.full((len(pairs), GROW), -1, np.int32)
+    b = np.full((len(pairs), GROW + 3 * BAND + 1), -2, np.int32)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : min(len(x), GROW)] = x[:GROW]
+        b[i, BAND : BAND + min(len(y), GROW + BAND)] = y[: GROW + BAND]
+    at, slope = np.arange(len(pairs)), np.arange(2 * BAND + 1) * -edit
+    cells = np.where(np.arange(-BAND, BAND + 1) < 0, -(1 << 28), np.arange(-BAND, BAND + 1) * edit)[None].repeat(len(pairs), 0).astype(np.int64)
+    top = np.zeros((len(pairs), 2), np.int64)
+    for i in range(GROW):
+        new = cells + np.where(a[:, i, None] == b[:, i : i + 2 * BAND + 1], one, edit)
+        np.maximum(new[:, :-1], cells[:, 1:] + edit, out=new[:, :-1])
+        cells = np.maximum.accumulate(new + slope, 1) - slope
+        for k in (0, 1):
+            worth = cells if k == 0 else cells - (WEIGHT - 2) * one * (-cells & 255)
+            j = worth.argmax(1)
+            value = worth[np.arange(len(j)), j]
+            more = np.flatnonzero(value > top[:, k])
+            if len(more):
+                top[more, k] = value[more]
+                cell = cells[more, j[more]]
+                edits = -cell & 255
+                best[at[more], k] = np.stack([np.full(len(more), i + 1), i + 1 + j[more] - BAND, (cell + edits) // one + 2 * edits, edits], 1)
+        going = cells.max(1) > top[:, 0] - DROP * one
+        if not going.all():
+            at, a, b, cells, top = at[going], a[going], b[going], cells[going], top[going]
+            if not len(at):
+                break
+    return best
+
+
+def align(chains: list[tuple[np.ndarray, int, np.ndarray, int, int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(number, start, end, source start, source end, matched, edits) of what is alike in each chain.
+
+    A chain: words from word ``first`` of the document, the same of the source, start, source start, anchors.
+    """
+    found, pairs = [], []
+    for k, (words, first, other, other_first, start, source_start, anchors) in enumerate(chains):
+        runs = anchors.reshape(-1, 3) + [start - first, source_start - other_first, 0]
+        for a, b, c, d, matched, edits in stretches(chain_blocks(words, other, runs.tolist())):
+            found.append((k, a + first, b + first, c + other_first, d + other_first, matched, edits))
+            pairs += [(words[max(0, a - GROW) : a][::-1], other[max(0, c - GROW - BAND) : c][::-1]), (words[b : b + GROW], other[d : d + GROW + BAND])]
+    ends = grown(pairs).tolist() if pairs else []
+    for (k, a, b, c, d, matched, edits), left, right in zip(found, ends[::2], ends[1::2]):
+        for (w, x, m, e), (y, z, n, f) in zip(left, right):
+            own = (a - w, b + y, c - x, d + z, matched + m + n, edits + e + f)
+            if alike(own[4], own[1] - own[0], own[3] - own[2]):
+                yield (k, *own)
+                break
 
 
 def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,11 +307,9 @@ def aligned(chains: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b, c, d, matched, edits = align(np.frombuffer(r["words"], "<u2"), r["first"], np.frombuffer(r["source_words"], "<u2"), r["source_first"], r["start"], r["source_start"], np.array(r["anchors"]))
-                if b - a >= MIN_PART and matched >= MIN_IDENTITY * max(b - a, d - c):
-                    rows.append((r["doc_id"], r["source_id"], a, b, c, d, matched, edits))
+            own = batch.to_pylist()
+            chained = [(np.frombuffer(r["words"], "<u2"), r["first"], np.frombuffer(r["source_words"], "<u2"), r["source_first"], r["start"], r["source_start"], np.array(r["anchors"])) for r in own]
+            rows = [(own[k]["doc_id"], own[k]["source_id"], *part) for k, *part in align(chained) if part[1] - part[0] >= MIN_PART]
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], [x.split()[0] for x in PARTS.split(", ")])
 

@@ -186,3 +186,19 @@ def test_pipeline(spark):
             assert set(after) == want
     rows = stages["packing"](spark, kept, SMALL).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_passages_around_own_words(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"u{rng.randrange(1_000_000)}" for _ in range(n)]
+    head, foot, line, rows, want = fresh(55), fresh(55), fresh(12), {}, {}
+    rows[1] = head + fresh(5) + foot + fresh(5) + line
+    for i, (own, tail) in enumerate([(20, foot), (30, foot), (40, foot), (55, foot), (20, line), (30, line)], 2):
+        rows[i] = head + fresh(own) + tail
+        want[i] = {*range(55), *(range(55 + own, 110 + own) if tail is foot else ())}
+    rows[9], want[9] = foot + fresh(30) + head, {*range(55), *range(85, 140)}
+    got = {}
+    for r in chains.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows.items()])).where("source_id = 1").collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    assert {i: w - got.get(i, set()) for i, w in want.items()} == {i: set() for i in want}
+    assert all(not got[i] - w for i, w in want.items() if i > 2)
