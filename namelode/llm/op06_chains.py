@@ -1,10 +1,11 @@
 """Repeated passages by collinear chaining.
 
-1. Seeds: of every WINDOW successive runs of SEED words the one with the smallest hash. The first document (by id) that has a
-   seed is its source; every other document's seeds are matched with the source only, so a passage that a third of
-   all documents share gives a match a document and seed, never pairs.
-2. The matches of two documents are chained: in the order of their places in one document, each takes the best chain so far
-   that ends before it in the other, found in a Fenwick tree of prefix maxima, less the cost of the gaps between them.
+1. Seeds: every run of SEED words that more than one document has, found by the exchange of ``shingles``. The first document
+   (by id) that has a seed is its source; every other document's seeds are matched with the source only, so a passage that
+   a third of all documents share gives a match a document and seed, never pairs.
+2. The matches of two documents, joined to exact runs where they touch, are chained: in the order of their places in one
+   document, each takes the best chain so far that ends before it in the other, found in a Fenwick tree of prefix maxima,
+   less the cost of the gaps between them.
 3. Chains are aligned word by word: equal diagonals are compared at once, other gaps by edit distance. A gap that costs more
    than it joins cuts the chain, each part is tested on its own, and its ends grow by a banded alignment while that pays.
    A passage is what a document's alignments cover together, MIN_WORDS words or more.
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidy, written
-from .shingles import shingle_hashes, word_hashes
+from .shingles import bucket_bits, exchange, shingle_hashes, text_rows, unplanes, word_hashes
 
-SEED, WINDOW = 6, 12
+SEED = 6
 MIN_WORDS, MIN_PART, MIN_IDENTITY = 40, 12, 0.8
 GAP_COST, MAX_GAP = 0.05, 60
 GROW, BAND, DROP = 64, 8, 12
@@ -32,32 +33,53 @@ CHAINS = "doc_id long, source_id long, start long, end long, source_start long,
 PARTS = "doc_id long, source_id long, start_word long, end_word long, source_start long, source_end long, matched long, edits long"
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a text's seeds; a place is the seed's first word."""
-    if len(words) < SEED:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = shingle_hashes(words, SEED)
-    if len(h) <= WINDOW:
-        at = np.array([h.argmin()])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(len(h) - WINDOW + 1))
-    return h[at], at
-
-
 def seed_rows(docs: DataFrame) -> DataFrame:
+    """seed, doc_id, pos: the runs of SEED words that other documents have too, and the places of their first words."""
+    bits = bucket_bits(docs)
+    # num 0: what a document shares comes back however little it is
+    shared = exchange(text_rows(docs, SEED, bits), bits, 0, 1).where("octet_length(tokens) > 0").select(F.col("doc_id").alias("s_id"), "tokens").dropDuplicates(["s_id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
+            for i in range(0, len(batch), 200):
+                part = batch.slice(i, 200)
                 ids, hashes, places = [], [], []
-                for doc_id, words in zip(part.column(0).to_pylist(), word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
-                    h, at = seeds_of(words)
-                    ids.append(np.full(len(h), doc_id))
-                    hashes.append(h.astype(np.int64))
+                for doc_id, tokens, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
+                    if len(words) < SEED:
+                        continue
+                    h = shingle_hashes(words, SEED)
+                    known, short = np.sort(unplanes(tokens, 6)), h >> np.uint64(16)
+                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
+                    ids.append(np.full(len(at), doc_id, np.int64))
+                    hashes.append(h[at].astype(np.int64))
                     places.append(at)
-                yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(places))], ["seed", "doc_id", "pos"])
+                if ids:
+                    yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], ["seed", "doc_id", "pos"])
+
+    joined = docs.join(shared, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "tokens")
+    return joined.mapInArrow(tidy(run), "seed long, doc_id long, pos long")
+
+
+def first_matches(seeds: DataFrame) -> DataFrame:
+    """doc_id, source_id, pos, source_pos: each place of a seed with the first place in the first document that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first place of the seed that may go on in the next batch
+        for batch in batches:
+            seed, doc, pos = (batch.column(i).to_numpy() for i in range(3))
+            if not len(seed):
+                continue
+            if held is not None:
+                seed, doc, pos = (np.concatenate([[h], x]) for h, x in zip(held, (seed, doc, pos)))
+            new = np.concatenate([[True], seed[1:] != seed[:-1]])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            held = tuple(x[first[-1]] for x in (seed, doc, pos))
+            rows = np.flatnonzero(doc != doc[first])
+            if len(rows):
+                yield pa.record_batch([pa.array(x) for x in (doc[rows], doc[first[rows]], pos[rows], pos[first[rows]])], ["doc_id", "source_id", "pos", "source_pos"])
 
-    return docs.mapInArrow(tidy(run), "seed long, doc_id long, pos long")
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seeds.repartition(parts, "seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "doc_id long, source_id long, pos long, source_pos long")
 
 
 def exact_runs(pos: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,10 +349,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
     small_batches(docs.sparkSession)
-    seeds = seed_rows(picked)
-    # a seed's first document; made a table so that the join below can split frequent seeds
-    refs = written(seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last").selectExpr("seed as r_seed", "at.doc_id as source_id", "at.pos as source_pos"), "seeds")
-    matches = seeds.join(refs, F.col("seed") == F.col("r_seed")).where("doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos")
+    matches = first_matches(seed_rows(picked))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chains = written(chain_rows(matches.repartition(parts, "doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "pos", "source_pos")), "chains")
     grow = lambda a, b: (F.greatest(F.col(a) - GROW, F.lit(0)).alias("start"), (F.col(b) + GROW).alias("end"))

@@ -202,3 +202,28 @@ def test_passages_around_own_words(spark):
         got.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
     assert {i: w - got.get(i, set()) for i, w in want.items()} == {i: set() for i in want}
     assert all(not got[i] - w for i, w in want.items() if i > 2)
+
+
+def edited(rng, words, share):
+    out = []
+    for w in words:
+        kind = rng.random() / share
+        out += [w] if kind >= 1 else [f"e{rng.randrange(1_000_000)}"] if kind < 1 / 3 else [f"e{rng.randrange(1_000_000)}", w] if kind < 2 / 3 else []
+    return out
+
+
+def test_edited_passages(spark):
+    rng, rows, planted = random.Random(12), {}, {}
+    fresh = lambda n: [f"x{rng.randrange(1_000_000)}" for _ in range(n)]
+    for i in range(240):
+        size, share = (52, 60, 80)[i % 3], (0.05, 0.08, 0.1)[i // 3 % 3]
+        base = fresh(size)
+        copy = edited(rng, base, share)
+        rows[i], rows[1000 + i], planted[1000 + i] = fresh(30) + base + fresh(30), fresh(40) + copy + fresh(40), len(copy)
+    found = {}
+    for r in chains.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows.items()])).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    share = [len(found.get(i, set()) & set(range(40, 40 + n))) / n for i, n in planted.items()]
+    print("found", sum(x > 0.5 for x in share) / len(share), "words", sum(share) / len(share))
+    assert set(found) <= set(planted)
+    assert sum(x > 0.5 for x in share) >= 0.95 * len(share)
