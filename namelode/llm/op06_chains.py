@@ -1,8 +1,10 @@
 """Repeated passages by collinear chaining.
 
 1. Seeds: every run of SEED words that more than one document has, found by the exchange of ``shingles``. The first document
-   (by id) that has a seed is its source; every other document's seeds are matched with the source only, so a passage that
-   a third of all documents share gives a match a document and seed, never pairs.
+   (by id) that has a seed and the run behind it is its source, else the first that has the seed; every other document's
+   seeds are matched with the source only, so a passage that a third of all documents share gives a match a document and
+   seed, never pairs. Twelve words that an earlier document has are thus always found; a fuzzy passage whose seeds were all
+   first seen elsewhere is not.
 2. The matches of two documents, joined to exact runs where they touch, are chained: in the order of their places in one
    document, each takes the best chain so far that ends before it in the other, found in a Fenwick tree of prefix maxima,
    less the cost of the gaps between them.
@@ -34,7 +36,8 @@ PARTS = "doc_id long, source_id long, start_word long, end_word long, source_sta
 
 
 def seed_rows(docs: DataFrame) -> DataFrame:
-    """seed, doc_id, pos: the runs of SEED words that other documents have too, and the places of their first words."""
+    """seed, next, doc_id, pos: the runs of SEED words that other documents have too, the run behind each (0 without one) and
+    the places of their first words."""
     bits = bucket_bits(docs)
     # num 0: what a document shares comes back however little it is
     shared = exchange(text_rows(docs, SEED, bits), bits, 0, 1).where("octet_length(tokens) > 0").select(F.col("doc_id").alias("s_id"), "tokens").dropDuplicates(["s_id"])
@@ -43,7 +46,7 @@ def seed_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.slice(i, 200)
-                ids, hashes, places = [], [], []
+                ids, hashes, following, places = [], [], [], []
                 for doc_id, tokens, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
                     if len(words) < SEED:
                         continue
@@ -52,31 +55,44 @@ def seed_rows(docs: DataFrame) -> DataFrame:
                     at = np.flatnonzero(known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
                     ids.append(np.full(len(at), doc_id, np.int64))
                     hashes.append(h[at].astype(np.int64))
+                    following.append(np.append(h, np.zeros(SEED, np.uint64))[at + SEED].astype(np.int64))
                     places.append(at)
                 if ids:
-                    yield pa.record_batch([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], ["seed", "doc_id", "pos"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, following, ids, places)], ["seed", "next", "doc_id", "pos"])
 
     joined = docs.join(shared, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "tokens")
-    return joined.mapInArrow(tidy(run), "seed long, doc_id long, pos long")
+    return joined.mapInArrow(tidy(run), "seed long, next long, doc_id long, pos long")
 
 
 def first_matches(seeds: DataFrame) -> DataFrame:
-    """doc_id, source_id, pos, source_pos: each place of a seed with the first place in the first document that has it."""
+    """doc_id, source_id, pos, source_pos: each place of a seed with the first place in an earlier document that has it.
+
+    Where an earlier document has the next SEED words as well, the first of those documents is taken, for 2 * SEED words are
+    an alignment by themselves (MIN_PART); else the first document that has the seed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first place of the seed that may go on in the next batch
+        held = None  # of the seed that may go on in the next batch: its first places, one with each next run
         for batch in batches:
-            seed, doc, pos = (batch.column(i).to_numpy() for i in range(3))
-            if not len(seed):
+            if not len(batch):
                 continue
-            if held is not None:
-                seed, doc, pos = (np.concatenate([[h], x]) for h, x in zip(held, (seed, doc, pos)))
+            own = [batch.column(i).to_numpy() for i in range(4)]
+            old = 0 if held is None else len(held[0])
+            seed, after, doc, pos = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            n = len(seed)
             new = np.concatenate([[True], seed[1:] != seed[:-1]])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            held = tuple(x[first[-1]] for x in (seed, doc, pos))
-            rows = np.flatnonzero(doc != doc[first])
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)[group]
+            order = np.lexsort((np.arange(n), after, group))  # rows are by place within a seed, so the first comes first
+            start = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (after[order][1:] != after[order][:-1])])
+            both = np.empty(n, np.int64)
+            both[order] = order[start][np.cumsum(start) - 1]
+            keep = np.unique(both[group == group[-1]])
+            held = [x[keep] for x in (seed, after, doc, pos)]
+            source = np.where((after != 0) & (doc[both] != doc), both, first)
+            rows = np.flatnonzero((doc != doc[source]) & (np.arange(n) >= old))
             if len(rows):
-                yield pa.record_batch([pa.array(x) for x in (doc[rows], doc[first[rows]], pos[rows], pos[first[rows]])], ["doc_id", "source_id", "pos", "source_pos"])
+                yield pa.record_batch([pa.array(x) for x in (doc[rows], doc[source[rows]], pos[rows], pos[source[rows]])], ["doc_id", "source_id", "pos", "source_pos"])
 
     parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return seeds.repartition(parts, "seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "doc_id long, source_id long, pos long, source_pos long")
@@ -129,10 +145,11 @@ def best_chains(pos: np.ndarray, other: np.ndarray, length: np.ndarray | None =
 
 
 def split_chain(chain: list[int], pos: np.ndarray, other: np.ndarray, length: np.ndarray) -> Iterator[list[int]]:
-    """A chain's parts between gaps of more than MAX_GAP words."""
+    """A chain's parts between gaps of more than MAX_GAP words, and between runs that overlap by a seed or more."""
     part = [chain[0]]
     for a, b in zip(chain, chain[1:]):
-        if max(pos[b] - pos[a], other[b] - other[a]) > MAX_GAP + length[a]:
+        far, near = max(pos[b] - pos[a], other[b] - other[a]), min(pos[b] - pos[a], other[b] - other[a])
+        if far > MAX_GAP + length[a] or near <= length[a] - SEED:
             yield part
             part = []
         part.append(b)

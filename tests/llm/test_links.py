@@ -227,3 +227,30 @@ def test_edited_passages(spark):
     print("found", sum(x > 0.5 for x in share) / len(share), "words", sum(share) / len(share))
     assert set(found) <= set(planted)
     assert sum(x > 0.5 for x in share) >= 0.95 * len(share)
+
+
+def test_passages_of_lines_seen_elsewhere(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"y{rng.randrange(1_000_000)}" for _ in range(n)]
+    shared, rows = fresh(63), {}
+    for i in range(53):  # each seed of the passage is first seen in a stray run under MIN_PART words
+        rows[i] = fresh(20) + shared[i : i + 11] + fresh(20)
+    rows |= {900: fresh(20) + shared + fresh(20), 901: fresh(30) + shared + fresh(10)}
+    lines = [fresh(9) for _ in range(40)]
+    for i in range(100, 400):
+        rows[i] = fresh(15) + [w for _ in range(3) for w in rng.choice(lines) + fresh(2)]
+    for i in range(400, 440):
+        passage = [w for line in rng.sample(lines, 7) for w in line]
+        rows[1000 + 2 * i], rows[1001 + 2 * i] = fresh(20) + passage, fresh(30) + passage + fresh(10)
+    covered = {}
+    for r in chains.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows.items()])).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    lost, seen = {}, set()
+    for i in sorted(rows):  # by brute force: the words in runs of MIN_PART words that an earlier document has
+        runs = [tuple(rows[i][k : k + chains.MIN_PART]) for k in range(len(rows[i]) - chains.MIN_PART + 1)]
+        words = {k + j for k, run in enumerate(runs) if run in seen for j in range(chains.MIN_PART)}
+        stretch = max((range(a, b) for a in words if a - 1 not in words for b in [next(b for b in range(a, len(rows[i]) + 1) if b not in words)]), key=len, default=())
+        if len(stretch) >= chains.MIN_WORDS and set(stretch) - covered.get(i, set()):
+            lost[i] = stretch
+        seen.update(runs)
+    assert len(covered) > 40 and not lost
