@@ -3,7 +3,8 @@
 1. A character trigram model is counted over every text.
 2. Words that look obfuscated (digits or signs among letters, letters set apart by spaces or signs, letters three times over)
    become lattices: each character may stand for itself, for letters it imitates, for a repetition or for nothing, at a
-   price. Viterbi's algorithm finds the letters that are likeliest under the trigram model and those prices.
+   price, and a space between characters set apart for the end of a word or for nothing. Viterbi's algorithm finds the
+   letters and ends of words that are likeliest under the trigram model and those prices.
 3. The restored words are scored: words and word beginnings that labelled toxic documents have far more often than others
    add their log odds, and a logistic curve fitted on the same rows turns sums into scores.
 
@@ -35,6 +36,8 @@ MEMO_WORDS = 200_000
 #: Letters that digits and signs imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 KEEP, IMITATE, DROP_SIGN, DROP_LIKE, DROP_REPEAT, DROP_DIGIT = 0.0, 1.0, 0.5, 2.0, 1.5, 8.0
+DROP_WIDE = 2.0
+SPACES = " \n"  # in a run of characters set apart: the narrowest space there, and a wider one
 CLASSES = 64
 OUT = "doc_id long, score double, hits long, restored string"
 
@@ -82,31 +85,48 @@ def costs_of(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(word: str, costs: np.ndarray) -> str:
-    """The likeliest letters of an obfuscated word. A state is the last two letters' classes; a path keeps its letters."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters of an obfuscated word or, with spaces in it, the likeliest words.
+
+    A state is the last two letters' classes; a path keeps its letters as a linked list, so that the work is in proportion to
+    the length. A space is kept as the end of a word or dropped.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for i, c in enumerate(word):
         repeated = i > 0 and word[i - 1] == c
-        options = [(c, KEEP)] if c.isalpha() else []
-        options += [(x, IMITATE) for x in LEET.get(c, "")]
-        if not c.isalpha():
-            options.append(("", DROP_DIGIT if c.isdigit() else DROP_LIKE if c in LEET else DROP_SIGN))
-        elif repeated:
-            options.append(("", DROP_REPEAT if i < 2 or word[i - 2] != c else 0.0))
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        if c in SPACES:
+            options = [(" ", KEEP), ("", KEEP if c == SPACES[0] else DROP_WIDE)]
+        else:
+            options = [(c, KEEP)] if c.isalpha() else []
+            options += [(x, IMITATE) for x in LEET.get(c, "")]
+            if not c.isalpha():
+                options.append(("", DROP_DIGIT if c.isdigit() else DROP_LIKE if c in LEET else DROP_SIGN))
+            elif repeated:
+                options.append(("", DROP_REPEAT if i < 2 or word[i - 2] != c else 0.0))
+        following: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, letters) in paths.items():
             for letter, price in options:
+                if letter == " " and b == 0:  # no word to end
+                    continue
                 k = char_class(letter) if letter else -1
                 state = (b, k) if letter else (a, b)
                 total = cost + price + (float(costs[a, b, k]) if letter else 0.0)
                 if state not in following or total < following[state][0]:
-                    following[state] = (total, letters + letter)
+                    following[state] = (total, (letters, letter) if letter else letters)
         paths = following or paths
-    return min((cost + float(costs[a, b, 0]), letters) for (a, b), (cost, letters) in paths.items())[1]
+    return min((cost + (float(costs[a, b, 0]) if b else 0.0), unlinked(letters)) for (a, b), (cost, letters) in paths.items())[1].strip()
+
+
+def unlinked(letters: tuple) -> str:
+    out = []
+    while letters:
+        letters, letter = letters
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 EDGES = re.compile(r"^[^\w@$!|+(€£]+|[\W_]+$")
 ODD = re.compile(r"[\W\d_]|(.)\1\1")
-APART = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
 @dataclass
@@ -123,14 +143,21 @@ class Model:
     def restore(self, token: str) -> str:
         """The letters of a token as split at white space; '' without letters."""
         word = EDGES.sub("", token.lower())
-        if ODD.search(word) and any(c.isalpha() for c in word) and len(word) <= 64:
+        if ODD.search(word) and any(c.isalpha() for c in word):
             word = decode(word, self.costs)
         return word
 
     def words(self, text: str) -> list[str]:
-        if APART.search(text):  # letters set apart become one token, beside what they were
-            text += " " + " ".join(m.group().replace(" ", "") for m in APART.finditer(text))
-        return text.split()
+        """What white space separates, and for each run of characters set apart: them as one token and as the likeliest words."""
+        found = text.split()
+        for m in APART.finditer(text):
+            run = m.group().lower()
+            found.append("".join(run.split()))
+            if any(c.isalpha() for c in run):
+                least = min(map(len, re.findall(r"\s+", run)))
+                lattice = re.sub(r"\s+", lambda x: SPACES[len(x.group()) > least], run)
+                found += decode(lattice, self.costs).split()
+        return found
 
     def features(self, word: str) -> list[str]:
         return [word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) >= n)]

@@ -222,3 +222,19 @@ def test_deobfuscation(spark):
     assert "idiot" in model.restored("you i d i o t there").split()
     empty = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["score"] < 0.5 for r in toxicity.toxicity(docs, empty).collect()] == [True] * 7
+
+
+def test_spaced_and_long_insults():
+    clean = "a stupid idiot is a moron and you are the clown who is a loser or a stupid person as the pathetic scum is trash "
+    docs = [clean * 20]
+    c = np.concatenate([[0, 0], toxicity.classes_of(docs[0]), [0]])
+    c = c[np.concatenate([[True, True], (c[2:] > 0) | (c[1:-1] > 0)])]
+    counts = np.bincount((c[:-2] * toxicity.CLASSES + c[1:-1]) * toxicity.CLASSES + c[2:], minlength=toxicity.CLASSES**3)
+    weights = {w: 5.0 for w in ("stupid", "loser", "idiot", "moron")}
+    model = toxicity.Model(toxicity.costs_of(counts), weights)
+    for text in ("you are a s t u p i d person", "he is a l o s e r", "y o u i d i o t", "y o u  a r e  a  m o r o n", "a\ts\tt\tu\tp\ti\td", "i\nd\ni\no\nt", "s  t  u  p  i  d", "a  $  t  u  p  1  d"):
+        assert model.total(text)[1] == 1, text
+    assert model.total("st" + "u" * 100 + "pid")[1] == 1 and model.restore("-".join("stupid") + "-" * 80 + "!") == "stupid"
+    assert model.total("-----".join("m0r0n") + "." * 70 + "x")[1] == 0
+    assert len(model.restore("m0ron" * 20_000)) == 100_000
+    assert [model.total(t)[1] for t in ("a b c", "1 2 3\n4", "you are a person", "")] == [0] * 4
