@@ -82,11 +82,12 @@ class Scanner:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            for a, b in merged:
-                at = a
-                while (m := self.patterns[i].search(words, at, b)) is not None:
+            parts = [tuple(x) for x in merged]
+            while parts:  # the best match of a part, then what lies before and behind it
+                a, b = parts.pop()
+                if (m := self.patterns[i].search(words, a, b)) is not None:
                     out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), m.start() + 1)
+                    parts += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
         out.sort(key=lambda x: (x[1], x[0]))
         share = lambda x: x[3] / len(self.notices[x[0]][0])
         kept, group, reach = [], [], -1

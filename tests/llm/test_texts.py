@@ -238,3 +238,9 @@ def test_spaced_and_long_insults():
     assert model.total("-----".join("m0r0n") + "." * 70 + "x")[1] == 0
     assert len(model.restore("m0ron" * 20_000)) == 100_000
     assert [model.total(t)[1] for t in ("a b c", "1 2 3\n4", "you are a person", "")] == [0] * 4
+
+
+def test_notice_before_a_better_one():
+    words = "gnu generl public license version 2 gnu general public license version 2 gnu general publc license version 2"
+    spans = licenses.Scanner().scan(words)[-1]
+    assert [(s["label"], s["word"], s["edits"]) for s in spans if s["label"] == "gpl-2"] == [("gpl-2", 0, 1), ("gpl-2", 6, 0), ("gpl-2", 12, 1)]
