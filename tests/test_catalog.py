@@ -47,3 +47,11 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLES)
     sys.modules.pop("__spark_entry__")
+
+
+def test_dictionary_takes_every_word(spark, monkeypatch):
+    names = spark.range(100_500).selectExpr("concat('w', id) as w", "id + 1 as count")
+    assert len(catalog.segment_counts(names)) == 100_500
+    monkeypatch.setattr(catalog, "DICTIONARY_BYTES", 1000)
+    with pytest.raises(ValueError):
+        catalog.segment_counts(names)
