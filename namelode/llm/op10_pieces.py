@@ -155,8 +155,7 @@ class Codec(dict):
         out = []
         for text, joined in zip(texts, ids):
             bad = bool(self.repaired) and not self.repaired.isdisjoint(self.chunks(text))
-            # each chunk has been seen to decode to itself; else the whole goes through the decoder
-            back = self.library.decode([int(i) for i in joined.split()]) if bad else text.replace(MARK, " ")
+            back = self.library.decode([int(i) for i in joined.split()])
             out.append((joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int(bad)))
         return out
 

@@ -244,3 +244,19 @@ def test_notice_before_a_better_one():
     words = "gnu generl public license version 2 gnu general public license version 2 gnu general publc license version 2"
     spans = licenses.Scanner().scan(words)[-1]
     assert [(s["label"], s["word"], s["edits"]) for s in spans if s["label"] == "gpl-2"] == [("gpl-2", 0, 1), ("gpl-2", 6, 0), ("gpl-2", 12, 1)]
+
+
+def test_whole_texts_are_decoded(monkeypatch):
+    own = pieces.Codec(SPM)
+    before = own.digests(["one two three", ""])
+    assert [r[2] for r in before] == [hashlib.sha256(t).hexdigest() for t in (b"one two three", b"")]
+
+    class Library:
+        def encode(self, texts, num_threads):
+            return []
+
+        def decode(self, ids):
+            return "decoded" if ids else []
+
+    monkeypatch.setattr(own, "library", Library())
+    assert own.digests(["one two three"])[0][2] == hashlib.sha256(b"decoded").hexdigest()
