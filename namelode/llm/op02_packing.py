@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import running_offsets, small_batches, tidy, written
 
-UNITS, ROUNDING, GAP = (16, 8, 4, 2, 1), 4e-3, 1e-3
+UNITS, ROUNDING, GAP, DRIFT = (16, 8, 4, 2, 1), 4e-3, 1e-3, 1e-9
 BATCH_COLUMNS = 4
 BUCKET_ROWS = 4096
+LEAST_BUCKETS, LEAST_ROWS = 512, 64  # a class is dealt over so many buckets even if it is small, down to so few rows each
+LONG_SPACE = 20_000
 MEMO_CHUNKS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+WIDE = re.compile(r"\s{%d}" % LONG_SPACE)
 _loaded: dict[str, Ids] = {}
 
 
@@ -46,30 +49,47 @@ class Ids(dict):
     """Ids of whole texts as little-endian bytes; a memo of chunk -> its ids.
 
     A pre-token never goes on across a single space before a word, so a text without double spaces is the chunks between
-    its single spaces. Texts with double spaces are encoded whole; those that name a special token by the tokenizers library.
+    its single spaces. Texts with double spaces are encoded whole. The tokenizers library itself takes texts that name a
+    special token or hold very long white space (the fast encoder would overflow its stack), and all texts of a file that
+    is no plain byte-level vocabulary with merges in the order of the ids.
     """
 
-    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: what ByteLevel splits by
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = byte_alphabet()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-        self.fast = tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path = path
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.fast = self.fast_encoder(spec)
         self.old: dict[str, bytes] = {}
 
+    def fast_encoder(self, spec: dict):
+        import tiktoken
+
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec.get("normalizer") is None
+        plain &= model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain:
+            return None
+        vocab, alphabet = model["vocab"], byte_alphabet()
+        made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        if any(a >= b for a, b in zip(made, made[1:])) or any(c not in alphabet for p in vocab if p not in self.special for c in p):
+            return None
+        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items() if piece not in self.special}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("pieces", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     @cached_property
     def library(self):
         from tokenizers import Tokenizer
 
         return Tokenizer.from_file(self.path)
 
+    def slow(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def __missing__(self, key: str) -> bytes:
         if (value := self.old.pop(key, None)) is None:
             value = np.array(self.fast.encode_ordinary(key), "<u4").tobytes()
@@ -77,8 +97,8 @@ class Ids(dict):
         return value
 
     def encode(self, text: str) -> bytes:
-        if self.special is not None and "<|" in text and self.special.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.fast is None or any(x in text for x in self.special) or (len(text) > LONG_SPACE and WIDE.search(text)):
+            return self.slow(text)
         if "  " in text:
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -149,20 +169,44 @@ def priced_patterns(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: i
     return float(best[capacity]), out
 
 
+# The driver's matrix products and inverses are plain loops of numpy: the threads of a BLAS library can stand still for ever in
+# a process that has started a JVM.
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of a vector and a matrix, or of a matrix and a vector."""
+    return np.einsum("i,ij->j", a, b) if a.ndim == 1 else np.einsum("ij,j->i", a, b)
+
+
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots."""
+    n = len(a)
+    work = np.concatenate([a, np.eye(n)], 1)
+    for i in range(n):
+        p = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[i]
+    return work[:, n:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 8000) -> list[tuple[float, np.ndarray]]:
     """Patterns and how often to use each: the linear program's optimum up to gap (any stop leaves a feasible plan)."""
     m = len(sizes)
     unit = np.eye(m)
-    basis, cost = [unit[i] * (capacity // sizes[i]) for i in range(m)], np.ones(m)  # a pattern costs a sequence, a surplus nothing
+    basis, cost = unit * (capacity // sizes)[:, None], np.ones(m)  # a row a pattern; a pattern costs a sequence, a surplus nothing
     inverse = np.diag(1.0 / (capacity // sizes))
-    use = inverse @ demand
-    ideal = float(sizes @ demand) / capacity
+    use = times(inverse, demand)
+    ideal = float((sizes * demand).sum()) / capacity
 
     def enter(column: np.ndarray, price: float) -> bool:
         nonlocal use, inverse
-        if (cost @ inverse) @ column <= price + 1e-9:
+        if (times(cost, inverse) * column).sum() <= price + 1e-9:
             return False
-        step = inverse @ column
+        step = times(inverse, column)
         able = step > 1e-9
         ratio = np.where(able, use / np.where(able, step, 1), np.inf)
         r = int(ratio.argmin())
@@ -170,31 +214,33 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
             use = np.maximum(use - ratio[r] * step, 0)
             use[r] = ratio[r]
             row = inverse[r] / step[r]
-            inverse -= np.outer(step, row)
+            inverse -= step[:, None] * row
             inverse[r] = row
             basis[r], cost[r] = column, price
         return True
 
     center, pull, bound = sizes / capacity, 0.95, ideal  # prices by size alone are feasible; pulled towards them, prices settle sooner
-    since = float(cost @ use)
+    paid = lambda: float((cost * use).sum())
+    since = paid()
     for turn in range(rounds):
-        for i in np.flatnonzero(cost @ inverse < -1e-9):  # more of a class than asked for is allowed
+        for i in np.flatnonzero(times(cost, inverse) < -1e-9):  # more of a class than asked for is allowed
             enter(-unit[i], 0.0)
-        worth = pull * center + (1 - pull) * np.maximum(cost @ inverse, 0)
+        worth = pull * center + (1 - pull) * np.maximum(times(cost, inverse), 0)
         value, columns = priced_patterns(sizes, worth, capacity)
-        bound = max(bound, float(worth @ demand) / value)
-        if cost @ use <= bound * (1 + gap):
+        bound = max(bound, float((worth * demand).sum()) / value)
+        if paid() <= bound * (1 + gap):
             break
         if not any([enter(c, 1.0) for c in columns]):
             if pull == 0:
                 break
             pull = 0 if pull < 0.1 else pull / 2
         if turn % 100 == 99:
-            inverse = np.linalg.inv(np.array(basis).T)  # against rounding errors
-            use = np.maximum(inverse @ demand, 0)
-            if (last := since - float(cost @ use)) < max(gap / 5 * since, 0.05) and pull == 0:
+            if np.abs(times(use, basis) - demand).max() > DRIFT * demand.max():  # against rounding errors
+                inverse = inverted(basis.T)
+                use = np.maximum(times(inverse, demand), 0)
+            if (last := since - paid()) < max(gap / 5 * since, 0.05) and pull == 0:
                 break
-            pull, since = 0 if last < max(gap * since, 0.5) else pull, float(cost @ use)
+            pull, since = 0 if last < max(gap * since, 0.5) else pull, paid()
     return [(float(u), p.astype(np.int64)) for u, p, c in zip(use, basis, cost) if u > 1e-9 and c]
 
 
@@ -250,7 +296,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, seed: int = 17
     for n, k in lengths.items():
         histogram[-(-n // unit)] += k
     pieces = pieces.withColumn("size", F.expr(f"(length + {unit - 1}L) div {unit}L"))
-    classes = spark.createDataFrame([(s, max(1, -(-n // BUCKET_ROWS))) for s, n in histogram.items()], "c_size long, buckets long")
+    classes = spark.createDataFrame([(s, max(-(-n // BUCKET_ROWS), min(-(-n // LEAST_ROWS), LEAST_BUCKETS))) for s, n in histogram.items()], "c_size long, buckets long")
     runs = spark.createDataFrame(plan(histogram, capacity // unit), "r_size long, lo long, hi long, base long, each long")
     keyed = pieces.join(F.broadcast(classes), F.col("size") == F.col("c_size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")).withColumn("bucket", F.pmod("h", "buckets"))
     counts = running_offsets(keyed.groupBy("size", "bucket").agg(F.count("*").alias("n")), ["size"], "bucket", "n").select(F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), "before")

@@ -1,7 +1,11 @@
 """Packing, licences, media, pieces and toxicity against libraries, brute force and round trips."""
 
 import hashlib
+import json
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -260,3 +264,30 @@ def test_whole_texts_are_decoded(monkeypatch):
 
     monkeypatch.setattr(own, "library", Library())
     assert own.digests(["one two three"])[0][2] == hashlib.sha256(b"decoded").hexdigest()
+
+
+def test_plan_beside_a_session(tmp_path):
+    """The plan must not stand still in a process that has started a JVM, whatever the threads of its BLAS."""
+    code = "from namelode.session import local_session; local_session(1).range(3).count(); from namelode.llm.op02_packing import plan; print(len(plan({s: 7 * s % 90 + 1 for s in range(1, 257)}, 256)) > 0)"
+    env = {k: v for k, v in os.environ.items() if not k.endswith("_NUM_THREADS")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), env=env, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split()[-1:] == ["True"], done.stderr[-500:]
+
+
+def test_inverse():
+    a = np.random.default_rng(8).random((60, 60)) - 0.5
+    assert np.abs(packing.times(packing.inverted(a), a[:, 7]) - np.eye(60)[7]).max() < 1e-8
+    assert np.abs(packing.times(a[3], packing.inverted(a)) - np.eye(60)[3]).max() < 1e-8
+
+
+def test_long_white_space_and_other_vocabularies(tmp_path):
+    own = packing.ids_of(BPE)
+    for text in (" " * 3_000_000, "\n" * 3_000_000, "a" + " \n" * 300_000 + "b  c", "x <|endoftext|> y", " " * 50_000):
+        assert own.encode(text) == own.slow(text)
+    spec = json.load(open(BPE, encoding="utf-8"))
+    changes = [{"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}]
+    for i, change in enumerate(changes):  # the library takes what the fast encoder does not know
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(spec | change))
+        other = packing.Ids(str(path))
+        assert other.fast is None and other.encode("Some  text, it's HERE") == other.slow("Some  text, it's HERE")
