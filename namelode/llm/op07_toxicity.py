@@ -6,7 +6,9 @@
    price, and a space between characters set apart for the end of a word or for nothing. Viterbi's algorithm finds the
    letters and ends of words that are likeliest under the trigram model and those prices.
 3. The restored words are scored: words and word beginnings that labelled toxic documents have far more often than others
-   add their log odds, and a logistic curve fitted on the same rows turns sums into scores.
+   add their log odds, and a logistic curve fitted on the same rows turns sums into scores. How much evidence a feature needs
+   follows from how many features are frequent enough to have so much (Tarone's bound), so small tables get weights too;
+   places with the same words around them (copies of a text) count once.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows, those with the smallest hashes of their ids, all outside the
 held-out fold. Everything else is counted over all documents.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import small_batches, tidy, written
 
 TRAIN_ROWS = 10_000
 FOLDS = 5
 PREFIXES = (3, 4, 5, 6)
 LEAST_RATIO = 20.0
-EVIDENCE = math.log(1e6)  # of a feature's log likelihood ratio: about one in a million features has it by chance
+MOST_FEATURES = 100_000
+CHANCE, WEAK_CHANCE = 0.1, 3  # how many features may seem toxic by chance, and how many if they get a smaller weight
 MEMO_WORDS = 200_000
 #: Letters that digits and signs imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -125,7 +129,7 @@ def unlinked(letters: tuple) -> str:
 
 
 EDGES = re.compile(r"^[^\w@$!|+(€£]+|[\W_]+$")
-ODD = re.compile(r"[\W\d_]|(.)\1\1")
+ODD = re.compile(r"[\W\d_]|(.)\1\1|(\w)\2(\w)\3")  # signs, one letter three times, or two doubled letters side by side
 APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
@@ -147,9 +151,18 @@ class Model:
             word = decode(word, self.costs)
         return word
 
+    def split_words(self, tokens: list[str]) -> Iterator[str]:
+        """Known words that a space cuts in two, where the lattice of the two parts drops the space."""
+        for a, b in zip(tokens, tokens[1:]):
+            if a + b in self.weights and decode(f"{a} {b}", self.costs) == a + b:
+                yield a + b
+
     def words(self, text: str) -> list[str]:
-        """What white space separates, and for each run of characters set apart: them as one token and as the likeliest words."""
+        """What white space separates, known words among them that were cut by a space, and for each run of characters set
+        apart: them as one token and as the likeliest words."""
         found = text.split()
+        if self.weights:
+            found += list(self.split_words(text.lower().split()))
         for m in APART.finditer(text):
             run = m.group().lower()
             found.append("".join(run.split()))
@@ -200,16 +213,54 @@ def feature_counts(labelled: DataFrame, model: Model) -> DataFrame:
     return labelled.mapInArrow(tidy(run), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def contexts(labelled: DataFrame, model: Model, wanted: set[str]) -> DataFrame:
+    """feature, places: for each wanted feature the number of places in toxic documents that differ in the words around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch.column(0):
+                tokens = model.words(text.as_py() or "")
+                for before, token, after in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+                    own = [f for f in model.features(model.restore(token)) if f in wanted]
+                    around = zlib.crc32(f"{before} {after}".encode("utf-8", "replace"))
+                    found.update((f, around) for f in own)
+            names, around = zip(*found) if found else ((), ())
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(around, pa.int64())], ["feature", "around"])
+
+    return labelled.where("toxic = 1").mapInArrow(tidy(run), "feature string, around long").groupBy("feature").agg(F.countDistinct("around").alias("places"))
+
+
+def least_evidence(frequencies: dict[int, int], share: float, chance: float = CHANCE) -> float:
+    """The log likelihood ratio from which on about so many features are expected by chance.
+
+    frequencies: how many features are in so many documents. A feature in n documents has at most n * -log(share), so only
+    those that can reach a bound count against it.
+    """
+    bound = 0.0
+    for n in sorted(frequencies, reverse=True):
+        reach, able = n * -math.log(share), sum(k for m, k in frequencies.items() if m >= n)
+        wider = math.log(max(1.0, able / chance))
+        if reach <= wider:  # with those in so few documents the bound would be out of their reach, so they don't count
+            return max(bound, reach)
+        bound = wider
+    return bound
+
+
 def fit_curve(totals: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and base of the logistic curve, by Newton's method with a little ridge."""
-    x, w = np.stack([totals, np.ones(len(totals))], 1), np.zeros(2)
+    """Slope and base of the logistic curve, by Newton's method with a little ridge (no BLAS: see ``op02_packing``)."""
+    a = b = 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (toxic - p) - 1e-2 * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(a * totals + b, -500, 500)))
+        q, miss = p * (1 - p), toxic - p
+        xx, x1, one = float((totals * totals * q).sum()) + 1e-2, float((totals * q).sum()), float(q.sum()) + 1e-2
+        gx, g1 = float((totals * miss).sum()) - 1e-2 * a, float(miss.sum()) - 1e-2 * b
+        det = xx * one - x1 * x1
+        da, db = (one * gx - x1 * g1) / det, (xx * g1 - x1 * gx) / det
+        a, b = a + da, b + db
+        if max(abs(da), abs(db)) < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return a, b
 
 
 def fold_of(doc_id: str = "doc_id"):
@@ -225,17 +276,29 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     model = Model(costs_of(counts))
     known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and l_id is not null").where(fold_of("l_id") != 0)
     chosen = known.groupBy("l_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(train_rows)
-    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "toxic")  # train_rows rows at most
+    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    labelled = written(labelled.select("text", "toxic"), "labelled")  # train_rows rows at most, whatever ids repeat
     kinds = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     pos, neg = kinds.get(1, 0), kinds.get(0, 0)
     if not pos or not neg:
         model.base = -20.0 if not pos else 20.0
         return model
-    ratio = ((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("neg") + 0.5) / (neg + 1))
+    counted = written(feature_counts(labelled, model), "features")
     seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
-    part = lambda n, q: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / seen / q)).otherwise(0.0)
-    kept = feature_counts(labelled, model).where((ratio >= LEAST_RATIO) & (part("pos", share) + part("neg", 1 - share) >= EVIDENCE))
-    model.weights = {r["feature"]: math.log(r["ratio"]) for r in kept.select("feature", ratio.alias("ratio")).collect()}
+    frequencies = {r["n"]: r["count"] for r in counted.groupBy(seen.alias("n")).count().collect()}  # a row for each number of documents
+    least, enough = (least_evidence(frequencies, share, c) for c in (WEAK_CHANCE, CHANCE))
+    counted = counted.where((F.col("pos") + 0.5) * (neg + 1) >= LEAST_RATIO * (F.col("neg") + 0.5) * (pos + 1)).where(F.col("pos") * -math.log(share) >= least)
+    found = {r["feature"]: (r["pos"], r["neg"]) for r in counted.orderBy(F.desc("pos"), "feature").limit(MOST_FEATURES + 1).collect()}
+    if len(found) > MOST_FEATURES:  # never cut in silence; the evidence asked for leaves far fewer
+        raise ValueError(f"more than {MOST_FEATURES} features seem toxic")
+    places = {r["feature"]: r["places"] for r in contexts(labelled, model, set(found)).collect()}
+    for name, (p, n) in found.items():
+        p = min(p, places.get(name, 0))
+        part = sum(k * math.log(k / (p + n) / q) for k, q in ((p, share), (n, 1 - share)) if k)
+        ratio = (p + 0.5) / (pos + 1) / ((n + 0.5) / (neg + 1))
+        if ratio >= LEAST_RATIO and part >= least:
+            model.weights[name] = math.log(ratio) * min(1.0, part / enough) ** 2
+    model.memo.clear()
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

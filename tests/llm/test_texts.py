@@ -291,3 +291,39 @@ def test_long_white_space_and_other_vocabularies(tmp_path):
         path.write_text(json.dumps(spec | change))
         other = packing.Ids(str(path))
         assert other.fast is None and other.encode("Some  text, it's HERE") == other.slow("Some  text, it's HERE")
+
+
+def test_scores_of_disguised_words(spark):
+    """Held-out toxic documents whose insults are disguised keep their verdict; clean ones with as much noise stay clean."""
+    base = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{base}/documents.parquet").selectExpr("cast(doc_id as bigint) as doc_id", "text")
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    insults = [w for w in model.weights if w.isalpha() and len(w) > 3]
+    assert len(insults) >= 8
+    disguise = [lambda w: w.translate(str.maketrans("oiase", "01@$3")), lambda w: ".".join(w), lambda w: w[:2] + w[2] * 5 + w[3:], lambda w: " ".join(w), lambda w: "".join(c + c for c in w), lambda w: f"{w[:2]} {w[2:]}", lambda w: "  ".join(w)]
+    rows = docs.join(labels, "doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    telling = [r for r in held if r["toxic"] and any(w in r["text"].lower() for w in insults)]
+    assert telling and len(telling) >= 0.6 * sum(r["toxic"] for r in held)  # the rest are labels without a telling word
+    for k, how in enumerate(disguise):
+        changed = [re.sub("|".join(insults), lambda m: how(m.group().lower()), r["text"], flags=re.I) for r in telling]
+        assert sum(model.score(model.total(t)[0]) >= 0.5 for t in changed) >= 0.9 * len(telling), k
+    clean = [r["text"] for r in held if not r["toxic"]]
+    noisy = [re.sub(r"\b\w{5}\b", lambda m: disguise[i % 7](m.group().lower()), t) for i, t in enumerate(clean)]
+    assert sum(model.score(model.total(t)[0]) >= 0.5 for t in noisy) <= 0.02 * len(noisy)
+
+
+def test_evidence(spark):
+    assert toxicity.least_evidence({1: 1000, 3: 10}, 0.1, 1.0) == pytest.approx(np.log(10))
+    filler = [f"n{i}" for i in range(400)]
+    rng = np.random.default_rng(4)
+    fresh = lambda n: " ".join(rng.choice(filler, n))
+    copied = f"{fresh(5)} rareword {fresh(5)}"
+    rows = [(i, f"{fresh(8)} insult {fresh(8)} {copied if i < 20 else ''}") for i in range(40)] + [(100 + i, fresh(20)) for i in range(160)]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int"))
+    assert "insult" in model.weights and "rareword" not in model.weights  # copies of one place count once
+    twice = docs.union(docs)
+    again = toxicity.fit(twice, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows] * 2, "doc_id long, toxic int"))
+    assert again.weights == model.weights
