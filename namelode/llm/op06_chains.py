@@ -1,10 +1,10 @@
 """Repeated passages by collinear chaining.
 
-1. Seeds: every run of SEED words that more than one document has, found by the exchange of ``shingles``. The first document
-   (by id) that has a seed and the run behind it is its source, else the first that has the seed; every other document's
-   seeds are matched with the source only, so a passage that a third of all documents share gives a match a document and
-   seed, never pairs. Twelve words that an earlier document has are thus always found; a fuzzy passage whose seeds were all
-   first seen elsewhere is not.
+1. Seeds: closed syncmers of SEED words, chosen by their own words alone; a run of nine words that two documents share holds
+   one. Seeds go to buckets with some bits of the words around them. There each seed of a document is joined with one source:
+   the first document (by id) that shares MIN_PART words around it, else the first that shares nine, else the first that has
+   the seed. So a passage that a third of all documents share gives a match a document and seed, never pairs, and twelve
+   words that an earlier document has are always found; a fuzzy passage whose seeds were all first seen elsewhere is not.
 2. The matches of two documents, joined to exact runs where they touch, are chained: in the order of their places in one
    document, each takes the best chain so far that ends before it in the other, found in a Fenwick tree of prefix maxima,
    less the cost of the gaps between them.
@@ -24,78 +24,192 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, tidy, written
-from .shingles import bucket_bits, exchange, shingle_hashes, text_rows, unplanes, word_hashes
+from .shingles import PLACE, STEP, bucket_bits, mix, planes, runs, unplanes, word_hashes
 
-SEED = 6
+SEED, SUB = 6, 2
+BEFORE, AFTER, FIELD = 3, 6, 5
+CONTEXT_BYTES = -(-(BEFORE + AFTER) * FIELD // 8)
+CHUNK_SEEDS, HOT = 1_000_000, 16
+SPANS, PART_WORDS = 2000, 100_000
 MIN_WORDS, MIN_PART, MIN_IDENTITY = 40, 12, 0.8
 GAP_COST, MAX_GAP = 0.05, 60
-GROW, BAND, DROP = 64, 8, 12
+GROW, BAND, DROP = 48, 8, 12
 WEIGHT = 4  # matched words that make up for an edit at MIN_IDENTITY
 CHAINS = "doc_id long, source_id long, start long, end long, source_start long, source_end long, anchors array<long>"
+WORDED = "own boolean, doc_id long, first long, until long, source_id long, start long, end long, source_start long, source_end long, anchors array<long>, words binary"
 PARTS = "doc_id long, source_id long, start_word long, end_word long, source_start long, source_end long, matched long, edits long"
 
 
-def seed_rows(docs: DataFrame) -> DataFrame:
-    """seed, next, doc_id, pos: the runs of SEED words that other documents have too, the run behind each (0 without one) and
-    the places of their first words."""
-    bits = bucket_bits(docs)
-    # num 0: what a document shares comes back however little it is
-    shared = exchange(text_rows(docs, SEED, bits), bits, 0, 1).where("octet_length(tokens) > 0").select(F.col("doc_id").alias("s_id"), "tokens").dropDuplicates(["s_id"])
+def seeds_of(words: np.ndarray, filler: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes (48 bits) and contexts of a text's seeds.
+
+    A seed is a closed syncmer: a run of SEED words whose smallest run of SUB words is its first or its last. Whether a run is
+    one depends on its words alone, and of SEED - SUB runs in a row at least one is. The context holds FIELD bits of each of
+    the BEFORE words in front and the AFTER words behind; where the text ends, bits made of filler stand for them.
+    """
+    n = len(words) - SEED + 1
+    if n <= 0:
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, none
+    sub = mix(sum(words[j : len(words) - SUB + 1 + j] * PLACE[32 + j] for j in range(SUB)))
+    inner = np.minimum.reduce([sub[j : j + n] for j in range(1, SEED - SUB)])
+    at = np.flatnonzero(np.minimum(sub[:n], sub[SEED - SUB :]) <= inner)
+    seed = mix(sum(words[at + j] * PLACE[j] for j in range(SEED))) >> np.uint64(16)
+    edge = mix(np.arange(BEFORE + AFTER, dtype=np.uint64) + np.uint64(filler % (1 << 62)) * np.uint64(16))
+    around = np.concatenate([edge[:BEFORE], words, edge[BEFORE:]]) >> np.uint64(64 - FIELD)
+    context = np.zeros(len(at), np.uint64)
+    for k in range(BEFORE + AFTER):
+        context |= around[at + k + (SEED if k >= BEFORE else 0)] << np.uint64(FIELD * k)
+    return at, seed, context
+
+
+def earliest(group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows in the order of doc and place: the row of the first document with the same group and key, the same of its
+    places if it has so many; -1 in that document itself."""
+    both = mix(group * STEP + key)
+    order = np.argsort(both, kind="stable")
+    both, own, at = both[order], doc[order], np.arange(len(order))
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    run = new | np.concatenate([[True], own[1:] != own[:-1]])
+    start, first = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new, run))
+    count = np.diff(np.append(np.flatnonzero(run), len(at)))[np.cumsum(run)[start] - 1]
+    source = start + np.minimum(at - first, count - 1)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(own[source] == own, -1, order[source])
+    return out
+
+
+def sources_of(seed: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows in the order of seed, doc and place: the row of the source, or -1.
+
+    The source is the first document that shares MIN_PART words around the seed, which are an alignment by themselves; else
+    the first that shares SEED + 3 words; else the first that has the seed.
+    """
+    group = np.cumsum(np.concatenate([[0], seed[1:] != seed[:-1]]).astype(np.uint64))
+    found = np.full(len(seed), -1, np.int64)
+    open_ = np.arange(len(seed))
+    for words in (AFTER, BEFORE, 0):
+        mask = np.uint64((1 << FIELD * words) - 1)
+        best = np.full(len(seed), len(seed), np.int64)
+        for before in range(min(words, BEFORE) + 1):
+            key = (context >> np.uint64(FIELD * (BEFORE - before))) & mask
+            row = earliest(group, key, doc)
+            best = np.minimum(best, np.where(row < 0, len(seed), row))
+        hit = open_[best[open_] < len(seed)]
+        found[hit] = best[hit]
+        open_ = open_[best[open_] == len(seed)]
+        if not len(open_):
+            break
+    return found
+
+
+def packed(*columns: tuple[np.ndarray, int]) -> bytes:
+    return len(columns[0][0]).to_bytes(8, "little") + b"".join(planes(c.view("<u8") if c.dtype == np.int64 else c, w) for c, w in columns)
+
+
+def unpacked(rows: list[bytes], widths: tuple[int, ...]) -> list[np.ndarray]:
+    parts: list[list[np.ndarray]] = [[] for _ in widths]
+    for data in rows:
+        n, at = int.from_bytes(data[:8], "little"), 8
+        for own, w in zip(parts, widths):
+            own.append(unplanes(data[at : at + n * w], w))
+            at += n * w
+    return [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
+
+
+def dealt(key: np.ndarray, bits: int, columns: tuple[tuple[np.ndarray, int], ...]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed rows) for each bucket that has any, by the top bits of 48-bit keys."""
+    bucket = (key >> np.uint64(48 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield int(bucket[part[0]]), packed(*((c[part], w) for c, w in columns))
+
+
+def group_of(doc: np.ndarray) -> np.ndarray:
+    return mix(doc.view("<u8")) >> np.uint64(16)
+
+
+def buckets_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
+
+
+def in_order(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows by seed, document and place, each once (a document's row may be there twice)."""
+    order = np.lexsort((pos, doc, seed))
+    seed, context, doc, pos = (x[order] for x in (seed, context, doc, pos))
+    new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
+    return (seed, context, doc, pos) if new.all() else (seed[new], context[new], doc[new], pos[new])
+
+
+def seed_rows(docs: DataFrame, bits: int) -> DataFrame:
+    """bucket, kind, data: what a task has seen, a chunk of some million words at a time.
+
+    kind 0: seeds with their contexts and places by bucket of seeds. A seed that HOT or more of the chunk's documents have in
+    the same context goes there once, with the first of them; the others' matches with that one are rows of kind 1, by group
+    of documents. So a passage that a third of all documents share comes to a bucket less than HOT times a chunk.
+    """
+
+    def flush(seeds: list, contexts: list, ids: list, places: list) -> Iterator[pa.RecordBatch]:
+        seed, context, doc, pos = (np.concatenate(x) for x in (seeds, contexts, ids, places))
+        seed, context, doc, pos = in_order(seed, context, doc, pos)
+        source = earliest(seed, context, doc)
+        _, same, count = np.unique(np.where(source < 0, np.arange(len(seed)), source), return_inverse=True, return_counts=True)
+        sent = (source < 0) | (count[same] < HOT)
+        copied = np.flatnonzero(~sent)
+        rows = [(b, 0, data) for b, data in dealt(seed[sent], bits, ((seed[sent], 6), (context[sent], CONTEXT_BYTES), (doc[sent], 8), (pos[sent], 4)))]
+        rows += [(b, 1, data) for b, data in matched(doc, pos, copied, source[copied], bits)]
+        yield buckets_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[list] = [[], [], [], []]
+        size = 0
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.slice(i, 200)
-                ids, hashes, following, places = [], [], [], []
-                for doc_id, tokens, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
-                    if len(words) < SEED:
-                        continue
-                    h = shingle_hashes(words, SEED)
-                    known, short = np.sort(unplanes(tokens, 6)), h >> np.uint64(16)
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short)
-                    ids.append(np.full(len(at), doc_id, np.int64))
-                    hashes.append(h[at].astype(np.int64))
-                    following.append(np.append(h, np.zeros(SEED, np.uint64))[at + SEED].astype(np.int64))
-                    places.append(at)
-                if ids:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, following, ids, places)], ["seed", "next", "doc_id", "pos"])
-
-    joined = docs.join(shared, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "tokens")
-    return joined.mapInArrow(tidy(run), "seed long, next long, doc_id long, pos long")
-
-
-def first_matches(seeds: DataFrame) -> DataFrame:
-    """doc_id, source_id, pos, source_pos: each place of a seed with the first place in an earlier document that has it.
-
-    Where an earlier document has the next SEED words as well, the first of those documents is taken, for 2 * SEED words are
-    an alignment by themselves (MIN_PART); else the first document that has the seed.
-    """
+                ids = part.column(0).to_pylist()
+                for doc_id, words in zip(ids, word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
+                    at, seed, context = seeds_of(words, hash(doc_id))
+                    if len(at):
+                        for x, y in zip(own, (seed, context, np.full(len(at), doc_id, np.int64), at)):
+                            x.append(y)
+                        size += len(at)
+                if size >= CHUNK_SEEDS:
+                    yield from flush(*own)
+                    own, size = [[], [], [], []], 0
+        if size:
+            yield from flush(*own)
+
+    return docs.mapInArrow(tidy(run), "bucket long, kind int, data binary")
+
+
+def matched(doc: np.ndarray, pos: np.ndarray, rows: np.ndarray, sources: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    own = doc[rows]
+    return dealt(group_of(own), bits, ((own, 8), (doc[sources], 8), (pos[rows], 4), (pos[sources], 4)))
+
+
+def match_rows(seeds: DataFrame, bits: int) -> DataFrame:
+    """bucket, kind, data: matches (doc, source, place, source's place) by group of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # of the seed that may go on in the next batch: its first places, one with each next run
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = [batch.column(i).to_numpy() for i in range(4)]
-            old = 0 if held is None else len(held[0])
-            seed, after, doc, pos = own if held is None else [np.concatenate(x) for x in zip(held, own)]
-            n = len(seed)
-            new = np.concatenate([[True], seed[1:] != seed[:-1]])
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)[group]
-            order = np.lexsort((np.arange(n), after, group))  # rows are by place within a seed, so the first comes first
-            start = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (after[order][1:] != after[order][:-1])])
-            both = np.empty(n, np.int64)
-            both[order] = order[start][np.cumsum(start) - 1]
-            keep = np.unique(both[group == group[-1]])
-            held = [x[keep] for x in (seed, after, doc, pos)]
-            source = np.where((after != 0) & (doc[both] != doc), both, first)
-            rows = np.flatnonzero((doc != doc[source]) & (np.arange(n) >= old))
-            if len(rows):
-                yield pa.record_batch([pa.array(x) for x in (doc[rows], doc[source[rows]], pos[rows], pos[source[rows]])], ["doc_id", "source_id", "pos", "source_pos"])
+        for rows in runs(batches, "bucket"):
+            passed = [(r["bucket"], 1, r["data"]) for r in rows if r["kind"] == 1]
+            seed, context, doc, pos = unpacked([r["data"] for r in rows if r["kind"] == 0], (6, CONTEXT_BYTES, 8, 4))
+            doc, pos = doc.view(np.int64), pos.view(np.int64)
+            order = np.argsort(seed, kind="stable")
+            sorted_ = seed[order]
+            same = sorted_[1:] == sorted_[:-1]
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+            if len(order):
+                seed, context, doc, pos = in_order(*(x[order] for x in (seed, context, doc, pos)))
+                source = sources_of(seed, context, doc)
+                found = np.flatnonzero(source >= 0)
+                passed += [(b, 1, data) for b, data in matched(doc, pos, found, source[found], bits)]
+            if passed:
+                yield buckets_batch(passed)
 
     parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return seeds.repartition(parts, "seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(tidy(run), "doc_id long, source_id long, pos long, source_pos long")
+    return seeds.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "bucket long, kind int, data binary")
 
 
 def exact_runs(pos: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,40 +271,33 @@ def split_chain(chain: list[int], pos: np.ndarray, other: np.ndarray, length: np
 
 
 def chain_rows(matches: DataFrame) -> DataFrame:
-    def flush(key: tuple[int, int], pos: np.ndarray, other: np.ndarray) -> list[tuple]:
-        out = []
+    """The chains of each document with each of its sources. A group of documents is one bounded part of all matches."""
+
+    def flush(key: tuple[int, int], pos: np.ndarray, other: np.ndarray) -> Iterator[tuple]:
         pos, other, length = exact_runs(pos, other)
-        for chain in best_chains(pos, other, length):
+        for chain in best_chains(pos, other, length) if len(pos) > 1 else [[0]]:
             for part in split_chain(chain, pos, other, length):
                 p, o, n = pos[part], other[part], length[part]
-                out.append((*key, int(p[0]), int((p + n).max()), int(o[0]), int((o + n).max()), np.stack([p - p[0], o - o[0], n], 1).ravel().tolist()))
-        return out
+                yield *key, int(p[0]), int((p + n).max()), int(o[0]), int((o + n).max()), np.stack([p - p[0], o - o[0], n], 1).ravel().tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = [x.split()[0] for x in CHAINS.split(", ")], [*[pa.int64()] * 6, pa.list_(pa.int64())]
-        rows, key, own = [], None, []
-
-        def emit(least: int) -> Iterator[pa.RecordBatch]:
-            nonlocal rows
-            if len(rows) >= least:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                rows = []
-
-        for batch in batches:
-            d, s, p, o = (batch.column(i).to_numpy() for i in range(4))
-            cuts = np.flatnonzero((d[1:] != d[:-1]) | (s[1:] != s[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(d)]):
-                if key is not None and key != (d[a], s[a]):
-                    rows += flush(key, *map(np.concatenate, zip(*own)))
-                    own = []
-                key = (int(d[a]), int(s[a]))
-                own.append((p[a:b], o[a:b]))
-                yield from emit(5000)
-        if own:
-            rows += flush(key, *map(np.concatenate, zip(*own)))
-        yield from emit(1)
-
-    return matches.mapInArrow(tidy(run), CHAINS)
+        rows = []
+        for own in runs(batches, "bucket"):
+            doc, source, pos, other = (x.view(np.int64) for x in unpacked([r["data"] for r in own], (8, 8, 4, 4)))
+            order = np.lexsort((other, pos, source, doc))
+            doc, source, pos, other = (x[order] for x in (doc, source, pos, other))
+            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (source[1:] != source[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(doc)]):
+                rows += flush((int(doc[a]), int(source[a])), pos[a:b], other[a:b])
+                if len(rows) >= 5000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows = []
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return matches.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), CHAINS)
 
 
 def gap_edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -322,23 +429,48 @@ def align(chains: list[tuple[np.ndarray, int, np.ndarray, int, int, int, np.ndar
                 break
 
 
-def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, start, words: the words' hashes (16 bits) from start on, for each wanted (doc_id, start, end)."""
-    lists = wanted.distinct().withColumn("part", F.floor(F.col("start") / 100_000)).groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def short_words(docs: DataFrame) -> DataFrame:
+    """doc_id, all_words: 16 bits of each word's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.slice(i, 200)
+                words = word_hashes([(t.as_py() or "").encode() for t in part.column(1)])
+                yield pa.record_batch([part.column(0), pa.array([(w >> np.uint64(48)).astype("<u2").tobytes() for w in words], pa.binary())], ["doc_id", "all_words"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, all_words binary")
+
+
+def worded(docs: DataFrame, chains: DataFrame) -> DataFrame:
+    """Two kinds of rows. own: the chains with first and words, the document's words around them from the first on. Not own:
+    doc_id, first, until, words for each stretch of a source that chains ask for; a source's stretches come SPANS at a time,
+    so that a document that is the source of many costs no long row."""
+    from pyspark.sql import Window
+
+    spans = chains.select(F.col("source_id").alias("l_id"), F.greatest(F.col("source_start") - GROW, F.lit(0)).alias("first"), (F.col("source_end") + GROW).alias("until")).distinct()
+    part = F.floor(F.row_number().over(Window.partitionBy("l_id").orderBy("first", "until")) / SPANS).alias("part")
+    spans = spans.select("l_id", "first", "until", part).groupBy("l_id", "part").agg(F.collect_list(F.struct("first", "until")).alias("spans"))
+    columns = [x.split()[0] for x in CHAINS.split(", ")][1:]
+    own = chains.select(F.col("doc_id").alias("l_id"), F.floor(F.col("start") / PART_WORDS).alias("part"), F.struct(*columns).alias("chain")).groupBy("l_id", "part").agg(F.collect_list("chain").alias("chains"))
+    lists = spans.select("l_id", "spans").unionByName(own.select("l_id", "chains"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = [x.split()[0] for x in WORDED.split(", ")], [pa.bool_(), *[pa.int64()] * 8, pa.list_(pa.int64()), pa.binary()]
+        for batch in batches:
+            for i in range(0, len(batch), 200):
                 rows = []
-                for doc_id, spans, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), word_hashes([(t.as_py() or "").encode() for t in part.column(1)])):
-                    short = (words >> np.uint64(48)).astype("<u2")
-                    rows += [(doc_id, s["start"], s["end"], short[s["start"] : s["end"]].tobytes()) for s in spans]
-                ids, starts, ends, words = zip(*rows)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(words, pa.binary())], ["doc_id", "start", "end", "words"])
+                for row in batch.slice(i, 200).to_pylist():
+                    words, doc_id = row["all_words"], row["doc_id"]
+                    cut = lambda a, b: words[2 * a : 2 * b]  # noqa: E731, B023
+                    for c in row["chains"] or ():
+                        first, until = max(c["start"] - GROW, 0), c["end"] + GROW
+                        rows.append((True, doc_id, first, until, *(c[k] for k in columns), cut(first, until)))
+                    rows += [(False, doc_id, s["first"], s["until"], *[None] * len(columns), cut(s["first"], s["until"])) for s in row["spans"] or ()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    joined = docs.join(lists.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "spans")
-    return joined.mapInArrow(tidy(run), "doc_id long, start long, end long, words binary")
+    joined = short_words(docs).join(lists, F.col("doc_id") == F.col("l_id")).select("doc_id", "all_words", "spans", "chains")
+    return joined.mapInArrow(tidy(run), WORDED)
 
 
 def aligned(chains: DataFrame) -> DataFrame:
@@ -365,18 +497,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     Repetition inside one document is left alone. Other columns are not read.
     """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").where("doc_id is not null")
-    small_batches(docs.sparkSession)
-    matches = first_matches(seed_rows(picked))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chains = written(chain_rows(matches.repartition(parts, "doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "pos", "source_pos")), "chains")
-    grow = lambda a, b: (F.greatest(F.col(a) - GROW, F.lit(0)).alias("start"), (F.col(b) + GROW).alias("end"))
-    wanted = chains.select("doc_id", *grow("start", "end")).union(chains.select(F.col("source_id"), *grow("source_start", "source_end")))
-    words = written(regions(picked, wanted).dropDuplicates(["doc_id", "start", "end"]), "regions")
-    own = words.select(F.col("doc_id").alias("w_id"), F.col("start").alias("first"), F.col("end").alias("until"), "words")
-    source = words.select(F.col("doc_id").alias("s_id"), F.col("start").alias("source_first"), F.col("end").alias("source_until"), F.col("words").alias("source_words"))
-    with_words = chains.join(own, (F.col("doc_id") == F.col("w_id")) & (F.greatest(F.col("start") - GROW, F.lit(0)) == F.col("first")) & (F.col("end") + GROW == F.col("until"))).drop("w_id", "until")
-    with_words = with_words.join(source, (F.col("source_id") == F.col("s_id")) & (F.greatest(F.col("source_start") - GROW, F.lit(0)) == F.col("source_first")) & (F.col("source_end") + GROW == F.col("source_until")))
-    return passages(aligned(with_words), min_words)
+    bits = bucket_bits(picked)
+    chains = written(chain_rows(match_rows(seed_rows(picked, bits), bits)), "chains")
+    words = written(worded(picked, chains), "chain-words")
+    source = words.where("not own").select(F.col("doc_id").alias("s_id"), F.col("first").alias("source_first"), F.col("until").alias("source_until"), F.col("words").alias("source_words"))
+    asked = (F.col("source_id") == F.col("s_id")) & (F.greatest(F.col("source_start") - GROW, F.lit(0)) == F.col("source_first")) & (F.col("source_end") + GROW == F.col("source_until"))
+    with_words = words.where("own").drop("own", "until").join(source, asked)
+    return passages(aligned(with_words).repartition("doc_id").distinct(), min_words)  # a document's row may be there twice
 
 
 def passages(parts: DataFrame, min_words: int) -> DataFrame:

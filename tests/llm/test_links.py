@@ -1,6 +1,7 @@
 """Jaccard classes, components, repeated passages and the pipeline against brute force."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -229,6 +230,53 @@ def test_edited_passages(spark):
     assert sum(x > 0.5 for x in share) >= 0.95 * len(share)
 
 
+def lost_stretches(rows, covered):
+    """By brute force: stretches of MIN_WORDS words or more, all in runs of MIN_PART words that an earlier document has, that
+    are not covered; and how many there are."""
+    lost, total, seen = {}, 0, set()
+    for i in sorted(rows):
+        runs = [tuple(rows[i][k : k + chains.MIN_PART]) for k in range(len(rows[i]) - chains.MIN_PART + 1)]
+        words = sorted({k + j for k, run in enumerate(runs) if run in seen for j in range(chains.MIN_PART)})
+        for a in [w for w, before in zip(words, [-2, *words]) if w - 1 != before]:
+            b = a
+            own = covered.get(i, set())
+            inside = set(words[words.index(a) :])
+            while b in inside:
+                b += 1
+            if b - a >= chains.MIN_WORDS:
+                total += 1
+                if set(range(a, b)) - own:
+                    lost.setdefault(i, []).append((a, b, len(set(range(a, b)) - own)))
+        seen.update(runs)
+    return lost, total
+
+
+def test_exact_passages_of_the_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    covered = {}
+    for r in chains.op6_query(spark, SMALL).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    rows = {r["doc_id"]: [w for w in re.split("[\x20\x09-\x0d]+", (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) if w] for r in docs.collect()}
+    lost, total = lost_stretches(rows, covered)
+    assert total > 10 and not lost
+
+
+def test_few_places_a_chunk(spark, monkeypatch):
+    """A seed that many documents of a chunk have in one context goes to its bucket once; nothing else changes."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"h{rng.randrange(1_000_000)}" for _ in range(n)]
+    shared = fresh(80)
+    rows = [(i, " ".join(fresh(20) + shared + fresh(20))) for i in range(60)] + [(i, " ".join(shared[20:70] + fresh(30))) for i in range(60, 80)] + [(90, "z " * 3000), (91, "z " * 3000)]
+    found = {}
+    for hot in (10_000, 4):
+        monkeypatch.setattr(chains, "HOT", hot)
+        got = chains.repeated_passages(frame(spark, rows)).collect()
+        assert all(r["source_id"] < r["doc_id"] for r in got)
+        found[hot] = {(r["doc_id"], r["passage_start"], r["passage_end"]) for r in got}
+    assert found[4] == found[10_000] and {d for d, _, _ in found[4]} == {*range(1, 80), 91}
+    assert (91, 0, 3000) in found[4] and all(b - a == (80 if d < 60 else 50 if d < 80 else 3000) for d, a, b in found[4])
+
+
 def test_passages_of_lines_seen_elsewhere(spark):
     rng = random.Random(13)
     fresh = lambda n: [f"y{rng.randrange(1_000_000)}" for _ in range(n)]
@@ -245,12 +293,5 @@ def test_passages_of_lines_seen_elsewhere(spark):
     covered = {}
     for r in chains.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows.items()])).collect():
         covered.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
-    lost, seen = {}, set()
-    for i in sorted(rows):  # by brute force: the words in runs of MIN_PART words that an earlier document has
-        runs = [tuple(rows[i][k : k + chains.MIN_PART]) for k in range(len(rows[i]) - chains.MIN_PART + 1)]
-        words = {k + j for k, run in enumerate(runs) if run in seen for j in range(chains.MIN_PART)}
-        stretch = max((range(a, b) for a in words if a - 1 not in words for b in [next(b for b in range(a, len(rows[i]) + 1) if b not in words)]), key=len, default=())
-        if len(stretch) >= chains.MIN_WORDS and set(stretch) - covered.get(i, set()):
-            lost[i] = stretch
-        seen.update(runs)
+    lost, _ = lost_stretches(rows, covered)
     assert len(covered) > 40 and not lost
