@@ -3,13 +3,18 @@
 A text is lower-cased (A-Z) and reduced to its words, joined by single spaces. A notice of n characters may hold up to k
 edits. Split into k+1 pieces, at least one piece stands unchanged in any such occurrence (pigeonhole), so an Aho-Corasick
 automaton over all pieces finds every candidate; the regex library's bounded-error matching then verifies the window around
-it and tells the edits and the span. The base phrases are found exactly, by whole words.
+it, by whole words, and tells the edits and the span. Candidates that begin within k characters share a window, so a window
+has n + 3k characters at most, holds one occurrence, and the work is in proportion to the candidates. Numbers are never
+edited: a version must be the notice's own. The base phrases are found exactly, by whole words.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,6 +40,7 @@ NOTICES = {
 }
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 10
+NUMBER = re.compile("[0-9]+")
 SEPARATORS = bytes(b if b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for b in range(256))
 OUT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,word:long,words:long,edits:long>>"
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("words", pa.int64()), ("edits", pa.int64())]))
@@ -50,7 +56,9 @@ class Scanner:
         import regex
 
         self.notices = [(n, label, len(n) // chars_per_edit) for n, label in notices.items()]
-        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n)}){{e<={k}}}") for n, _, k in self.notices]
+        self.letters = [Counter(n) for n in notices]
+        self.numbers = [NUMBER.findall(n) for n in notices]
+        self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{regex.escape(n)}){{e<={k}}}(?![^ ])") for n, _, k in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(self.notices):
             cuts = [round(j * len(n) / (k + 1)) for j in range(k + 2)]
@@ -63,42 +71,34 @@ class Scanner:
 
     def fuzzy(self, words: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in order; where notices overlap, those with the smallest share of edits stay."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        starts: dict[int, set[int]] = {}
         for last, (size, owners) in self.automaton.iter(words):
             for i, at in owners:
-                n, _, k = self.notices[i]
-                start = max(0, last + 1 - size - at - k)
-                end = last + 1 - size - at + len(n) + k
-                own = windows.setdefault(i, [])
-                if own and start <= own[-1][1]:
-                    own[-1] = (min(own[-1][0], start), max(own[-1][1], end))
-                else:
-                    own.append((start, end))
-        out = []
-        for i, spans in windows.items():
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            parts = [tuple(x) for x in merged]
-            while parts:  # the best match of a part, then what lies before and behind it
-                a, b = parts.pop()
-                if (m := self.patterns[i].search(words, a, b)) is not None:
-                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    parts += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
-        out.sort(key=lambda x: (x[1], x[0]))
-        share = lambda x: x[3] / len(self.notices[x[0]][0])
-        kept, group, reach = [], [], -1
-        for x in [*out, (-1, 1 << 62, 1 << 62, 0)]:
-            if x[1] >= reach:
-                least = min(map(share, group), default=0)
-                kept += [y for y in group if share(y) == least]
-                group = []
-            group.append(x)
-            reach = max(reach, x[2])
-        return kept
+                starts.setdefault(i, set()).add(last + 1 - size - at)
+        found = []
+        for i, own in starts.items():
+            n, k, hits, first, end = len(self.notices[i][0]), self.notices[i][2], set(), None, 0
+            for start in [*sorted(own), 1 << 62]:
+                if first is not None and start > first + k:
+                    a, b = max(0, first - k), end + n + k
+                    at = max(0, a - 1)
+                    window = words[at : b + 1]
+                    # an edit makes up for one missing character at most
+                    if (self.letters[i] - Counter(window)).total() <= k and (m := self.patterns[i].search(window, a - at)) is not None and NUMBER.findall(m.group()) == self.numbers[i]:
+                        hits.add((sum(m.fuzzy_counts), m.start() + at, m.end() + at))
+                    first = None
+                first, end = start if first is None else first, start
+            taken = np.zeros(len(words) if hits else 0, bool)
+            for edits, a, b in sorted(hits):
+                if not taken[a:b].any():
+                    taken[a:b] = True
+                    found.append((edits / n, a, b, i, edits))
+        taken, kept = np.full(len(words) if found else 0, np.inf), []
+        for share, a, b, i, edits in sorted(found):
+            if taken[a:b].min() >= share:
+                taken[a:b] = share
+                kept.append((i, a, b, edits))
+        return sorted(kept, key=lambda x: (x[1], x[0]))
 
     def scan(self, text: str | None) -> tuple:
         words = normal(text or "")

@@ -6,6 +6,7 @@ import os
 import re
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -137,10 +138,11 @@ def next_row(row, x, b, i):
 def test_fuzzy_notices_are_all_found():
     scanner, rng = licenses.Scanner(), np.random.default_rng(7)
     for i, (notice, label, most) in enumerate(scanner.notices):
+        letters = [j for j, c in enumerate(notice) if not c.isdigit()]  # numbers are never edited
         for _ in range(10):
             changed = list(notice)
             for _ in range(rng.integers(0, most + 1)):
-                changed[rng.integers(len(changed))] = rng.choice(list("qxz"))
+                changed[rng.choice(letters)] = rng.choice(list("qxz"))
             changed = "".join(changed)
             assert edits(changed, notice) <= most
             got = scanner.scan(f"lorem ipsum {changed} dolor")
@@ -327,3 +329,53 @@ def test_evidence(spark):
     twice = docs.union(docs)
     again = toxicity.fit(twice, spark.createDataFrame([(i, int(i < 100)) for i, _ in rows] * 2, "doc_id long, toxic int"))
     assert again.weights == model.weights
+
+
+def spans_by_brute_force(scanner, words):
+    """(label, first word, edits) of every run of whole words within a notice's edits and with its numbers, chosen as the scanner chooses."""
+    places = [m.span() for m in re.finditer("[^ ]+", words)]
+    kept = []
+    for i, (notice, label, k) in enumerate(scanner.notices):
+        found = []
+        for x, (a, _) in enumerate(places):
+            for _, b in places[x:]:
+                if b - a > len(notice) + k:
+                    break
+                if b - a >= len(notice) - k and re.findall("[0-9]+", words[a:b]) == re.findall("[0-9]+", notice) and (e := edits(words[a:b], notice)) <= k:
+                    found.append((e, a, b))
+        own = []
+        for e, a, b in sorted(found):
+            if all(b <= c or d <= a for _, c, d in own):
+                own.append((e, a, b))
+        kept += [(e / len(notice), a, b, i, e, label) for e, a, b in own]
+    out = []
+    for x in sorted(kept):
+        if all(x[2] <= y[1] or y[2] <= x[1] or y[0] == x[0] for y in out):
+            out.append(x)
+    return sorted((label, words.count(" ", 0, a), e) for _, a, _, _, e, label in out)
+
+
+def test_spans_against_brute_force():
+    scanner, rng = licenses.Scanner(), np.random.default_rng(9)
+    notices = [n for n, _, _ in scanner.notices]
+    texts = ["gnu lesser general public licence gnu lesser general public license", "under the bsd licence under the bsd license", "thunder the mit licensed", "gnu general public license version 4", "licensed under cc by sa 4 0 licensed under cc by nc 4 0", "under the mit license under the mit licens under the mi license"]
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.integers(1, 5)):
+            changed = list(notices[rng.integers(len(notices))])
+            for _ in range(rng.integers(0, 4)):
+                at = rng.integers(len(changed))
+                changed[at : at + 1] = [[], ["x"], [changed[at], "q"], [" "]][rng.integers(4)]
+            parts += [" ".join(rng.choice(["lorem", "the", "license", "2", "under"], rng.integers(0, 4))), "".join(changed)]
+        texts.append(licenses.normal(" ".join(parts)))
+    for text in texts:
+        got = sorted((s["label"], s["word"], s["edits"]) for s in scanner.scan(text)[-1])
+        assert got == spans_by_brute_force(scanner, text), text
+
+
+@pytest.mark.parametrize("text", ["under the mit licens ", "permission is hereby ", "license", "under the "])
+def test_scan_takes_linear_time(text):
+    scanner = licenses.Scanner()
+    started = time.perf_counter()
+    scanner.scan(text * (1_000_000 // len(text)))
+    assert time.perf_counter() - started < 30
