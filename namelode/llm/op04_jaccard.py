@@ -3,12 +3,16 @@
 1. The exchange of ``shingles`` keeps the documents most of whose shingles are in other documents too: a document that links
    with another shares at least the threshold's part of its set. Equal sets are one from there on, and the exchange runs
    again among the different ones. It also gives every shingle's document frequency, the order of the index.
-2. Index: each set lists its rarest shingles (prefix filter) with the shingle's position. A list is cut into windows by set
-   size, and within a list whole blocks of positions are skipped that leave too few shingles for any set of the list.
+2. Index: each set lists its rarest shingles (prefix filter). A list is cut into windows by set size and into blocks by how
+   many shingles a set has left from its position on. Of a block only that number's maximum and the smallest set size are
+   looked at: blocks that leave too few for any set of the list are skipped whole, before any entry of theirs is read.
 3. Lists are never turned into pairs. The smallest set of a list leads it; sets are gathered with their leader, in blocks of
-   bounded size, and a block's intersections come from one matrix product over the shingles that its sets share.
-4. Answers are derived from the leader's: sets that link with the leader are linked with each other through it, so only sets
-   that don't (far ones) are compared with the leader's other blocks.
+   bounded size. There the leader's answer (the size of its intersection with every set) is counted from a small inverted
+   index, and every other set's answer is derived from that of the set most like it that has one: what is counted are only
+   the lists of the shingles by which the two differ.
+4. Sets that link with the leader are linked with each other through it. Of those that don't, only the ones near enough to
+   link with such a set (Jaccard distance is a metric, so at most twice the threshold's distance from the leader) are compared
+   with all of the leader's other blocks; the remote ones are compared with what is not linked with the leader.
 5. Links, already reduced to a forest by each task, are joined to components.
 """
 
@@ -22,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .components import components
 from .shingles import SPACES, bucket_bits, exchange, set_rows, text_rows, unplanes
 
-BLOCK_SETS, BLOCKS, MAX_BLOCK_SETS = 96, 48, 2048
-STRIP = 4096
+BLOCK_SETS, BLOCKS, MAX_BLOCK_SETS, BLOCK_TOKENS = 96, 48, 2048, 1 << 21
 ENTRIES = "token long, rep long, n long, pos long"
-LINKS = "a long, b long, far boolean"
+NEAR, MIDDLE, REMOTE = 0, 1, 2
+LINKS = "a long, b long, far int"
 
 
 def prefix_entries(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -59,28 +63,43 @@ def joined(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by matrix products over strips of the shingles that more than one set has."""
-    sets = left if left is right else left + right
-    flat = np.concatenate(sets)
-    tokens, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    row, keep = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), count[column] > 1
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    shared = int((count > 1).sum())
-    for a in range(0, shared, STRIP):
-        i, j = np.searchsorted(column, [a, a + STRIP])
-        x = np.zeros((len(sets), min(STRIP, shared - a)), np.float32)
-        x[row[i:j], column[i:j] - a] = 1
-        out += x @ x.T if left is right else x[: len(left)] @ x[len(left) :].T
+def counted(lists: np.ndarray, start: np.ndarray, count: np.ndarray, tokens: np.ndarray, sets: int) -> np.ndarray:
+    """How many of the tokens each set has: their lists are read, and no others."""
+    k = count[tokens]
+    at = np.repeat(start[tokens] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+    return np.bincount(lists[at], minlength=sets)
+
+
+def derived(sets: list[np.ndarray], asked: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``asked`` sets with all: each from the answer of the most similar one before it."""
+    lengths = np.array([len(s) for s in sets])
+    tokens, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    lists = np.repeat(np.arange(len(sets)), lengths)[np.argsort(column, kind="stable")]
+    start = np.cumsum(count) - count
+    own = np.split(column, np.cumsum(lengths)[:-1])
+    out = np.zeros((asked, len(sets)), np.int64)
+    mark = np.zeros(len(tokens), bool)
+    for i in range(asked):
+        apart = lengths[:i] + lengths[i] - 2 * out[:i, i]
+        if i and apart[p := int(apart.argmin())] < lengths[i]:
+            mark[own[p]] = True
+            more = own[i][~mark[own[i]]]
+            mark[own[p]] = False
+            mark[own[i]] = True
+            less = own[p][~mark[own[p]]]
+            mark[own[i]] = False
+            out[i] = out[p] + counted(lists, start, count, more, len(sets)) - counted(lists, start, count, less, len(sets))
+        else:
+            out[i] = counted(lists, start, count, own[i], len(sets))
     return out
 
 
-def linked(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray], nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    both = intersections(a, b).astype(np.int64)
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    return derived(left, len(left)) if left is right else derived(left + right, len(left))[:, len(left) :]
+
+
+def linked(both: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     return (num + den) * both >= num * (na[:, None] + nb[None, :])
 
 
@@ -93,68 +112,87 @@ def read_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return table["rep"].to_numpy(), table["n"].to_numpy(), [unplanes(t.as_py(), 6) for t in table["tokens"]]
 
 
-def out_links(edges: list[tuple[int, int]], far: list[int]) -> pa.Table:
+def out_links(edges: list[tuple[int, int]], far: list[tuple[int, int]], leader: int | None = None) -> pa.Table:
+    """Links, and sets that don't link with the leader with how far they are from it."""
     a, b = zip(*edges) if edges else ((), ())
-    return pa.table({"a": pa.array([*a, *far], pa.int64()), "b": pa.array([*b, *far], pa.int64()), "far": pa.array([False] * len(a) + [True] * len(far), pa.bool_())})
+    c, d = zip(*far) if far else ((), ())
+    out = {"a": pa.array([*a, *c], pa.int64()), "b": pa.array([*b, *c], pa.int64()), "far": pa.array([*[NEAR] * len(a), *d], pa.int32())}
+    return pa.table(out | ({} if leader is None else {"leader": pa.array([leader] * len(out["a"]), pa.int64())}))
+
+
+def index_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """leader, rep, n: the sets of each list that reach it, with the list's smallest set, its leader; blocks that can't are skipped."""
+    ratio = math.log(den / num) if num < den else 1.0
+    window = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")  # sizes that link differ by less than two windows
+    left = F.col("n") - F.col("pos")
+    step = F.floor(F.log(left.cast("double")) / ratio * 4).cast("int")
+    windowed = entries.select("token", "rep", "n", left.alias("left"), step.alias("block"), F.explode(F.array(window, window - 1)).alias("w"))
+    blocks = windowed.groupBy("token", "w", "block").agg(F.min(F.struct("n", "rep")).alias("first"), F.max("left").alias("most"), F.count("*").alias("k"))
+    lists = blocks.groupBy("token", "w").agg(F.min("first").alias("first"), F.sum("k").alias("k")).where("k > 1").select(F.col("token").alias("t"), F.col("w").alias("v"), F.col("first.n").alias("least"), F.col("first.rep").alias("leader"))
+    enough = lambda left, n: F.expr(f"{left} * {num + den} >= {num} * ({n} + least)")
+    kept = blocks.join(lists, (F.col("token") == F.col("t")) & (F.col("w") == F.col("v"))).where(enough("most", "first.n")).select("t", "v", F.col("block").alias("b"), "least", "leader")
+    reach = windowed.join(kept, (F.col("token") == F.col("t")) & (F.col("w") == F.col("v")) & (F.col("block") == F.col("b"))).where(enough("left", "n"))
+    return reach.select("leader", "rep", "n").distinct()
 
 
 def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect what is connected among different sets (rep, n, tokens)."""
     entries = written(prefix_entries(sets.select("rep", "n", "tokens"), num, den), "entries")
-    ratio = math.log(den / num) if num < den else 1.0
-    window = F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int")  # sizes that link differ by less than two windows
-    windowed = entries.withColumn("w", F.explode(F.array(window, window - 1)))
-    lists = windowed.groupBy("token", "w").agg(F.min(F.struct("n", "rep")).alias("first"), F.count("*").alias("k")).where("k > 1").select("token", "w", F.col("first.n").alias("least"), F.col("first.rep").alias("leader"))
-    # the position filter for whole blocks: what a set has left from this position on can't reach the least that is needed
-    reach = windowed.join(lists, ["token", "w"]).where(f"(n - pos) * {num + den} >= {num} * (n + least)")
-    members = written(reach.select("leader", "rep").distinct(), "members")
-    size = members.groupBy("leader").agg(F.count("*").alias("k")).where("k > 1")
+    members = written(index_lists(entries, num, den), "members")
+    forget(entries)
+    size = members.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
     per = F.least(F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("k") / BLOCKS)), F.lit(MAX_BLOCK_SETS))
-    size = size.select("leader", F.ceil(F.col("k") / per).alias("blocks"))
+    size = size.select("leader", F.greatest(F.ceil(F.col("k") / per), F.ceil(F.col("total") / BLOCK_TOKENS)).alias("blocks"))
     cells = members.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).where("rep <> leader")
     heads = size.select("leader", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.col("leader").alias("rep"), "blocks")
     cells = cells.select("leader", "block", "rep", "blocks").unionByName(heads).join(sets.select("rep", "n", "tokens"), "rep")
 
-    def block(table: pa.Table) -> pa.Table:
+    def block(table: pa.Table, leader: int) -> pa.Table:
         ids, n, tokens = read_sets(table)
-        leader, blocks = table["leader"][0].as_py(), table["blocks"][0].as_py()
-        link = linked(tokens, n, tokens, n, num, den)
-        near = link[:, int(np.flatnonzero(ids == leader)[0])]
-        return out_links(forest(link, ids), [] if blocks == 1 else ids[~near].tolist())
-
-    found = written(cells.groupBy("leader", "block").applyInArrow(lambda key, t: with_leader(block(t), key[0].as_py()), LINKS + ", leader long"), "links")
-    links = found.where("not far").select("a", "b")
+        order = np.lexsort((n, ids != leader))  # the leader's answer is counted first
+        ids, n, tokens = ids[order], n[order], [tokens[i] for i in order]
+        both = derived(tokens, len(tokens))
+        link = linked(both, n, n, num, den)
+        union = n + n[0] - both[0]
+        level = np.where(link[0], NEAR, np.where(both[0] * den >= (2 * num - den) * union, MIDDLE, REMOTE))
+        return out_links(forest(link, ids), [] if table["blocks"][0].as_py() == 1 else [(int(i), int(x)) for i, x in zip(ids, level) if x != NEAR], leader)
+
+    found = written(cells.groupBy("leader", "block").applyInArrow(lambda key, t: block(t, key[0].as_py()), LINKS + ", leader long"), "links")
+    links = found.where(f"far = {NEAR}").select("a", "b")
     # far sets against the other blocks of their leader, in groups of bounded size
-    far = found.where("far").select("leader", F.col("a").alias("rep")).join(size, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    far = written(found.where(f"far <> {NEAR}").select("leader", F.col("a").alias("rep"), F.col("far").alias("level")).join(size, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "far")
     if not far.head(1):
         return links
-    far = far.withColumn("side", F.lit(0)).withColumn("block", F.explode(F.expr("filter(sequence(0L, blocks - 1), x -> x <> own)")))
-    targets = cells.select("leader", "block", "rep").where("rep <> leader").join(far.select("leader", "block", "own").distinct(), ["leader", "block"])
-    asked = far.select("leader", "block", "own", "rep", "side").unionByName(targets.select("leader", "block", "own", "rep", F.lit(1).alias("side"))).join(sets.select("rep", "n", "tokens"), "rep")
+    others = F.explode(F.expr("filter(sequence(0L, blocks - 1), x -> x <> own)")).alias("block")
+    asking = far.select("leader", "own", "rep", "level", others).withColumn("side", F.lit(0))
+    pairs = far.groupBy("leader", "own", "blocks").agg(F.min("level").alias("nearest")).select("leader", "own", "nearest", others)
+    levels = far.select(F.col("leader").alias("l"), F.col("rep").alias("r"), "level")
+    targets = cells.select("leader", "block", "rep").where("rep <> leader").join(levels, (F.col("leader") == F.col("l")) & (F.col("rep") == F.col("r")), "left").select("leader", "block", "rep", F.coalesce("level", F.lit(NEAR)).alias("level"))
+    targets = targets.join(pairs, ["leader", "block"]).where(f"nearest = {MIDDLE} or level <> {NEAR}").withColumn("side", F.lit(1))
+    columns = ["leader", "own", "block", "rep", "level", "side"]
+    asked = asking.select(columns).unionByName(targets.select(columns)).join(sets.select("rep", "n", "tokens"), "rep")
 
     def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("level", "ascending"), ("n", "ascending")])
         ids, n, tokens = read_sets(table)
-        a = np.flatnonzero(table["side"].to_numpy() == 0)
-        b = np.flatnonzero(table["side"].to_numpy() == 1)
+        level, k = table["level"].to_numpy(), int((table["side"].to_numpy() == 0).sum())
         link = np.zeros((len(ids), len(ids)), bool)
-        if len(a) and len(b):
-            link[np.ix_(a, b)] = linked([tokens[i] for i in a], n[a], [tokens[i] for i in b], n[b], num, den)
+        if 0 < k < len(ids):
+            link[:k, k:] = linked(derived(tokens, k)[:, k:], n[:k], n[k:], num, den)
+            link[:k, k:] &= ~((level[:k, None] == REMOTE) & (level[None, k:] == NEAR))  # which can't link
         return out_links(forest(link | link.T, ids), [])
 
     return links.unionByName(asked.groupBy("leader", "own", "block").applyInArrow(lambda t: across(t), LINKS).select("a", "b"))
 
 
-def with_leader(table: pa.Table, leader: int) -> pa.Table:
-    return table.append_column("leader", pa.array([leader] * len(table), pa.int64()))
-
-
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", table: bytes = SPACES) -> DataFrame:
     """doc_id, n_shingles, component_id: documents whose sets of shingles have a Jaccard similarity of num/den or more link;
     component_id is the smallest id that links reach.
 
     Words are what white space (ASCII) separates, A-Z lower-cased. A text of fewer than width words has one shingle; null
     texts and texts without words have none, link with nothing and keep their own id. Equal texts link. A null id gives a
-    null component unless it links with others. Rows are kept as often as they come. Other columns are not read.
+    null component unless it links with others. Rows are kept as often as they come; rows of one id are linked, whatever their
+    texts. Other columns are not read. Shingles are compared by 48-bit hashes.
     """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     bits = bucket_bits(picked)
@@ -163,10 +201,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = alike.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "tokens"), "doc_id").alias("set"))
     different = written(reps.select(F.col("rep").alias("doc_id"), "set.n", "fp", "set.tokens"), "reps")
     again = written(exchange(set_rows(different, bits), bits, num, den).where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens"), "sets")
-    found = components(jaccard_links(again, num, den))
-    classes = different.select("fp", "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "doc_id").alias("component"))
-    # ids that come more than once may be in several classes; their classes are one
-    result = every.join(classes, F.col("fp") == F.col("f"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    links = jaccard_links(again, num, den)
+    rows = every.where("doc_id is not null").select("doc_id", "fp")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("fp").alias("f")).where("k > 1 and (low <> high or f < k)").select(F.col("doc_id").alias("r_id"))
+    several = written(several, "several") if several.head(1) else None  # ids whose rows are in several classes make them one
+    classed = lambda found: different.select(F.col("fp").alias("f"), "doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("f", F.coalesce("component", "doc_id").alias("component"))
+    if several is not None:
+        own = rows.join(several, F.col("doc_id") == F.col("r_id")).join(different.select(F.col("fp").alias("f"), F.col("doc_id").alias("rep")), F.col("fp") == F.col("f"), "left")
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.coalesce("rep", "doc_id").alias("b")).where("a <> b"))
+    found = components(links)
+    forget(again)
+    result = every.join(classed(found), F.col("fp") == F.col("f"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    if several is not None:
+        least = result.join(several, F.col("doc_id") == F.col("r_id")).groupBy("r_id").agg(F.min("component_id").alias("least"))
+        result = result.join(least, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return result
 
 

@@ -145,11 +145,12 @@ def chunk_rows(chunk: int, docs: list[tuple[int | None, int, bytes, np.ndarray]]
     marker, times = tokens[first][count > 1], count[count > 1].astype(np.uint64)
     header = pack_header(docs, known, known_doc)
     rows = [(chunk % (1 << bits), chunk, b"", b"", b"", b"", header)]
-    edge = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits)
-    s, m = np.searchsorted(single, edge), np.searchsorted(marker, edge)
-    for b in range(1 << bits):
-        if s[b] < s[b + 1] or m[b] < m[b + 1]:
-            rows.append((b, chunk, planes(single[s[b] : s[b + 1]], 6), planes(single_doc[s[b] : s[b + 1]], 2), planes(marker[m[b] : m[b + 1]], 6), planes(times[m[b] : m[b + 1]], 4), None))
+    shift = np.uint64(48 - bits)
+    used = np.unique(np.concatenate([single, marker]) >> shift)  # buckets without tokens cost nothing
+    s, m = (np.searchsorted(x >> shift, used) for x in (single, marker))
+    s, m = np.append(s, len(single)), np.append(m, len(marker))
+    for i, b in enumerate(used.tolist()):
+        rows.append((b, chunk, planes(single[s[i] : s[i + 1]], 6), planes(single_doc[s[i] : s[i + 1]], 2), planes(marker[m[i] : m[i + 1]], 6), planes(times[m[i] : m[i + 1]], 4), None))
     return rows
 
 

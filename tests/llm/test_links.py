@@ -295,3 +295,33 @@ def test_passages_of_lines_seen_elsewhere(spark):
         covered.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
     lost, _ = lost_stretches(rows, covered)
     assert len(covered) > 40 and not lost
+
+
+def test_ids_that_repeat(spark):
+    text = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abz"}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (9, text["b"]), (5, text["z"]), (7, text["z"] + " more"), (8, None), (8, text["a"][:9])]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_classes(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 1), (8, 8)}
+
+
+def test_blocks_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 600)
+    rows = near_copies(5, 4)
+    got = jaccard.jaccard_classes(frame(spark, rows), 4, 85, 100).collect()
+    assert sorted(tuple(r) for r in got) == classes(rows, 4, 85, 100)
+
+
+def test_hot_nodes_are_broadcast(spark, monkeypatch):
+    from namelode.llm import components as module
+
+    monkeypatch.setattr(module, "HOT_DEGREE", 3)
+    monkeypatch.setattr(module, "HOT_NODES", 40)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 100) for i in range(1, 60)] + [(59, 159), (200, 201), (201, 202)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 60), *range(100, 160)]}, 201: 200, 202: 200}
+
+
+def test_empty_buckets_cost_nothing():
+    docs = [(1, 3, b"x", np.array([5, 9, 1 << 47], np.uint64)), (2, 1, b"y", np.array([9], np.uint64))]
+    rows = shingles.chunk_rows(0, docs, 40)
+    assert len(rows) == 1 + 2 and sorted(r[0] for r in rows[1:]) == [0, 1 << 39]
