@@ -1,12 +1,14 @@
 """Exact top-k inner products by MaxScore.
 
-A dimension is a query term; its postings in a shard are that column of the shard's vectors. For each query the terms are
-ordered by how much they can add (the larger of q*min and q*max over the shard). The terms whose bounds together stay at
-or under the k-th best score known so far are non-essential: no vector gets in by them alone, so the essential postings are
-traversed first and the others are probed, most telling first, only for vectors whose score so far plus the bounds left
-still competes. Each shard keeps its k best per query and a window over the query's shards merges them.
-
-Queries come in blocks of a fixed size and vectors in shards of a fixed size; each task holds one block and one shard.
+A dimension is a query term; its posting list in a shard holds the vectors that are not zero there, with their values (a list
+that nearly all vectors are in is kept as a column). For each query the terms are ordered by how much they can add (the
+larger of q*min and q*max over the shard). The terms whose bounds together stay under the k-th best score known so far are
+non-essential: no vector gets in by them alone. The lists of the essential terms are traversed first, and only the vectors
+that they hold are candidates. The others are probed, most telling first, only for candidates whose score so far plus the
+bounds left still competes.
+
+Queries are broadcast in blocks of bounded bytes. Each task reads its vectors once a block, a shard of bounded size at a time,
+and carries each query's k best, and so its threshold, from shard to shard; a window merges the tasks' results.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHARD_ROWS = 16_384
-MIN_SHARDS = 64
-BLOCK_QUERIES = 16_384
-STRIP_QUERIES = 512
+BLOCK_BYTES = 32 << 20
 PROBE_TERMS = 8
+SPARSE = 0.25
+EXACT = 2.0**53
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -35,57 +39,123 @@ def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def maxscore(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best vectors of this shard and ties with the k-th: (query's row, vector's row, score)."""
-    d, n = queries.shape[1], len(vectors)
-    widest = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(d, 1)
-    if widest >= 2.0**53:
-        raise ValueError("components are too large for exact scores")
-    lo, hi = vectors.min(0, initial=0), vectors.max(0, initial=0)
-    bound = np.maximum(queries * lo, queries * hi)
-    own = query_ids[:, None] == ids
-    probe = min(n, 64)
-    known = np.where(own[:, :probe], -np.inf, queries @ vectors[:probe].T)
-    theta = np.partition(known, probe - k, 1)[:, probe - k] if probe > k else np.full(len(queries), -np.inf)
-    order = np.argsort(-bound, 1, kind="stable")
-    left = np.cumsum(np.take_along_axis(bound, order, 1)[:, ::-1], 1)[:, ::-1]  # of this term and all after it
-    left = np.concatenate([left, np.zeros((len(queries), 1))], 1)
-    essential = (left[:, :-1] > theta[:, None]).sum(1)  # left falls along a row, so these are its first terms
-    rank = np.argsort(order, 1)
-    score = np.where(rank < essential[:, None], queries, 0) @ vectors.T
-    score[own] = -np.inf
-    if n > k:  # the vectors that lead on the essential terms give a better k-th score to prune by
-        top = np.argpartition(-score, k - 1, 1)[:, :k]
-        exact = np.einsum("qd,qkd->qk", queries, vectors[top])
-        exact[np.take_along_axis(own, top, 1)] = -np.inf
-        theta = np.maximum(theta, exact.min(1))
-    q, v = np.nonzero((score + np.take_along_axis(left, essential[:, None], 1) >= theta[:, None]) & ~own)
-    have, at = score[q, v], essential[q]
-    while len(q) and (at < d).any():
-        for _ in range(PROBE_TERMS):
-            more = at < d
-            term = order[q, np.minimum(at, d - 1)]
-            have += np.where(more, queries[q, term] * vectors[v, term], 0)
-            at = at + more
-        keep = have + left[q, at] >= theta[q]
-        q, v, have, at = q[keep], v[keep], have[keep], at[keep]
-    best = np.lexsort((ids[v], -have, q))
-    q, v, have = q[best], v[best], have[best]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[place < k], v[place < k], have[place < k]
-
-
-def search_cell(k: int, left: Iterator[pa.RecordBatch] | pa.Table, right: pa.Table) -> pa.Table:
-    width = max([0, *(max(t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False), default=0) for t in (left, right) if len(t))])
-    vectors, ids = matrix(right["v"], width), right["vec_id"].to_numpy()
-    out = []
-    for i in range(0, len(left), STRIP_QUERIES):
-        part = left.slice(i, STRIP_QUERIES)
-        query_ids = part["vec_id"].to_numpy()
-        if len(ids):
-            q, v, s = maxscore(matrix(part["v"], width), query_ids, vectors, ids, k)
-            out.append(pa.table({"query_id": query_ids[q], "vec_id": ids[v], "score": s.astype(np.int64)}))
-    return pa.concat_tables(out) if out else pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+class Shard:
+    """The posting lists of some vectors (rows: vectors), and what each dimension can add."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
+        self.low, self.high = (f(0, initial=0) for f in (vectors.min, vectors.max)) if len(vectors) else (np.zeros(vectors.shape[1]),) * 2
+        self.lists = []
+        for column in np.ascontiguousarray(vectors.T):
+            rows = np.flatnonzero(column)
+            self.lists.append((rows, column[rows]) if len(rows) < SPARSE * len(column) else (None, column))
+
+    def traverse(self, query: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the terms' lists add up to for each vector, and the vectors that are in any of them."""
+        score, seen = np.zeros(len(self.ids), self.vectors.dtype), np.zeros(len(self.ids), bool)
+        for t in terms:
+            rows, values = self.lists[t]
+            if rows is None:
+                score += query[t] * values
+                seen[:] = True
+            else:
+                score[rows] += query[t] * values
+                seen[rows] = True
+        return score, np.flatnonzero(seen)
+
+    def probe(self, query: np.ndarray, terms: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (self.vectors[rows[:, None], terms] * query[terms]).sum(1)
+
+
+def kth(scores: np.ndarray, k: int):
+    """The k-th best of scores; minus infinity if there are fewer."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+
+def maxscore(query: np.ndarray, own: int, shard: Shard, k: int, theta: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (rows of the shard, not of id ``own``) that may be among the k best, and their scores. theta: a k-th best score
+    known already; vectors under it are left out, those that tie with it stay."""
+    bound = np.maximum(query * shard.low, query * shard.high)
+    order = np.argsort(-bound, kind="stable")
+    left = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # of this term and all after it
+    first = np.flatnonzero(shard.ids[: 8 * k] != own)
+    theta = max(theta, kth(shard.probe(query, order, first), k))
+    e = int((left[:-1] >= theta).sum())  # left falls, so the essential terms are the first
+    score, rows = shard.traverse(query, order[:e])
+    if e == len(order):  # every list counts: vectors in none of them score 0
+        rows = np.arange(len(shard.ids))
+    rows = rows[(shard.ids[rows] != own) & (score[rows] + left[e] >= theta)]
+    have = score[rows]
+    if e < len(order) and len(rows) > k:  # those that lead on the essential terms give a better k-th score to prune by
+        lead = np.argpartition(-have, k - 1)[:k]
+        theta = max(theta, (have[lead] + shard.probe(query, order[e:], rows[lead])).min())
+    for i in range(e, len(order), PROBE_TERMS):
+        have = have + shard.probe(query, order[i : i + PROBE_TERMS], rows)
+        keep = have + left[min(i + PROBE_TERMS, len(order))] >= theta
+        rows, have = rows[keep], have[keep]
+    if len(rows) > k:
+        keep = have >= kth(have, k)
+        rows, have = rows[keep], have[keep]
+    return rows, have
+
+
+def exact_type(widest: float) -> type:
+    """Floating point while all sums are exact in it, else whole numbers of any size."""
+    return np.float64 if widest < EXACT else object
+
+
+def as_exact(rows: np.ndarray, kind: type) -> np.ndarray:
+    return rows if kind is np.float64 else np.array([[int(x) for x in r] for r in rows], object).reshape(rows.shape)
+
+
+class Best:
+    """The k best so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.query_ids, self.queries, self.k = ids, queries, k
+        self.found: list[list[tuple]] = [[] for _ in ids]
+
+    def take(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        width = max(vectors.shape[1], self.queries.shape[1])
+        vectors, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, self.queries))
+        kind = exact_type(float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(width, 1))
+        shard, queries = Shard(as_exact(vectors, kind), ids), as_exact(queries, kind)
+        for own, query, found in zip(self.query_ids.tolist(), queries, self.found):
+            theta = -found[-1][0] if len(found) >= self.k else -np.inf
+            rows, scores = maxscore(query, own, shard, self.k, theta)
+            if len(rows):
+                found[:] = sorted([*found, *zip([-int(s) for s in scores], ids[rows].tolist())])[: self.k]
+
+    def table(self) -> pa.RecordBatch:
+        rows = [(q, v, -s) for q, found in zip(self.query_ids.tolist(), self.found) for s, v in found]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["query_id", "vec_id", "score"])
+
+
+def search(rows: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Each task's k best rows for each of the asked queries (a table of bounded size)."""
+    width = max(asked["v"].combine_chunks().value_lengths().to_pylist(), default=0)
+    shared = rows.sparkSession.sparkContext.broadcast((asked["vec_id"].to_numpy(), matrix(asked["v"], width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*shared.value, k)
+        own: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            table = pa.Table.from_batches(own)
+            width = max(table["v"].combine_chunks().value_lengths().to_pylist(), default=0)
+            best.take(matrix(table["v"], width), table["vec_id"].to_numpy())
+            own.clear()
+
+        for batch in batches:
+            for i in range(0, len(batch), SHARD_ROWS):
+                own.append(batch.slice(i, SHARD_ROWS))
+                if sum(map(len, own)) >= SHARD_ROWS:
+                    flush()
+        if own:
+            flush()
+        yield best.table()
+
+    return rows.mapInArrow(run, OUT)
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -93,18 +163,25 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
 
     Null ids and vectors that are null or hold nulls or non-finite components take no part. A query never finds rows of its
     own id; an id repeated among queries is asked once, with the smallest of its vectors, while repeated candidates each
-    count. Vectors of unequal lengths are compared as if zeros followed; an empty vector scores 0. Other columns are not read.
+    count. Vectors of unequal lengths are compared as if zeros followed; an empty vector scores 0. Scores are exact whatever
+    the size of the components; one that no long can hold is an error. Other columns are not read.
     """
+    spark = embeddings.sparkSession
     usable = F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     pick = lambda t: t.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(usable)
     rows, asked = pick(embeddings), pick(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_rows = embeddings.count()
-    shards, blocks = max(MIN_SHARDS, -(-n_rows // SHARD_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    home = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block", home(blocks)).withColumn("shard", every(shards))
-    right = rows.withColumn("shard", home(shards)).withColumn("block", every(blocks))
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda a, b: search_cell(k, a, b), OUT)
+    n, size = asked.agg(F.count("*"), F.sum(F.size("v") * 8 + 16)).head()
+    blocks = max(1, -(-int(size or 0) // BLOCK_BYTES))
+    # the work is rows times queries, so vectors are dealt evenly; with several blocks they are dealt once, into a table
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // (8 * SHARD_ROWS)))
+    rows = rows.repartition(shards)
+    if blocks > 1:
+        rows, asked = written(rows, "vectors"), written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "queries")
+    found = None
+    for b in range(blocks):
+        part = search(rows, (asked if blocks == 1 else asked.where(F.col("block") == b).drop("block")).toArrow(), k)
+        part = part if blocks == 1 else written(part, "found")
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -47,16 +47,43 @@ def test_topk(spark):
     same(topk.op9_query(spark, SMALL), sql_rows(topk.OP9_SQL, "embeddings"))
 
 
+def best_by_brute_force(q, own, v, ids, k):
+    return sorted((-sum(int(a) * int(b) for a, b in zip(q, v[j])), int(ids[j])) for j in range(len(v)) if ids[j] != own)[:k]
+
+
 def test_maxscore_is_exact():
     rng = np.random.default_rng(0)
-    for n, d, k in ((1, 3, 5), (40, 1, 5), (300, 16, 5), (300, 16, 1), (90, 0, 3)):
-        v = rng.integers(-3, 4, (n, d)).astype(float)
-        ids, asked = rng.permutation(n), np.arange(0, n, 7)
-        where = [int(np.flatnonzero(ids == a)[0]) for a in asked]
-        q, r, s = topk.maxscore(v[where], asked, v, ids, k)
-        for i, a in enumerate(asked):
-            want = sorted((-float(v[where[i]] @ v[j]), ids[j]) for j in range(n) if ids[j] != a)[:k]
-            assert [(-x, y) for x, y in zip(s[q == i], ids[r[q == i]])] == want
+    for n, d, k, fill in ((1, 3, 5, 1), (40, 1, 5, 1), (300, 16, 5, 1), (300, 16, 1, 1), (90, 0, 3, 1), (400, 30, 5, 0.1), (400, 30, 3, 0.02)):
+        for size in (4, 1 << 60):  # small numbers in floating point, large ones as whole numbers
+            v = rng.integers(1 - size, size, (n, d)).astype(float) * (rng.random((n, d)) < fill)
+            ids, asked = rng.permutation(n), np.arange(0, n, 7)
+            where = [int(np.flatnonzero(ids == a)[0]) for a in asked]
+            best = topk.Best(asked, v[where], k)
+            for i in range(0, n, 130):
+                best.take(v[i : i + 130], ids[i : i + 130])
+            for i, a in enumerate(asked):
+                assert best.found[i] == best_by_brute_force(v[where[i]], a, v, ids, k)
+
+
+def test_only_essential_lists_are_traversed(monkeypatch):
+    """Sparse vectors: few lists are read, and few vectors probed."""
+    rng = np.random.default_rng(1)
+    v = np.round(rng.random((3000, 40)) * 100) * (rng.random((3000, 40)) < 0.05) * 0.9 ** np.arange(40)[None] // 1
+    shard, read, probed = topk.Shard(v, np.arange(3000)), [], []
+    traverse, probe = shard.traverse, shard.probe
+    monkeypatch.setattr(shard, "traverse", lambda q, t: read.append(len(t)) or traverse(q, t))
+    monkeypatch.setattr(shard, "probe", lambda q, t, r: probed.append(len(r) * len(t)) or probe(q, t, r))
+    for own in range(20):
+        query = np.round(rng.random(40) * 50)
+        theta = -best_by_brute_force(query, own, v, np.arange(3000), 5)[-1][0]
+        rows, scores = topk.maxscore(query, own, shard, 5, float(theta))
+        assert sorted(zip((-scores).tolist(), rows.tolist()))[:5] == best_by_brute_force(query, own, v, np.arange(3000), 5)
+    assert np.mean(read) < 36 and sum(probed) < 0.2 * 20 * v.size
+
+
+def test_topk_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 3000)
+    same(topk.op9_query(spark, SMALL), sql_rows(topk.OP9_SQL, "embeddings"))
 
 
 def test_topk_edges(spark):
