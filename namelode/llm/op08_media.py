@@ -3,16 +3,18 @@
 Writing: each task puts its payloads as PNG members into ZIP archives of bounded size in the shared folder and returns one
 manifest row an archive; a task that is run again writes archives of other names, and only those of the manifest are read.
 
-Reading: the data source ``media_archive`` plans one partition for each byte range of each archive in the manifest. A task
-reads the archive's directory, takes the members whose headers start in its range, and streams them in Arrow batches of
-bounded size. Each member is fetched by its own offset, and fetched again on its own when its bytes can't be read or don't
-agree with the directory's CRC.
+Reading: the data source ``media_archive`` plans partitions of byte ranges over the archives of the manifest. Archives and
+ranges grow with the input, so there are MOST_ARCHIVES manifest rows and MOST_PARTITIONS partitions or a few more at most. A
+task reads the directories of its archives, takes the members whose headers start in its ranges, and streams them in Arrow
+batches of bounded size. Each member is fetched by its own offset, and fetched again on its own, after a pause, when its bytes
+can't be read or don't agree with the directory's CRC.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -29,7 +31,9 @@ UNIT = 576
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
-RETRIES = 4
+MOST_BYTES = 1 << 50
+MOST_ARCHIVES, MOST_PARTITIONS = 100_000, 20_000
+RETRIES, PAUSE = 4, 0.1
 PNG = b"\x89PNG\r\n\x1a\n"
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 MANIFEST = "archive string, bytes long, members long"
@@ -117,29 +121,53 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     return written(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, MANIFEST), "media-manifest")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+class ByteRanges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def planned(archives: list[tuple[str, int]], range_bytes: int, most: int = MOST_PARTITIONS) -> list[ByteRanges]:
+    """Ranges of range_bytes, or of so much more that about ``most`` partitions do; a partition may go on in the next archive."""
+    step = max(range_bytes, -(-sum(n for _, n in archives) // most))
+    out, own, room = [], [], step
+    for archive, n in archives:
+        at = 0
+        while at < n:
+            end = min(n, at + room)
+            own.append((archive, at, end))
+            room -= end - at
+            at = end
+            if not room or step == range_bytes and at == n:  # small ranges never cross archives
+                out.append(ByteRanges(own))
+                own, room = [], step
+    return out + ([ByteRanges(own)] if own else [])
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.manifest, self.range_bytes, self.retries = options["manifest"], int(options.get("range_bytes", RANGE_BYTES)), int(options.get("retries", RETRIES))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         import pyarrow.dataset as ds
 
         fs, root = filesystem(self.manifest)
         found = ds.dataset(root, filesystem=fs, format="parquet", schema=pa.schema([("archive", pa.string()), ("bytes", pa.int64())])).to_table()
-        return [ByteRange(a, i, min(i + self.range_bytes, n)) for a, n in zip(*(found[c].to_pylist() for c in ("archive", "bytes"))) for i in range(0, n, self.range_bytes)]
+        return planned(sorted(zip(*(found[c].to_pylist() for c in ("archive", "bytes")))), self.range_bytes)
 
     def open(self, archive: str):
         fs, _ = filesystem(self.manifest)
         return fs.open_input_file(archive)
 
+    def tries(self) -> Iterator[int]:
+        """How many tries are left after each; before each but the first a pause, twice as long as the last."""
+        for i in range(self.retries):
+            if i:
+                time.sleep(PAUSE * 2 ** (i - 1))
+            yield self.retries - 1 - i
+
     def member(self, archive: str, info: zipfile.ZipInfo) -> bytes:
         """The bytes of one member by its offset; tried again with a new handle, whatever becomes of the others."""
-        for left in reversed(range(self.retries)):
+        for left in self.tries():
             try:
                 with self.open(archive) as f:
                     f.seek(info.header_offset)
@@ -155,7 +183,7 @@ class ArchiveReader(DataSourceReader):
                     raise
 
     def directory(self, archive: str) -> list[zipfile.ZipInfo]:
-        for left in reversed(range(self.retries)):
+        for left in self.tries():
             try:
                 with self.open(archive) as f, zipfile.ZipFile(f) as z:
                     return z.infolist()
@@ -163,22 +191,20 @@ class ArchiveReader(DataSourceReader):
                 if not left:
                     raise
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing was planned
-            return
-        names, offsets, datas, size = [], [], [], 0
-        batch = lambda: pa.record_batch([pa.array([partition.archive] * len(names)), pa.array(names), pa.array(offsets, pa.int64()), pa.array(datas, pa.binary())], ["archive", "member", "offset", "media"])
-        for info in self.directory(partition.archive):
-            if partition.start <= info.header_offset < partition.end:
-                data = self.member(partition.archive, info)
-                names.append(info.filename)
-                offsets.append(info.header_offset)
-                datas.append(data)
-                size += len(data)
-                if size >= BATCH_BYTES:
-                    yield batch()
-                    names, offsets, datas, size = [], [], [], 0
-        if names:
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[str, str, int, bytes]] = []
+        size = 0
+        batch = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*own), (pa.string(), pa.string(), pa.int64(), pa.binary()))], ["archive", "member", "offset", "media"])
+        for archive, start, end in partition.ranges if partition else ():  # none: nothing was planned
+            for info in self.directory(archive):
+                if start <= info.header_offset < end:
+                    data = self.member(archive, info)
+                    own.append((archive, info.filename, info.header_offset, data))
+                    size += len(data)
+                    if size >= BATCH_BYTES:
+                        yield batch()
+                        own, size = [], 0
+        if own:
             yield batch()
 
 
@@ -223,7 +249,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "media")
-    manifest = write_archives(docs, folder, id_col, text_col)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's guess, for the archives' size only
+    manifest = write_archives(docs, folder, id_col, text_col, max(ARCHIVE_BYTES, min(size, MOST_BYTES) // MOST_ARCHIVES))
     spark.dataSource.register(MediaArchive)
     at = manifest.inputFiles()
     if not at:

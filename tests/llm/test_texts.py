@@ -198,7 +198,7 @@ def test_media_members_are_retried_alone(spark, tmp_path, monkeypatch):
             return self.f.read(n)
 
     part = reader.partitions()[0]
-    infos = reader.directory(part.archive)
+    infos = reader.directory(part.ranges[0][0])
     monkeypatch.setattr(reader, "open", lambda a: Flaky(opened(a)))
     monkeypatch.setattr(reader, "directory", lambda a: infos)
     assert sum(len(b) for b in reader.read(part)) == 9 and set(failures.values()) == {2}
@@ -379,3 +379,43 @@ def test_scan_takes_linear_time(text):
     started = time.perf_counter()
     scanner.scan(text * (1_000_000 // len(text)))
     assert time.perf_counter() - started < 30
+
+
+def feature_by_hand(payload):
+    width, height = 576, len(payload) // 576
+    mean = sum(payload) / len(payload)
+    deviation = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+    bits = ""
+    for i in range(8):
+        a = int(height * i / 8)
+        b = max(int(height * (i + 1) / 8), a + 1)
+        cells = [sum(payload[y * width + x] for y in range(a, b) for x in range(c * 64, c * 64 + 64)) for c in range(9)]
+        bits += "".join("1" if y > x else "0" for x, y in zip(cells, cells[1:]))
+    return f"{mean:.4f}:{deviation:.4f}:{int(bits, 2):016x}"
+
+
+def test_media_by_hand(spark):
+    rng = np.random.default_rng(2)
+    texts = {i: "".join(rng.choice(list("abcdefgh é\n"), n)) for i, n in enumerate([0, 1, 100, 700, 3000, 9000])}
+    for r in media.media_columns(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        png = media.png_of(payload)
+        lines = zlib.decompress(png[8 + 25 + 8 : -12 - 4])  # between the header and the end stands one data chunk
+        assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[12:16] == b"IHDR" and [int.from_bytes(png[i : i + 4], "big") for i in (16, 20)] == [576, len(payload) // 576]
+        assert b"".join(lines[i + 1 : i + 577] for i in range(0, len(lines), 577)) == payload and not any(lines[::577])
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(png), hashlib.sha256(png).hexdigest(), feature_by_hand(payload))
+
+
+def test_partitions_are_few():
+    archives = [(f"a{i}", 1000 + i) for i in range(500)]
+    whole = {(a, 0, n) for a, n in archives}
+    for step, most in ((300, 10**6), (10, 20), (5000, 10**6)):
+        parts = media.planned(archives, step, most)
+        joined = {}
+        for a, x, y in (r for p in parts for r in p.ranges):
+            assert joined.setdefault(a, 0) == x < y
+            joined[a] = y
+        assert {(a, 0, n) for a, n in joined.items()} == whole
+        assert len(parts) <= (21 if most == 20 else 5 * len(archives)) and (most == 20 or all(len(p.ranges) == 1 for p in parts))
+    assert media.planned([], 10) == []
