@@ -2,7 +2,8 @@
 
 Rows of each source are put in a seeded random order and get the fractional rank (2r-1)/(2n). Sorting all rows by that
 number interleaves the sources in proportion, so cutting the sorted rows into equal runs gives shards that all have the
-mixture of the whole. The law kept is ``rows``: shard sizes differ by one row at most.
+mixture of the whole. The law kept is ``rows``: shard sizes differ by one row at most. Groups (equal texts) are not kept
+together: a group that holds a third of all rows would break the law, and each copy is a row of its source's share.
 
 Both rankings are distributed. A row's rank is the number of rows in smaller hash buckets, from a table of bucket counts,
 plus its place within its bucket; so a source that holds a third of the rows is dealt over as many tasks as any other rows.
@@ -37,7 +38,8 @@ def stratified_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17, id_co
         F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("source"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES).alias("size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        hash60(F.lit(seed), F.col(id_col)).alias("h"),
+        # the text as well, so that rows without an id, or of one id, do not meet in one bucket
+        hash60(F.lit(seed), F.col(id_col), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0))).alias("h"),
     )
     total = docs.count()
     bits = bucket_bits(total)
@@ -75,7 +77,7 @@ crcs AS (SELECT text AS crc_text, xor(4294967295, list_reduce(list_concat([42949
 OP1_SQL = f"""
 WITH {CRC_SQL},
 base AS (SELECT doc_id, source, coalesce(strlen(text), 0)::BIGINT + 16 AS size, coalesce(crc, 0)::BIGINT AS text_crc32,
-    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(crc, 0)::VARCHAR), 1, 15))::BIGINT AS h
   FROM documents LEFT JOIN crcs ON text = crc_text),
 ranked AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS frac FROM base),
 placed AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS FIRST, h, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS n FROM ranked),

@@ -1,9 +1,10 @@
 """WARC revisits: a not-modified capture takes its content from the latest earlier full response of the same URL.
 
-An as-of join by canonical URL in built-in functions. The times of a URL are cut into as many slices as it has BUCKET_ROWS
-captures, so a URL with a third of all captures is dealt over many tasks. The last response of each slice is aggregated, a
-window over slices (not captures) carries the last response into later ones, and within a slice a window finds the rest. The
-validators are then compared and the headers that a not-modified answer may change are taken from it.
+An as-of join by canonical URL in built-in functions. The last response of each URL and time is aggregated first, so captures
+that share a time are one row. The times of a URL are cut into as many slices as it has BUCKET_ROWS of them, so a URL with a
+third of all captures is dealt over many tasks. The last response of each slice is aggregated, a window over slices carries
+it into later ones, and within a slice a window finds the rest. The revisits are then joined with their URL and time, the
+validators are compared and the headers that a not-modified answer may change are taken from it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expire
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www., port and user, path without a last slash, sorted query without utm_ fields."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    """Host in lower case without www. and user, a port that is not the scheme's own, path without a last slash, sorted query
+    without utm_ fields. The scheme does not count."""
+    part = lambda n: F.regexp_extract(url, r"^([A-Za-z]+)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::0*([0-9]*))?", n)
+    host, port = F.regexp_replace(F.lower(part(2)), r"^www\.", ""), part(3)
+    own = F.when(F.lower(part(1)) == "https", "443").otherwise("80")
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
     fields = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: (x != "") & ~x.startswith("utm_"))
     query = F.array_join(F.array_sort(fields), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.concat(host, F.when((port != "") & (port != own), F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def header_map(block: Column) -> Column:
@@ -57,14 +61,17 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), header_map(F.col("headers")).alias("fields"), "digest")
     usable = rows.where("canonical is not null and ts is not null")
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", F.element_at("fields", "etag").alias("etag"), F.element_at("fields", "last-modified").alias("modified"), "digest", F.map_entries("fields").alias("fields")))
-    spans = usable.groupBy("canonical").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.ceil(F.count("*") / BUCKET_ROWS).alias("slices")).withColumnRenamed("canonical", "c")
-    keyed = usable.join(spans, F.col("canonical") == F.col("c")).withColumn("slice", F.floor((F.col("ts") - F.col("low")) * F.col("slices") / (F.col("high") - F.col("low") + 1))).withColumn("full", response).drop("c", "low", "high", "slices")
-    last = keyed.where("full is not null").groupBy("canonical", "slice").agg(F.max("full").alias("best"))
+    # of all captures of a URL at one time only the last response counts, so the windows run over times, not captures
+    times = usable.withColumn("full", response).groupBy("canonical", "ts").agg(F.max("full").alias("best"))
+    spans = times.groupBy("canonical").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.ceil(F.count("*") / BUCKET_ROWS).alias("slices")).withColumnRenamed("canonical", "c")
+    keyed = times.join(spans, F.col("canonical") == F.col("c")).withColumn("slice", F.floor((F.col("ts") - F.col("low")) * F.col("slices") / (F.col("high") - F.col("low") + 1))).drop("c", "low", "high", "slices")
+    last = keyed.where("best is not null").groupBy("canonical", "slice").agg(F.max("best").alias("best"))
     slices = keyed.select("canonical", "slice").distinct().join(last, ["canonical", "slice"], "left")
-    carried = slices.withColumn("carry", F.last("best", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("canonical").alias("c"), F.col("slice").alias("s"), "carry")
-    within = Window.partitionBy("canonical", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    joined = keyed.withColumn("near", F.max("full").over(within)).where("kind = 'revisit'").join(carried, (F.col("canonical") == F.col("c")) & (F.col("slice") == F.col("s")))
-    found = joined.withColumn("source", F.coalesce("near", "carry")).select("record_id", "canonical", "fields", "source")
+    before = lambda order: F.last("best", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = slices.withColumn("carry", before(Window.partitionBy("canonical").orderBy("slice"))).select(F.col("canonical").alias("c"), F.col("slice").alias("s"), "carry")
+    near = keyed.withColumn("near", before(Window.partitionBy("canonical", "slice").orderBy("ts")))
+    known = near.join(carried, (F.col("canonical") == F.col("c")) & (F.col("slice") == F.col("s"))).select(F.col("canonical").alias("k"), F.col("ts").alias("t"), F.coalesce("near", "carry").alias("source"))
+    found = usable.where("kind = 'revisit'").join(known, (F.col("canonical") == F.col("k")) & (F.col("ts") == F.col("t"))).select("record_id", "canonical", "fields", "source")
     lost = rows.where("kind = 'revisit' and (canonical is null or ts is null)").select("record_id", "canonical", "fields").withColumn("source", F.lit(None).cast(found.schema["source"].dataType))
     every = found.unionByName(lost)
     etag, modified = F.element_at("fields", "etag"), F.element_at("fields", "last-modified")
@@ -108,9 +115,10 @@ responses AS (SELECT 4 * page_id AS record_id, url, t AS ts, tag_a AS etag, modi
 revisits AS (SELECT 4 * page_id + 2 AS record_id, url || CASE WHEN url LIKE '%#%' THEN '' ELSE '#x' END AS url, CASE WHEN page_id % 7 = 0 THEN t - 5 ELSE t + 500 END AS ts,
     CASE WHEN page_id % 3 = 1 OR page_id % 13 = 0 THEN NULL WHEN page_id % 11 = 0 THEN '"other"' WHEN page_id % 5 = 0 THEN tag_b ELSE tag_a END AS asked,
     CASE WHEN page_id % 3 = 1 THEN modified END AS asked_modified, NOT (page_id % 3 = 1 OR page_id % 13 = 0) AS has_cache FROM p),
-c AS (SELECT url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS head,
+a AS (SELECT url, regexp_extract(url, '^([A-Za-z]+)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::0*([0-9]*))?', ['scheme', 'host', 'port']) AS a FROM (SELECT url FROM responses UNION SELECT url FROM revisits)),
+c AS (SELECT url, regexp_replace(lower(a.host), '^www\.', '') || CASE WHEN a.port NOT IN ('', CASE WHEN lower(a.scheme) = 'https' THEN '443' ELSE '80' END) THEN ':' || a.port ELSE '' END || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS head,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query
-  FROM (SELECT url FROM responses UNION SELECT url FROM revisits)),
+  FROM a),
 k AS (SELECT url, head || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical FROM c),
 r AS (SELECT revisits.*, canonical FROM revisits JOIN k USING (url)), s AS (SELECT responses.*, canonical FROM responses JOIN k USING (url)),
 j AS (SELECT r.record_id, r.canonical, r.ts, asked, asked_modified, has_cache, s.record_id AS source_id, s.ts AS source_ts, s.etag, s.modified, s.digest,

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from namelode.llm import op01_sharding as sharding
 from namelode.llm import op05_revisits as revisits
@@ -115,3 +116,28 @@ def test_revisit_edges(spark, monkeypatch):
         assert by[100 + i]["headers"] == f'cache-control: no-cache\ncontent-length: 9\netag: W/"{i}"\nx-a: 1'
     assert [by[i]["outcome"] for i in range(200, 205)] == ["no_response", "validator_mismatch", "no_validator", "no_response", "no_response"]
     assert revisits.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_canonical_urls(spark):
+    """A table made by hand, for the SQL uses the same patterns."""
+    urls = {
+        "http://h/a": "h/a", "HTTP://H:80/a/": "h/a", "https://www.h:443/a": "h/a", "http://h:8080/a": "h:8080/a", "http://h:443/a": "h:443/a", "https://h:80/a": "h:80/a",
+        "http://user:pw@h/a//": "h/a", "http://[2001:DB8::1]/x": "[2001:db8::1]/x", "http://[::1]:8080/x": "[::1]:8080/x", "https://[::1]:443": "[::1]", "http://h": "h", "http://h/": "h",
+        "http://h/a?b=2&a=1&utm_x=3#f": "h/a?a=1&b=2", "http://h/a?utm_x=3": "h/a", "http://h?x": "h?x", "http://h:0080/a": "h/a", "http://h:/a": "h/a",
+    }
+    rows = spark.createDataFrame(list(urls.items()), "url string, want string").withColumn("got", revisits.canonical_url(F.col("url"))).collect()
+    assert [(r["url"], r["got"]) for r in rows] == [(r["url"], r["want"]) for r in rows]
+    assert spark.createDataFrame([(None,)], "url string").select(revisits.canonical_url(F.col("url"))).head()[0] is None
+
+
+def test_captures_of_one_time(spark):
+    schema = "record_id long, kind string, url string, ts long, headers string, digest string"
+    rows = [(i, "response", "http://h/a", 5, f'ETag: "{i}"', f"d{i}") for i in range(50)] + [(100 + i, "revisit", "http://h/a", 9 if i % 2 else 5, 'ETag: "49"', None) for i in range(60)]
+    got = {r["record_id"]: (r["outcome"], r["source_id"], r["digest"]) for r in revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {100 + i: ("resolved", 49, "d49") if i % 2 else ("no_response", None, None) for i in range(60)}
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    rows = [(None if i % 2 else 7, f"text {i}", "hot", 0, "") for i in range(3000)]
+    got = sharding.stratified_shards(spark.createDataFrame(rows, DOCS), 8).collect()
+    assert len({(r["doc_id"], r["text_crc32"]) for r in got}) == 3000 and len({r["shard"] for r in got}) == 8
