@@ -144,7 +144,8 @@ def chunk_rows(chunk: int, docs: list[tuple[int | None, int, bytes, np.ndarray]]
     single, single_doc, known, known_doc = tokens[once], owner[once], tokens[~once], owner[~once]
     marker, times = tokens[first][count > 1], count[count > 1].astype(np.uint64)
     header = pack_header(docs, known, known_doc)
-    rows = [(chunk % (1 << bits), chunk, b"", b"", b"", b"", header)]
+    home = int(mix(np.array([chunk], np.uint64))[0]) % (1 << bits)  # the header only passes through
+    rows = [(home, chunk, b"", b"", b"", b"", header)]
     shift = np.uint64(48 - bits)
     used = np.unique(np.concatenate([single, marker]) >> shift)  # buckets without tokens cost nothing
     s, m = (np.searchsorted(x >> shift, used) for x in (single, marker))
