@@ -53,9 +53,10 @@ def forget(table: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: fewer rows an Arrow batch bound what the JVM and Python hold of them at once."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Texts are long: smaller Arrow batches bound what the JVM and Python hold of them at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def tidy(run):

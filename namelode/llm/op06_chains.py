@@ -29,7 +29,7 @@ from .shingles import PLACE, STEP, bucket_bits, mix, planes, runs, unplanes, wor
 SEED, SUB = 6, 2
 BEFORE, AFTER, FIELD = 3, 6, 5
 CONTEXT_BYTES = -(-(BEFORE + AFTER) * FIELD // 8)
-CHUNK_SEEDS, HOT = 600_000, 16
+CHUNK_SEEDS, HOT = 250_000, 16
 SPANS, PART_WORDS = 2000, 100_000
 MIN_WORDS, MIN_PART, MIN_IDENTITY = 40, 12, 0.8
 GAP_COST, MAX_GAP = 0.05, 60

@@ -36,7 +36,7 @@ PREFIXES = (3, 4, 5, 6)
 LEAST_RATIO = 20.0
 MOST_FEATURES = 100_000
 CHANCE, WEAK_CHANCE = 0.1, 3  # how many features may seem toxic by chance, and how many if they get a smaller weight
-MEMO_WORDS = 200_000
+MEMO_WORDS, MEMO_LENGTH = 100_000, 100
 #: Letters that digits and signs imitate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 KEEP, IMITATE, DROP_SIGN, DROP_LIKE, DROP_REPEAT, DROP_DIGIT = 0.0, 1.0, 0.5, 2.0, 1.5, 8.0
@@ -181,7 +181,9 @@ class Model:
         if found is None:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            found = self.memo[token] = tuple(f for f in self.features(self.restore(token)) if f in self.weights)
+            found = tuple(f for f in self.features(self.restore(token)) if f in self.weights)
+            if len(token) <= MEMO_LENGTH:  # so that the memo's bytes are bounded too
+                self.memo[token] = found
         return found
 
     def total(self, text: str) -> tuple[float, int]:

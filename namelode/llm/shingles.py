@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
-BLOCK = 1 << 20
-CHUNK_TOKENS = 1_000_000
+BLOCK = 1 << 18
+CHUNK_TOKENS = 400_000
 CHUNK_DOCS = 60_000
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 128
