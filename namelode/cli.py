@@ -1,4 +1,4 @@
-"""Commands: full, daily, stats, optimize, search."""
+"""Commands: full, daily, stats, optimize, vacuum, search, serve."""
 
 from __future__ import annotations
 
@@ -9,60 +9,101 @@ import sys
 import time
 from contextlib import contextmanager
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import ResultCache
 from .config import Config
 from .operators import sync as Y
 from .operators.index import build_docs
 from .operators.segment import DictionarySegmenter, HttpSegmenter
+from .plans.catalog import segment_counts
 from .plans.snapshot import Store
+from .progress import progress, rate_line
 from .service import Service
 from .session import local_session
 from .sources import download as D
 from .sources import lines as L
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, which may be anywhere Spark reads, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
 @contextmanager
-def lock(path: str):
-    """One sync at a time: the lock file is created or the call fails."""
-    handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+def lock(path: str, spark: SparkSession | None = None):
+    """One sync at a time: the lock file is created or the call fails. With spark the path may be on any file system."""
+    if spark is None:
+        os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+    else:
+        fs, at = file_system(spark, path)
+        if not fs.createNewFile(at):
+            raise FileExistsError(path)
     try:
         yield
     finally:
-        os.close(handle)
-        os.remove(path)
+        if spark is None:
+            os.remove(path)
+        else:
+            fs.delete(at, False)
 
 
-def segmenter_of(spark, args, config: Config):
+def segmenter_of(spark: SparkSession, args, config: Config):
     if args.words:
-        rows = spark.read.option("lineSep", "\n").text(args.words).where("value <> ''").groupBy("value").count().collect()
-        return DictionarySegmenter({r["value"]: r["count"] for r in rows})
+        words = spark.read.option("lineSep", "\n").text(args.words).where("value <> ''").groupBy(F.col("value").alias("w")).count()
+        return DictionarySegmenter(segment_counts(words))
     config.need("segmenter_url", "segmenter_user", "segmenter_password")
-    return HttpSegmenter(config.segmenter_url, config.segmenter_user, config.segmenter_password, config.batch_size)
+    return HttpSegmenter(config.segmenter_url, config.segmenter_user, config.segmenter_password, args.batch_size or config.batch_size)
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="namelode", description=__doc__)
-    top.add_argument("--index", default=None, help="folder of the index")
+    top.add_argument("--index", default=None, help="folder of the index, on any file system")
     top.add_argument("--cpus", default="*")
     verbs = top.add_subparsers(dest="verb", required=True)
     full = verbs.add_parser("full", help="build an index from a list")
-    full.add_argument("--file")
-    full.add_argument("--words", help="a file of words, for splitting labels without a service")
-    daily = verbs.add_parser("daily", help="apply removals and additions")
-    daily.add_argument("--add")
-    daily.add_argument("--remove")
-    daily.add_argument("--words")
+    full.add_argument("--file", "--input", help="list, folder or pattern; without it the list is downloaded")
+    full.add_argument("--download", action="store_true", help="download the list even if a file is given")
+    full.add_argument("--commit-interval", type=int, default=0, help="publish after so many lines; 0: once, at the end")
+    daily = verbs.add_parser("daily", help="apply removals and additions; a file that does not exist is passed over")
+    daily.add_argument("--add", "--adds")
+    daily.add_argument("--remove", "--removes")
+    daily.add_argument("--download", action="store_true", help="download the day's lists")
+    for verb in (full, daily):
+        verb.add_argument("--words", help="a file of words, for splitting labels without a service")
+        verb.add_argument("--batch-size", type=int, help="labels a call of the service")
     verbs.add_parser("stats")
-    verbs.add_parser("optimize", help="merge all deltas into a new base")
+    verbs.add_parser("optimize", help="merge all parts into one")
+    vacuum = verbs.add_parser("vacuum", help="delete what no recent snapshot names")
+    vacuum.add_argument("--keep", type=int, default=2)
     search = verbs.add_parser("search")
     search.add_argument("q")
     search.add_argument("--tld")
     search.add_argument("--limit", type=int, default=50)
     search.add_argument("--min-match", type=int)
+    serve = verbs.add_parser("serve", help="answer over HTTP")
+    serve.add_argument("--port", type=int, default=3000)
     return top
 
 
+def build(store: Store, lines: DataFrame, segmenter, interval: int) -> None:
+    """One publication, or one for every ``interval`` lines in their order."""
+    if interval < 1:
+        store.build(build_docs(lines, segmenter))
+        return
+    store.clear()
+    batched = L.batch_ids(lines, "doc_seq", interval)
+    for b in range((batched.agg(F.max("batch")).head()[0] or 0) + 1):
+        store.append(build_docs(batched.where(F.col("batch") == b).drop("batch"), segmenter))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = Config.from_env()
@@ -72,15 +113,19 @@ def main(argv: list[str] | None = None) -> int:
     store = Store(spark, path)
     started = time.perf_counter()
     if args.verb == "full":
-        lines = L.scan(L.read_lines(spark, args.file or D.download(config, D.ListKind.FULL))).select(F.col("line_no").alias("doc_seq"), "s")
-        store.build(build_docs(lines, segmenter_of(spark, args, config)))
-        n, seconds = store.docs().count(), time.perf_counter() - started
+        source = args.file if args.file and not args.download else D.download(config, D.ListKind.FULL)
+        lines = L.scan(L.across_files(L.read_lines(spark, source))).select(F.col("line_no").alias("doc_seq"), "s")
+        with progress(spark, "full build"):
+            build(store, lines, segmenter_of(spark, args, config), args.commit_interval)
+        n, seconds = store.count(), time.perf_counter() - started
+        print(rate_line(n, seconds), file=sys.stderr)
         print(json.dumps({"indexed": n, "seconds": seconds, "per_second": n / seconds}))
     elif args.verb == "daily":
-        os.makedirs(path, exist_ok=True)
-        with lock(os.path.join(path, ".sync.lock")):
+        if args.download:
+            args.add, args.remove = D.download(config, D.ListKind.DAILY_UPDATE), D.download(config, D.ListKind.DAILY_REMOVE)
+        with lock(f"{path}/.sync.lock", spark), progress(spark, "daily sync"):
             none = spark.createDataFrame([], "line_no long, raw string")
-            read = lambda f: L.read_lines(spark, f).select("line_no", "raw") if f and os.path.exists(f) else none
+            read = lambda f: L.across_files(L.read_lines(spark, f)).select("line_no", "raw") if f and exists(spark, f) else none
             have = store.docs()
             first = (have.agg(F.max("doc_seq")).head()[0] or 0) + 1
             change = Y.delta(read(args.add), read(args.remove), segmenter_of(spark, args, config), first)
@@ -91,6 +136,12 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(Service(spark, path).stats()))
     elif args.verb == "optimize":
         store.optimize()
+    elif args.verb == "vacuum":
+        print(json.dumps({"deleted": store.vacuum(args.keep)}))
+    elif args.verb == "serve":
+        from .http import server
+
+        server(Service(spark, path, ResultCache(config.cache_entries, config.cache_ttl)), args.port).serve_forever()
     else:
         print(json.dumps(Service(spark, path).search(args.q, args.tld, args.limit, args.min_match)))
     return 0

@@ -8,14 +8,17 @@ from pyspark.sql.types import StringType
 
 try:
     from idna import uts46_remap
-except ImportError:  # without the library names stay in lower case
+except ImportError:  # names in ASCII need no library
     uts46_remap = None
 
 
 def to_ascii(name: str) -> str:
-    """The ASCII form; the name itself where there is none."""
-    if uts46_remap is None or name.isascii():
+    """The ASCII form; the name itself where there is none. Without the library a name that needs it is an error, so that
+    results never depend on the machine."""
+    if name.isascii():
         return name
+    if uts46_remap is None:
+        raise ImportError("names that are not ASCII need the library idna")
     try:
         labels = uts46_remap(name, std3_rules=False, transitional=False).split(".")
         return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode("ascii") for x in labels)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import MOST_CANDIDATES
-from .index import Index
+from .index import Index, term_stats
 
 K1, B = 1.2, 0.75
 RESULT = ["qid", "pos", "domain", "label", "tld", "length", "has_hyphen", "tokens", "match_count", "score", "total_candidates"]
@@ -30,11 +30,13 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def scored(queries: DataFrame, index: Index) -> DataFrame:
-    """qid, doc_seq, score for documents with any token of the query."""
-    asked = query_tokens(queries).join(index.terms, "token").crossJoin(F.broadcast(index.corpus))  # one row
+    """qid, doc_seq, score for documents with any token of the query. Only the query's tokens' postings are read and counted."""
+    tokens = query_tokens(queries)
+    own = index.postings.join(tokens.select("token").distinct(), "token", "left_semi")
+    asked = tokens.join(term_stats(own), "token").crossJoin(F.broadcast(index.corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return index.postings.join(asked, "token").groupBy("qid", "doc_seq").agg(F.round(F.sum(weight), 6).alias("score"))
+    return own.join(asked, "token").groupBy("qid", "doc_seq").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def candidates(queries: DataFrame, index: Index) -> DataFrame:

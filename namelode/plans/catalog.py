@@ -274,6 +274,16 @@ for _name, _qids in {"search_any": (0, 5, 6), "search_multi": (5, 10), "search_t
     query(O.searched("SELECT * FROM results" + (f" WHERE qid IN ({', '.join(map(str, _qids))})" if _qids else "")), _name)(results_of(*_qids))
 
 
+@query(O.searched("SELECT * FROM results"))
+def search_stored(spark, sf_dir):
+    """The same answers from an index on disk, of which only the queries' tokens' postings are read."""
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(docs(configure(spark), sf_dir))
+    queries = fixtures.queries(spark)
+    tokens = [r["token"] for r in S.query_tokens(S.tokenized(queries)).select("token").distinct().collect()]
+    return shown(S.search(queries, store.index(tokens)))
+
+
 @query(O.searched("SELECT q.qid::INTEGER AS qid, count(pos) AS total_candidates, coalesce(sum((pos <= p.lim)::INTEGER), 0)::BIGINT AS returned FROM queries q LEFT JOIN placed p USING (qid) GROUP BY q.qid"))
 def search_summary(spark, sf_dir):
     return S.summaries(fixtures.queries(spark), index(spark, sf_dir))

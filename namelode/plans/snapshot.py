@@ -1,4 +1,4 @@
-"""Snapshots of an index: a base, deltas and tombstones as Parquet, and a pointer that names what is current.
+"""Snapshots of an index: documents, postings and tombstones as Parquet, and a pointer that names what is current.
 
 A snapshot is published by creating a pointer file of the next number, so an unfinished job publishes nothing and readers
 that resolve the pointer once a call see one state. Files go through Spark's file systems, so a store may be anywhere.
@@ -12,19 +12,34 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.index import DOCS, Index, index_of
+from ..functions import text as T
+from ..operators.index import DOCS, Index, postings_of, term_stats
 from ..operators.sync import Delta
 
+BUCKETS = 256
+MOST_PARTS = 32
+DOC_SCHEMA = "doc_seq long, domain_exact string, label string, tld string, len int, has_hyphen boolean, tokens array<string>"
+POSTING_SCHEMA = "token string, doc_seq long, tf int, dl int, bucket int"
+GONE_SCHEMA = "doc_seq long, domain_exact string, dl int"
+EMPTY = {"parts": [], "gone": [], "gone_n": 0, "gone_terms": 0}
 _scratch: list[str] = []
 
 
+def bucket_of(token: str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors share, for stores that nobody keeps."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _scratch:
             _scratch.append(tempfile.mkdtemp(prefix="namelode-"))
             atexit.register(shutil.rmtree, _scratch[0], ignore_errors=True)
@@ -33,7 +48,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 class Store:
-    """docs with deltas: state = {"docs": [...], "gone": [[folder, how many docs folders it applies to], ...]}."""
+    """An index that is kept, in parts: the build, then one a sync. A part holds
+
+    - ``docs``, ranged by doc_seq, for candidates;
+    - ``names`` (domain_exact, doc_seq), ranged by name, for exact lookups;
+    - ``postings``, partitioned by a hash of the token and sorted by token, so that a search reads its tokens' rows only;
+    - ``n`` and ``terms`` in the pointer: documents and their terms, for the average length.
+
+    A sync also writes ``gone``: the doc_seq, name and number of terms of each earlier document that it removes or replaces. A
+    document is gone once at most and a doc_seq never comes back, so one anti join with all of them shows what is current.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -48,11 +72,11 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return sorted(int(n[8:]) for n in names if n.startswith("pointer-"))
 
-    def state(self) -> dict:
+    def state(self, version: int | None = None) -> dict:
         found = self.versions()
         if not found:
             raise FileNotFoundError(f"{self.path} holds no snapshot")
-        stream = self._fs.open(self._path(f"{self.path}/pointer-{found[-1]}"))
+        stream = self._fs.open(self._path(f"{self.path}/pointer-{version or found[-1]}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -64,46 +88,108 @@ class Store:
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
 
-    def write(self, df: DataFrame, kind: str, order: str) -> str:
-        folder = f"{kind}-{uuid.uuid4().hex}"
-        df.sortWithinPartitions(order).write.mode("errorifexists").parquet(f"{self.path}/{folder}")
-        return folder
+    def _fresh(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def _write_part(self, docs: DataFrame) -> dict:
+        """The folders of a new part; docs is evaluated once, the rest is made from what was written."""
+        part = {k: self._fresh(k) for k in ("docs", "names", "postings")}
+        docs.select(*DOCS).repartitionByRange("doc_seq").sortWithinPartitions("doc_seq").write.mode("errorifexists").parquet(f"{self.path}/{part['docs']}")
+        own = self._read([part["docs"]], DOC_SCHEMA)
+        own.select("domain_exact", "doc_seq").repartitionByRange("domain_exact", "doc_seq").sortWithinPartitions("domain_exact", "doc_seq").write.parquet(f"{self.path}/{part['names']}")
+        # ranged by place too, so that a token with a third of all postings is dealt over many tasks
+        postings = postings_of(own).withColumn("bucket", bucket_of("token")).repartitionByRange("bucket", "token", "doc_seq").sortWithinPartitions("bucket", "token", "doc_seq")
+        postings.write.partitionBy("bucket").parquet(f"{self.path}/{part['postings']}")
+        n, terms = own.agg(F.count("*"), F.coalesce(F.sum(F.size(T.index_terms(F.col("tokens")))), F.lit(0))).head()
+        return part | {"n": n, "terms": terms}
+
+    def _read(self, folders: list[str], schema: str) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        tables = [self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in folders]
+        return reduce(DataFrame.unionByName, tables)
 
     def build(self, docs: DataFrame) -> None:
-        """Names are ranged and sorted, so that an exact lookup reads few row groups."""
-        self.publish({"docs": [self.write(docs.select(*DOCS).repartitionByRange("domain_exact"), "docs", "domain_exact")], "gone": []})
+        self.publish(EMPTY | {"parts": [self._write_part(docs)]})
+
+    def append(self, docs: DataFrame) -> None:
+        """Publish one more part of a build."""
+        state = self.state() if self.versions() else EMPTY
+        self.publish(state | {"parts": [*state["parts"], self._write_part(docs)]})
+
+    def clear(self) -> None:
+        """Publish an index without documents, for a build in parts."""
+        self.publish(EMPTY)
+
+    def gone(self, state: dict) -> DataFrame:
+        return self._read(state["gone"], GONE_SCHEMA)
+
+    def _current(self, rows: DataFrame, state: dict) -> DataFrame:
+        return rows.join(self.gone(state).select("doc_seq"), "doc_seq", "left_anti") if state["gone"] else rows
 
     def docs(self) -> DataFrame:
         state = self.state()
-        out = None
-        for i, folder in enumerate(state["docs"]):
-            rows = self.spark.read.parquet(f"{self.path}/{folder}")
-            for gone, upto in state["gone"]:
-                if i < upto:
-                    rows = rows.join(self.spark.read.parquet(f"{self.path}/{gone}"), "domain_exact", "left_anti")
-            rows = rows.select(*DOCS)
-            out = rows if out is None else out.unionByName(rows)
-        return out
-
-    def index(self) -> Index:
-        return index_of(self.docs())
+        return self._current(self._read([p["docs"] for p in state["parts"]], DOC_SCHEMA), state).select(*DOCS)
+
+    def index(self, tokens: list[str] | None = None) -> Index:
+        """The current index. tokens: only their postings are read (names of partitions and statistics of row groups tell)."""
+        state = self.state()
+        postings = self._read([p["postings"] for p in state["parts"]], POSTING_SCHEMA)
+        if tokens is not None:
+            buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in tokens] or [("",)], "token string").select(bucket_of("token")).distinct().collect()]
+            postings = postings.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens or [""]))
+        postings = self._current(postings, state).select("token", "doc_seq", "tf", "dl")
+        n, terms = (sum(p[k] for p in state["parts"]) - state[f"gone_{k}"] for k in ("n", "terms"))
+        corpus = self.spark.createDataFrame([(n, terms / n if n else None)], "n long, avgdl double")
+        return Index(self.docs(), postings, corpus, term_stats(postings))
+
+    def exact(self, name: str) -> DataFrame:
+        """The current documents of one normalized name; literals, so that the filters reach the files."""
+        state = self.state()
+        names = self._read([p["names"] for p in state["parts"]], "domain_exact string, doc_seq long").where(F.col("domain_exact") == F.lit(name))
+        first = self._current(names, state).agg(F.min("doc_seq")).head()[0]
+        docs = self._read([p["docs"] for p in state["parts"]], DOC_SCHEMA)
+        return docs.where(F.lit(False) if first is None else F.col("doc_seq") == F.lit(first)).select(*DOCS)
 
     def sync(self, change: Delta) -> None:
-        """One publication after removals and additions; tombstones apply to what was there before."""
+        """One publication after removals and additions; what goes was there before. Too many parts become one."""
         state = self.state()
-        gone = self.write(change.removed.unionByName(change.added.select("domain_exact")).distinct(), "gone", "domain_exact")
-        added = self.write(change.added.select(*DOCS), "docs", "domain_exact")
-        self.publish({"docs": [*state["docs"], added], "gone": [*state["gone"], [gone, len(state["docs"])]]})
+        added, gone = self._write_part(change.added), self._fresh("gone")
+        names = change.removed.unionByName(self._read([added["docs"]], DOC_SCHEMA).select("domain_exact")).distinct()
+        lost = self.docs().join(names, "domain_exact", "left_semi").select("doc_seq", "domain_exact", F.size(T.index_terms(F.col("tokens"))).alias("dl"))
+        lost.sortWithinPartitions("doc_seq").write.mode("errorifexists").parquet(f"{self.path}/{gone}")
+        n, terms = self._read([gone], GONE_SCHEMA).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).head()
+        self.publish({"parts": [*state["parts"], added], "gone": [*state["gone"], gone], "gone_n": state["gone_n"] + n, "gone_terms": state["gone_terms"] + terms})
+        if len(state["parts"]) >= MOST_PARTS:
+            self.optimize()
 
     def optimize(self) -> None:
-        """All deltas into a new base."""
+        """All parts into a new one."""
         self.build(self.docs())
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the pointers before the last ``keep`` and the folders that only they name; how many folders went."""
+        found = self.versions()
+        kept = {f for v in found[-keep:] for f in self._folders(self.state(v))}
+        old = {f for v in found[:-keep] for f in self._folders(self.state(v))} - kept
+        for f in sorted(old):
+            self._fs.delete(self._path(f"{self.path}/{f}"), True)
+        for v in found[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/pointer-{v}"), False)
+        return len(old)
+
+    @staticmethod
+    def _folders(state: dict) -> list[str]:
+        return [*(p[k] for p in state["parts"] for k in ("docs", "names", "postings")), *state["gone"]]
+
+    def count(self) -> int:
+        """Current documents, from the pointer alone."""
+        state = self.state()
+        return sum(p["n"] for p in state["parts"]) - state["gone_n"]
+
     def segments(self) -> int:
-        return len(self.state()["docs"])
+        return len(self.state()["parts"])
 
     def size_bytes(self) -> int:
         """Of the files in the current snapshot's folders."""
-        state = self.state()
-        folders = [*state["docs"], *(g for g, _ in state["gone"])]
-        return sum(f.getLen() for folder in folders for f in self._fs.listStatus(self._path(f"{self.path}/{folder}")))
+        return sum(self._fs.getContentSummary(self._path(f"{self.path}/{f}")).getLength() for f in self._folders(self.state()))

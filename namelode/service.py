@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .cache import ResultCache
 from .operators import search as S
@@ -30,7 +29,9 @@ class Service:
     def _answers(self, rows: list[tuple]) -> dict[int, dict]:
         out = {r[0]: {"results": [], "total_candidates": 0} for r in rows}
         if rows:
-            found = S.search(query_rows(self.spark, rows), self.store.index()).orderBy("qid", "pos").collect()
+            queries = query_rows(self.spark, rows)
+            tokens = [r["token"] for r in S.query_tokens(S.tokenized(queries)).select("token").distinct().collect()]  # of MAX_BULK queries at most
+            found = S.search(queries, self.store.index(tokens)).orderBy("qid", "pos").collect()
             for r in found:  # at most the limit a query
                 hit = r.asDict()
                 own = out[hit.pop("qid")]
@@ -91,14 +92,13 @@ class Service:
         if reason:
             raise InvalidDomain(f"{domain!r}: {reason}")
         name = asked.select("domain_exact").head()[0]
-        # a literal, so that the filter reaches the files
-        hit = self.store.docs().where(F.col("domain_exact") == F.lit(name)).orderBy("doc_seq").limit(1).collect()
+        hit = self.store.exact(name).limit(1).collect()
         found = {"domain": {"domain": hit[0]["domain_exact"], "label": hit[0]["label"], "tld": hit[0]["tld"], "length": hit[0]["len"], "has_hyphen": hit[0]["has_hyphen"], "tokens": hit[0]["tokens"]}} if hit else {}
         return {"found": bool(hit), **found, "query_time_ms": (time.perf_counter() - started) * 1000}
 
     def health(self) -> dict:
-        return {"status": "ok", "index_documents": self.store.docs().count(), "index_segments": self.store.segments(), "cache_enabled": self.cache is not None}
+        return {"status": "ok", "index_documents": self.store.count(), "index_segments": self.store.segments(), "cache_enabled": self.cache is not None}
 
     def stats(self) -> dict:
-        out = {"index": {"documents": self.store.docs().count(), "segments": self.store.segments(), "size_bytes": self.store.size_bytes()}}
+        out = {"index": {"documents": self.store.count(), "segments": self.store.segments(), "size_bytes": self.store.size_bytes()}}
         return out | ({"cache": self.cache.stats()} if self.cache else {})

@@ -20,6 +20,14 @@ def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = False
     return lines.select("file", (F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"), "raw")
 
 
+def across_files(lines: DataFrame) -> DataFrame:
+    """lines with a line_no that orders the lines of all files: files by name, lines by place. That of the first file stays."""
+    files = lines.select("file").distinct()
+    number = (F.row_number().over(Window.orderBy("file")) - 1).cast("long")  # a row a file
+    numbered = files.select(F.col("file").alias("f"), F.shiftleft(number, 44).alias("first"))
+    return lines.join(numbered, F.col("file") == F.col("f")).select("file", (F.col("first") + F.col("line_no")).alias("line_no"), "raw")
+
+
 def lines_of(spark: SparkSession, raw: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(raw, 1)), "line_no long, raw string")
 

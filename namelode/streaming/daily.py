@@ -31,5 +31,13 @@ def apply_batch(store: Store, segmenter: Segmenter, batch: DataFrame) -> None:
 
 def run_available(store: Store, segmenter: Segmenter, folder: str, checkpoint: str) -> None:
     """Apply the files that no earlier run has seen, then stop."""
-    query = lines(store.spark, folder).writeStream.foreachBatch(lambda batch, _: apply_batch(store, segmenter, batch.persist())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def run(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        try:
+            apply_batch(store, segmenter, batch)
+        finally:
+            batch.unpersist()
+
+    query = lines(store.spark, folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

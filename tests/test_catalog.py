@@ -1,8 +1,12 @@
 """Each query of the domain engine against its SQL, on the smallest tables."""
 
+import json
+import random
+
 import duckdb
 import pytest
 
+from namelode.operators.segment import DictionarySegmenter
 from namelode.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +59,47 @@ def test_dictionary_takes_every_word(spark, monkeypatch):
     monkeypatch.setattr(catalog, "DICTIONARY_BYTES", 1000)
     with pytest.raises(ValueError):
         catalog.segment_counts(names)
+
+
+def splits(run):
+    if not run:
+        yield []
+    for i in range(1, len(run) + 1):
+        for rest in splits(run[i:]):
+            yield [run[:i], *rest]
+
+
+def test_segments_against_all_splits():
+    rng = random.Random(3)
+    counts = {"cold": 3, "widget": 5, "old": 9, "c": 2, "red": 4, "edge": 4, "re": 7, "d": 1}
+    own = DictionarySegmenter(counts)
+    cost = lambda words: sum(own.cost.get(w, own.unknown * len(w) + own.unknown) for w in words)
+    for label in ["coldwidget", "rededge", *("".join(rng.choice(["c", "old", "red", "edge", "x", "d"]) for _ in range(rng.randint(1, 4))) for _ in range(40))]:
+        best = [x for x in splits(label) if max(map(len, x)) <= own.longest]
+        assert cost(own.split(label)) == pytest.approx(min(map(cost, best))), label
+    assert own.split("coldwidget") == ["cold", "widget"] and own.split("red-edge.x") == ["red", "edge", "x"]
+
+
+def test_dictionary_query_row_by_row(spark):
+    counts = {r["w"]: r["n"] for r in spark.sql(f"SELECT w, count(*) n FROM (SELECT explode(split(p_name, ' ')) w FROM parquet.`{SMALL}/part.parquet`) GROUP BY w").collect()}
+    own = DictionarySegmenter(counts)
+    rows = catalog.QUERIES["segment_dictionary"](spark, SMALL).collect()
+    assert len(rows) == catalog.normalized(spark, SMALL).where("status = 'ok'").count()
+    assert all(r["tokens"] == " ".join(own.split(r["label"])) for r in rows)
+
+
+def test_idna_query_row_by_row(spark):
+    """Against the older codec of the standard library, which agrees on lower-case letters but for sharp s and final sigma."""
+    rows = [r for r in catalog.QUERIES["norm_idna"](spark, SMALL).collect() if not set("ßς") & set(r["raw"])]
+    assert len(rows) > 50 and all(r["domain_exact"] == r["raw"].encode("idna").decode() for r in rows)
+
+
+def test_json_answers(spark):
+    hits = {}
+    for r in catalog.QUERIES["search_bulk"](spark, SMALL).orderBy("qid", "pos").collect():
+        row = r.asDict()
+        own = hits.setdefault(row.pop("qid"), {"results": [], "total_candidates": row["total_candidates"]})
+        row.pop("pos"), row.pop("total_candidates")
+        own["results"].append(row | {"tokens": row["tokens"].split(" ") if row["tokens"] else []})
+    got = {r["qid"]: json.loads(r["body"]) for r in catalog.QUERIES["search_json"](spark, SMALL).collect()}
+    assert got == hits and len(got) >= 5

@@ -1,17 +1,23 @@
 """Snapshots, sync, streaming, cache and service."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from namelode import cli
 from namelode.cache import ResultCache
+from namelode.config import Config
+from namelode.operators import search as S
 from namelode.operators import sync as Y
-from namelode.operators.index import build_docs
+from namelode.operators.index import build_docs, index_of
 from namelode.operators.normalize import InvalidDomain
 from namelode.operators.segment import DictionarySegmenter
+from namelode.plans import snapshot
 from namelode.plans.snapshot import Store
 from namelode.service import BadRequest, Service
 from namelode.sources import lines as L
+from namelode.sources.requests import query_rows
 from namelode.streaming import daily
 
 WORDS = DictionarySegmenter({"small": 5, "gear": 9, "red": 5, "bolt": 5})
@@ -103,3 +109,76 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main([*base, "daily", "--remove", str(tmp_path / "list.txt"), "--words", str(tmp_path / "words.txt")]) == 0
     assert cli.main([*base, "optimize"]) == 0 and cli.main([*base, "stats"]) == 0
     assert '"documents": 0' in capsys.readouterr().out
+
+
+def test_stored_search_is_that_of_the_documents(spark, tmp_path):
+    """After syncs the stored postings and statistics give what an index of the current documents gives, and no others are read."""
+    store = store_of(spark, tmp_path / "i", [f"small-gear{i % 7}.com" for i in range(40)] + [f"redbolt{i}.net" for i in range(30)])
+    for day, (adds, removes) in enumerate([(["smallgear.org", "redbolt3.net"], ["small-gear2.com", "redbolt5.net"]), (["small-gear2.com"], ["smallgear.org", "redbolt3.net"])]):
+        store.sync(Y.delta(L.lines_of(spark, adds), L.lines_of(spark, removes), WORDS, 1000 * (day + 1)))
+    queries = query_rows(spark, [(0, "small gear", None, 5, None), (1, "bolt", "net", 50, None), (2, "zzz", None, 5, None)])
+    want = sorted(map(str, S.search(queries, index_of(store.docs())).collect()))
+    for index in (store.index(), store.index(["small", "gear", "bolt", "zzz"])):
+        assert sorted(map(str, S.search(queries, index).collect())) == want and len(want) > 8
+    corpus, own = store.index().corpus.head(), index_of(store.docs()).corpus.head()
+    assert (corpus["n"], corpus["avgdl"]) == (own["n"], pytest.approx(own["avgdl"])) and store.count() == store.docs().count()
+    plan = store.index(["bolt"]).postings._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#", plan) and re.search(r"PushedFilters: \[[^\]]*EqualTo\(token,bolt\)", plan)
+    assert sorted(r["doc_seq"] for r in store.exact("small-gear2.com").collect()) == [2001]
+
+
+def test_parts_are_merged_and_old_files_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "MOST_PARTS", 3)
+    store = store_of(spark, tmp_path / "i", ["a-gear.com", "b-gear.com"])
+    for day in range(4):
+        store.sync(Y.delta(L.lines_of(spark, [f"new{day}x.com"]), L.lines_of(spark, []), WORDS, 100 * (day + 1)))
+    assert store.segments() <= 3 and store.count() == 6
+    before = names(store)
+    assert store.vacuum(1) > 0 and names(store) == before and len(store.versions()) == 1
+    assert {f.name for f in (tmp_path / "i").iterdir() if f.is_dir()} == set(store._folders(store.state()))
+
+
+def test_cli_of_many_files_in_parts(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.txt").write_text("".join(f"small-gear{i}x{j}.com\n" for j in range(5)))
+    (tmp_path / "words.txt").write_text("small\ngear\n")
+    base = ["--index", f"file://{tmp_path}/i"]
+    assert cli.main([*base, "full", "--file", str(tmp_path / "in"), "--words", str(tmp_path / "words.txt"), "--commit-interval", "6"]) == 0
+    store = Store(spark, f"file://{tmp_path}/i")
+    seqs = [r["doc_seq"] for r in store.docs().orderBy("domain_exact").collect()]
+    assert len(set(seqs)) == 15 and seqs == sorted(seqs) and store.segments() == 3
+    (tmp_path / "gone.txt").write_text("small-gear0x0.com\n")
+    assert cli.main([*base, "daily", "--remove", f"file://{tmp_path}/gone.txt", "--add", f"file://{tmp_path}/absent.txt", "--words", str(tmp_path / "words.txt")]) == 0
+    assert store.count() == 14
+    with cli.lock(f"file://{tmp_path}/l", spark), pytest.raises(FileExistsError), cli.lock(f"file://{tmp_path}/l", spark):
+        pass
+    assert cli.main([*base, "vacuum", "--keep", "1"]) == 0
+    out = capsys.readouterr()
+    assert "full build: done" in out.err and "documents," in out.err
+
+
+def test_http(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from namelode.http import answer, server
+
+    store_of(spark, tmp_path / "i", ["small-gear.com", "redbolt.net"])
+    service = Service(spark, str(tmp_path / "i"), ResultCache())
+    assert answer(service, "GET", "/search?q=gear&limit=3")[1]["results"][0]["domain"] == "small-gear.com"
+    assert [answer(service, *r)[0] for r in (("GET", "/search?q=%20"), ("GET", "/search"), ("GET", "/exact?domain=nodot"), ("GET", "/none"), ("GET", "/search?q=a&limit=x"), ("POST", "/search/bulk", b"{"))] == [400, 400, 400, 404, 400, 400]
+    assert len(answer(service, "POST", "/search/bulk", b'{"queries": [{"q": "gear"}, {"q": "bolt"}], "limit": 2}')[1]["results"]) == 2
+    web = server(service, 0, "127.0.0.1")
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{web.server_port}/health", timeout=60) as r:
+        assert r.headers["Access-Control-Allow-Origin"] == "*" and b'"index_documents": 2' in r.read()
+    web.shutdown()
+
+
+def test_settings_of_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# c\nexport NAMELODE_BATCH_SIZE=7\nNAMELODE_ZONE_URL='http://z #1'\nNAMELODE_ZONE_TOKEN=t # note\nnonsense\n")
+    found = Config.from_env(file=str(tmp_path / ".env"))
+    assert (found.batch_size, found.zone_url, found.zone_token) == (7, "http://z #1", "t")
+    assert Config.from_env({}, file=str(tmp_path / ".env")).batch_size == 50_000
