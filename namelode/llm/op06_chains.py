@@ -519,8 +519,13 @@ def passages(parts: DataFrame, min_words: int) -> DataFrame:
 
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the words of their passages cut out of the text; documents of which nothing is left go."""
-    cuts = found.select("doc_id", "passage_start", "passage_end").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("passage_start", "passage_end"))).alias("cuts"))
+    """docs with the words of their passages cut out of the text; documents of which nothing is left go.
+
+    Rows without passages stay as they are, those with null ids, null and empty texts too; rows that repeat an id are cut
+    alike as far as their texts reach. All columns stay, whatever their names.
+    """
+    own_id, cuts = (free_name(x, docs.columns) for x in ("cut_id", "cuts"))
+    spans = found.select("doc_id", "passage_start", "passage_end").distinct().groupBy(F.col("doc_id").alias(own_id)).agg(F.sort_array(F.collect_list(F.struct("passage_start", "passage_end"))).alias(cuts))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -528,17 +533,26 @@ def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
 
         out = []
         for text, own in zip(texts, spans):
-            at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+            at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
             kept, last = [], 0
             for s in own:
-                kept.append(text[last : at[s["passage_start"]][0]])
-                last = at[min(s["passage_end"], len(at)) - 1][1]
-            out.append("".join([*kept, text[last:]]).strip())
+                a, b = s["passage_start"], min(s["passage_end"], len(at))
+                if a < b:
+                    kept.append(text[last : at[a][0]])
+                    last = at[b - 1][1]
+            out.append("".join([*kept, (text or "")[last:]]).strip())
         return pd.Series(out)
 
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "c_id"), F.col(id_col) == F.col("c_id"), "left")
-    changed = joined.where("cuts is not null").withColumn(text_col, cut(F.col(text_col), F.transform("cuts", lambda c: c))).where(F.col(text_col) != "")
-    return joined.where("cuts is null").unionByName(changed).drop("c_id", "cuts")
+    joined = docs.join(spans, F.col(id_col) == F.col(own_id), "left")
+    changed = joined.where(F.col(cuts).isNotNull()).withColumn(text_col, cut(F.col(text_col), F.col(cuts))).where(F.col(text_col) != "")
+    return joined.where(F.col(cuts).isNull()).unionByName(changed).drop(own_id, cuts)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or the first with underscores in front that is none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

@@ -325,3 +325,48 @@ def test_empty_buckets_cost_nothing():
     docs = [(1, 3, b"x", np.array([5, 9, 1 << 47], np.uint64)), (2, 1, b"y", np.array([9], np.uint64))]
     rows = shingles.chunk_rows(0, docs, 40)
     assert len(rows) == 1 + 2 and sorted(r[0] for r in rows[1:]) == [0, 1 << 39]
+
+
+def words_of(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its own input: what toxicity drops are the operator's verdicts, what passages lose is what brute force finds."""
+    from namelode.llm import op07_toxicity as toxicity
+
+    base, stages = "/root/testdata/sf0.01", dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{base}/documents.parquet").where("doc_id % 3 = 0")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{base}/labels.parquet"))
+    verdicts = {r["doc_id"]: r["score"] < 0.5 for r in toxicity.toxicity(docs, model).collect()}
+    assert {r["doc_id"] for r in stages["toxicity"](spark, docs, base).collect()} == {i for i, ok in verdicts.items() if ok}
+    left = {r["doc_id"]: r["text"] for r in stages["ngram_jaccard"](spark, docs, base).collect()}
+    assert set(left) == {i for i, _, c in classes(sorted(texts.items()), 5, 80, 100) if i == c}
+    cut = {r["doc_id"]: words_of(r["text"]) for r in stages["substring_dedup"](spark, docs, base).collect()}
+    rows = {i: words_of(t) for i, t in texts.items()}
+    covered = {}
+    for r in chains.repeated_passages(docs).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["passage_start"], r["passage_end"]))
+    lost, total = lost_stretches(rows, covered)
+    assert total > 20 and not lost
+    assert cut == {i: own for i, w in rows.items() if (own := [x for k, x in enumerate(w) if k not in covered.get(i, ())]) or not covered.get(i)}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cuts string, cut_id long, tokens string, score double, component_id string"
+    rng = random.Random(31)
+    long = " ".join(f"word{rng.randrange(5000)}" for _ in range(60_000))
+    rest = lambda i: ("en", None if i % 2 else "web", 1, "x", i, "y", 0.5, "z")
+    rows = [(i, t, *rest(i)) for i, t in enumerate([None, "", " \n", "one", "a b c d e f g", long, long + " end", "ONE"])] + [(None, "no id", *rest(8)), (None, None, *rest(9)), (3, "one", *rest(3)), (3, "one", *rest(3))]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i == 4)) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), schema)
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")], name
+    left = docs.collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(["0", "1", "2", "3", "4", "5", "None", "None"]) and {r["text"] for r in left if r["doc_id"] == 5} == {long}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 0, 1, 2, 3, 4, 5}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
