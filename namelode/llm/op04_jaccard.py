@@ -135,8 +135,8 @@ def index_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     return reach.select("leader", "rep", "n").distinct()
 
 
-def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is connected among different sets (rep, n, tokens)."""
+def jaccard_links(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect what is connected among different sets (rep, n, tokens), and the tables that they are read from."""
     entries = written(prefix_entries(sets.select("rep", "n", "tokens"), num, den), "entries")
     members = written(index_lists(entries, num, den), "members")
     forget(entries)
@@ -162,7 +162,7 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     # far sets against the other blocks of their leader, in groups of bounded size
     far = written(found.where(f"far <> {NEAR}").select("leader", F.col("a").alias("rep"), F.col("far").alias("level")).join(size, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "far")
     if not far.head(1):
-        return links
+        return links, [members, found, far]
     others = F.explode(F.expr("filter(sequence(0L, blocks - 1), x -> x <> own)")).alias("block")
     asking = far.select("leader", "own", "rep", "level", others).withColumn("side", F.lit(0))
     pairs = far.groupBy("leader", "own", "blocks").agg(F.min("level").alias("nearest")).select("leader", "own", "nearest", others)
@@ -182,7 +182,7 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
             link[:k, k:] &= ~((level[:k, None] == REMOTE) & (level[None, k:] == NEAR))  # which can't link
         return out_links(forest(link | link.T, ids), [])
 
-    return links.unionByName(asked.groupBy("leader", "own", "block").applyInArrow(lambda t: across(t), LINKS).select("a", "b"))
+    return links.unionByName(asked.groupBy("leader", "own", "block").applyInArrow(lambda t: across(t), LINKS).select("a", "b")), [members, found, far]
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", table: bytes = SPACES) -> DataFrame:
@@ -192,7 +192,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     Words are what white space (ASCII) separates, A-Z lower-cased. A text of fewer than width words has one shingle; null
     texts and texts without words have none, link with nothing and keep their own id. Equal texts link. A null id gives a
     null component unless it links with others. Rows are kept as often as they come; rows of one id are linked, whatever their
-    texts. Other columns are not read. Shingles are compared by 48-bit hashes.
+    texts. Other columns are not read. Shingles are compared by 48-bit hashes: the
+    intersection of two sets of n shingles each is miscounted with a probability of n * n / 2**48.
     """
     picked = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     bits = bucket_bits(picked)
@@ -201,7 +202,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = alike.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "tokens"), "doc_id").alias("set"))
     different = written(reps.select(F.col("rep").alias("doc_id"), "set.n", "fp", "set.tokens"), "reps")
     again = written(exchange(set_rows(different, bits), bits, num, den).where("tokens is not null").select(F.col("doc_id").alias("rep"), "n", "tokens"), "sets")
-    links = jaccard_links(again, num, den)
+    links, tables = jaccard_links(again, num, den)
     rows = every.where("doc_id is not null").select("doc_id", "fp")
     several = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("fp").alias("f")).where("k > 1 and (low <> high or f < k)").select(F.col("doc_id").alias("r_id"))
     several = written(several, "several") if several.head(1) else None  # ids whose rows are in several classes make them one
@@ -210,7 +211,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         own = rows.join(several, F.col("doc_id") == F.col("r_id")).join(different.select(F.col("fp").alias("f"), F.col("doc_id").alias("rep")), F.col("fp") == F.col("f"), "left")
         links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.coalesce("rep", "doc_id").alias("b")).where("a <> b"))
     found = components(links)
-    forget(again)
+    for table in (again, *tables):
+        forget(table)
     result = every.join(classed(found), F.col("fp") == F.col("f"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     if several is not None:
         least = result.join(several, F.col("doc_id") == F.col("r_id")).groupBy("r_id").agg(F.min("component_id").alias("least"))

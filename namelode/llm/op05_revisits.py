@@ -5,10 +5,21 @@ that share a time are one row. The times of a URL are cut into as many slices as
 third of all captures is dealt over many tasks. The last response of each slice is aggregated, a window over slices carries
 it into later ones, and within a slice a window finds the rest. The revisits are then joined with their URL and time, the
 validators are compared and the headers that a not-modified answer may change are taken from it.
+
+The capture table is read from WARC files by ``warc_records``; the registered query makes one from ``pages``.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
+import io
+import itertools
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +111,62 @@ def captures(pages: DataFrame) -> DataFrame:
     return pages.select(F.inline(F.concat(F.array(full(0, ts, "a"), revisit), F.coalesce(again, F.array().cast(full_type())))))
 
 
+RECORDS = "record_id long, kind string, url string, ts long, headers string, digest string"
+
+
+def records_of(stream, name: str) -> Iterator[tuple]:
+    """The response and revisit records of a WARC stream: id (of the record's own), kind, url, ts (milliseconds), the HTTP header
+    block, the payload's digest. Bodies are passed over in bounded pieces, and hashed where the record names no digest."""
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"{name}: no WARC record where one should begin: {line[:40]!r}")
+        fields = {}
+        while (line := stream.readline()).strip():
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[key.strip().lower()] = value.strip()
+        left = int(fields["content-length"])
+        kind = fields.get("warc-type")
+        wanted = kind in ("response", "revisit") and fields.get("content-type", "application/http").startswith("application/http")
+        head, digest = [], hashlib.sha1()
+        while wanted and left and (line := stream.readline(left)):  # the HTTP header block, up to its empty line
+            left -= len(line)
+            if not line.strip():
+                break
+            head.append(line)
+        while left:
+            piece = stream.read(min(left, 1 << 20))
+            if not piece:
+                raise ValueError(f"{name}: the last record is cut off")
+            digest.update(piece)
+            left -= len(piece)
+        if kind in ("response", "revisit"):
+            at = datetime.fromisoformat(fields["warc-date"].replace("Z", "+00:00"))
+            own = int(hashlib.md5(fields.get("warc-record-id", "").encode()).hexdigest()[:15], 16)
+            said = fields.get("warc-payload-digest") or (f"sha1:{base64.b32encode(digest.digest()).decode()}" if kind == "response" else None)
+            yield own, kind, fields.get("warc-target-uri", "").strip("<>") or None, int(at.timestamp() * 1000), b"".join(head[1:]).decode("latin-1"), said
+
+
+def warc_records(paths: DataFrame) -> DataFrame:
+    """The capture table of WARC files (column path, plain or .gz), for resolve_revisits. A task reads a file from end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        names, types = [x.split()[0] for x in RECORDS.split(", ")], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, at = FileSystem.from_uri(path)
+                with fs.open_input_stream(at, compression=None) as raw:
+                    stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
+                    found = records_of(stream, path)
+                    while rows := list(itertools.islice(found, 1000)):
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return paths.select("path").mapInArrow(run, RECORDS)
+
+
 def full_type() -> str:
     return "array<struct<record_id:bigint,kind:string,url:string,ts:bigint,headers:string,digest:string>>"
 

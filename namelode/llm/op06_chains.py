@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, written
+from .common import forget, small_batches, tidy, written
 from .shingles import PLACE, STEP, bucket_bits, mix, planes, runs, unplanes, word_hashes
 
 SEED, SUB = 6, 2
@@ -500,6 +500,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     bits = bucket_bits(picked)
     chains = written(chain_rows(match_rows(seed_rows(picked, bits), bits)), "chains")
     words = written(worded(picked, chains), "chain-words")
+    forget(chains)
     source = words.where("not own").select(F.col("doc_id").alias("s_id"), F.col("first").alias("source_first"), F.col("until").alias("source_until"), F.col("words").alias("source_words"))
     asked = (F.col("source_id") == F.col("s_id")) & (F.greatest(F.col("source_start") - GROW, F.lit(0)) == F.col("source_first")) & (F.col("source_end") + GROW == F.col("source_until"))
     with_words = words.where("own").drop("own", "until").join(source, asked)

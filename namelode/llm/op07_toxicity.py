@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, written
+from .common import forget, small_batches, tidy, written
 
 TRAIN_ROWS = 10_000
 FOLDS = 5
@@ -307,6 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             yield pa.record_batch([pa.array([model.total(t.as_py() or "")[0] for t in batch.column(0)], pa.float64()), batch.column(1)], ["total", "toxic"])
 
     rows = labelled.mapInArrow(tidy(totals), "total double, toxic int").toPandas()
+    forget(counted)
+    forget(labelled)
     model.slope, model.base = fit_curve(rows["total"].to_numpy(), rows["toxic"].to_numpy())
     return model
 

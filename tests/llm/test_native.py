@@ -141,3 +141,32 @@ def test_rows_of_one_id_are_dealt(spark):
     rows = [(None if i % 2 else 7, f"text {i}", "hot", 0, "") for i in range(3000)]
     got = sharding.stratified_shards(spark.createDataFrame(rows, DOCS), 8).collect()
     assert len({(r["doc_id"], r["text_crc32"]) for r in got}) == 3000 and len({r["shard"] for r in got}) == 8
+
+
+def record(kind, uri, date, http, body=b"", **more):
+    block = http.replace("\n", "\r\n").encode() + b"\r\n\r\n" + body
+    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}:{uri}:{date}>", "WARC-Target-URI": uri, "WARC-Date": date, "Content-Type": "application/http; msgtype=response", **more, "Content-Length": len(block)}
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_warc_files(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    body = b"x" * 3_000_000 + b"\r\nWARC/1.0\r\n"
+    info = record("warcinfo", "", "2024-01-01T00:00:00Z", "software: s", **{"Content-Type": "application/warc-fields"})
+    full = record("response", "http://H/a", "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\nETag: "1"\nContent-Length: 9', body)
+    again = record("revisit", "https://www.h:443/a/", "2024-01-02T00:00:00.5Z", 'HTTP/1.1 304 Not Modified\nETag: W/"1"\nCache-Control: no-cache')
+    (tmp_path / "a.warc").write_bytes(info + full)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(again))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc",), (f"file://{tmp_path}/b.warc.gz",)], "path string")
+    rows = revisits.warc_records(paths)
+    assert sorted((r["kind"], r["url"], r["ts"]) for r in rows.collect()) == [("response", "http://H/a", 1704067200000), ("revisit", "https://www.h:443/a/", 1704153600500)]
+    got = revisits.resolve_revisits(rows).collect()
+    assert [(r["outcome"], r["digest"]) for r in got] == [("resolved", "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode())]
+    assert got[0]["headers"] == 'cache-control: no-cache\ncontent-length: 9\netag: W/"1"'
+    assert revisits.warc_records(paths.limit(0)).count() == 0
+    for broken in (full[:-100], b"nonsense\r\n"):
+        with pytest.raises(ValueError):
+            list(revisits.records_of(__import__("io").BytesIO(broken), "f"))
