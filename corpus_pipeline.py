@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelode.llm import op02_packing, op04_jaccard, op06_chains, op07_toxicity
-from namelode.llm.common import tidy, written
+from namelode.llm.common import forget, tidy, written
 
 THRESHOLD = 0.5
 
@@ -67,7 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over ``documents``; each stage's rows are written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, name)
+            made = written(made, name)
+            forget(docs)
+        docs = made
     return docs

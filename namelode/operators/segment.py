@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENTS = "label string, tokens array<string>"
@@ -87,6 +87,12 @@ class HttpSegmenter:
         return labels.mapInPandas(run, SEGMENTS)
 
 
+def segment_single(spark: SparkSession, segmenter: Segmenter, label: str) -> list[str]:
+    """The tokens of one label; none without an answer."""
+    found = segmenter.segments(spark.createDataFrame([(label,)], "label string")).head()
+    return list(found["tokens"]) if found else []
+
+
 def add_tokens(rows: DataFrame, segmenter: Segmenter) -> DataFrame:
     """rows with tokens, joined by label; without an answer a row has none and stays."""
     found = segmenter.segments(rows.select("label").distinct()).select("label", F.col("tokens").alias("found"))

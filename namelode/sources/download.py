@@ -41,6 +41,15 @@ def extract(archive: str, target: str) -> str:
     return target
 
 
+def download_bytes(config: Config, kind: ListKind) -> bytes:
+    """The archive as it comes, in memory, for lists known to be small."""
+    try:
+        with urllib.request.urlopen(list_url(config, kind), timeout=3600) as response:
+            return response.read()
+    except OSError as e:
+        raise DownloadError(str(e)) from e
+
+
 def download(config: Config, kind: ListKind) -> str:
     """The path of the extracted list; the archive is removed."""
     os.makedirs(config.download_dir, exist_ok=True)

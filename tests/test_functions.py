@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from namelode.functions import text as T
 from namelode.functions.idna import to_ascii
 from namelode.operators.normalize import normalize, with_status
-from namelode.operators.segment import DictionarySegmenter, LookupSegmenter, add_tokens
+from namelode.operators.segment import DictionarySegmenter, LookupSegmenter, add_tokens, segment_single
 from namelode.sources import lines as L
-from namelode.sources.download import DownloadError, ListKind, list_url, member_of
+from namelode.sources.download import DownloadError, ListKind, download_bytes, list_url, member_of
 from namelode.config import Config, ConfigError
 
 
@@ -86,3 +86,17 @@ def test_download_names():
 
 def test_idna_falls_back():
     assert to_ascii("\u0378.de") == "\u0378.de" and to_ascii("plain.com") == "plain.com"  # an unassigned character
+
+
+def test_one_label(spark):
+    assert segment_single(spark, DictionarySegmenter({"red": 3, "gear": 2}), "redgear") == ["red", "gear"]
+    assert segment_single(spark, LookupSegmenter(spark.createDataFrame([], "label string, tokens array<string>")), "x") == []
+
+
+def test_download_to_memory(tmp_path):
+    (tmp_path / "t" / "get" / "full" / "list").mkdir(parents=True)
+    (tmp_path / "t" / "get" / "full" / "list" / "zip").write_bytes(b"PK")
+    config = Config(zone_url=f"file://{tmp_path}", zone_token="t")
+    assert download_bytes(config, ListKind.FULL) == b"PK"
+    with pytest.raises(DownloadError):
+        download_bytes(config, ListKind.DAILY_REMOVE)
