@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -140,30 +141,42 @@ class Model:
     slope: float = 1.0
     base: float = 0.0
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    known: tuple[int, tuple[set[str], set[str]]] = (0, (set(), set()))
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
     def restore(self, token: str) -> str:
         """The letters of a token as split at white space; '' without letters."""
-        word = EDGES.sub("", token.lower())
+        word = token.lower().rstrip(string.punctuation)
+        if not word.isalpha():
+            word = EDGES.sub("", token.lower())
         if ODD.search(word) and any(c.isalpha() for c in word):
             word = decode(word, self.costs)
         return word
 
     def split_words(self, tokens: list[str]) -> Iterator[str]:
         """Known words that a space cuts in two, where the lattice of the two parts drops the space."""
-        for a, b in zip(tokens, tokens[1:]):
-            if a + b in self.weights and decode(f"{a} {b}", self.costs) == a + b:
-                yield a + b
+        heads, _ = self.beginnings()
+        for i, a in enumerate(tokens[:-1]):
+            if a in heads and (word := a + tokens[i + 1]) in self.weights and decode(f"{a} {tokens[i + 1]}", self.costs) == word:
+                yield word
+
+    def beginnings(self) -> tuple[set[str], set[str]]:
+        """What known words can begin with, and the first letters of whatever has a feature."""
+        if self.known[0] != len(self.weights):
+            whole = [w for w in self.weights if ":" not in w]
+            first = {w[: PREFIXES[0]] for w in self.weights} | {w.partition(":")[2][: PREFIXES[0]] for w in self.weights if ":" in w}
+            self.known = (len(self.weights), ({w[:i] for w in whole for i in range(1, len(w))}, first))
+        return self.known[1]
 
     def words(self, text: str) -> list[str]:
         """What white space separates, known words among them that were cut by a space, and for each run of characters set
         apart: them as one token and as the likeliest words."""
         found = text.split()
         if self.weights:
-            found += list(self.split_words(text.lower().split()))
-        for m in APART.finditer(text):
+            found += self.split_words(text.lower().split())
+        for m in APART.finditer(text) if list(map(len, found)).count(1) >= 3 else ():
             run = m.group().lower()
             found.append("".join(run.split()))
             if any(c.isalpha() for c in run):
@@ -181,7 +194,8 @@ class Model:
         if found is None:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            found = tuple(f for f in self.features(self.restore(token)) if f in self.weights)
+            word = self.restore(token)
+            found = tuple(f for f in self.features(word) if f in self.weights) if word[: PREFIXES[0]] in self.beginnings()[1] else ()
             if len(token) <= MEMO_LENGTH:  # so that the memo's bytes are bounded too
                 self.memo[token] = found
         return found
