@@ -32,7 +32,7 @@ BATCH_COLUMNS = 4
 BUCKET_ROWS = 4096
 LEAST_BUCKETS, LEAST_ROWS = 512, 64  # a class is dealt over so many buckets even if it is small, down to so few rows each
 LONG_SPACE = 20_000
-MEMO_CHUNKS = 150_000
+MEMO_CHUNKS, MEMO_LENGTH = 150_000, 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 WIDE = re.compile(r"\s{%d}" % LONG_SPACE)
 _loaded: dict[str, Ids] = {}
@@ -93,7 +93,8 @@ class Ids(dict):
     def __missing__(self, key: str) -> bytes:
         if (value := self.old.pop(key, None)) is None:
             value = np.array(self.fast.encode_ordinary(key), "<u4").tobytes()
-        self[key] = value
+        if len(key) <= MEMO_LENGTH:  # so that the memo's bytes are bounded too
+            self[key] = value
         return value
 
     def encode(self, text: str) -> bytes:

@@ -30,7 +30,7 @@ from .common import forget, written
 from .components import components
 from .shingles import SPACES, bucket_bits, exchange, set_rows, text_rows, unplanes
 
-BLOCK_SETS, BLOCKS, MAX_BLOCK_SETS, BLOCK_TOKENS = 96, 48, 2048, 1 << 21
+BLOCK_SETS, BLOCKS, MAX_BLOCK_SETS, BLOCK_TOKENS = 32, 256, 2048, 1 << 21
 ENTRIES = "token long, rep long, n long, pos long"
 NEAR, MIDDLE, REMOTE = 0, 1, 2
 LINKS = "a long, b long, far int"

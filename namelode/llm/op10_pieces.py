@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS, MEMO_BYTES = 400_000, 32 << 20
 SHORT = 40
 NEVER = float("inf")
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, repaired long"
@@ -46,6 +46,7 @@ class Codec(dict):
         self.unknown, self.end = lib.unk_id(), lib.eos_id()
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.old: dict[str, str] = {}
+        self.size = 0  # of the chunks that have entered and their ids, in characters
         self.new: list[str] = []
         self.repaired: set[str] = set()
 
@@ -115,6 +116,7 @@ class Codec(dict):
             return kept
         value = " ".join(map(str, self.encode_chunk(MARK + key)))
         self[key] = value
+        self.size += len(key) + len(value)
         self.new.append(key)
         return value
 
@@ -143,9 +145,10 @@ class Codec(dict):
         return " ".join([*map(self.__getitem__, self.chunks(text)), str(self.end)]) if text else str(self.end)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
-        if len(self) > MEMO_CHUNKS:  # what is not used again before the next time goes
-            self.old = dict(self)
+        if len(self) > MEMO_CHUNKS or self.size > MEMO_BYTES:  # what is not used again before the next time goes
+            self.old = dict(self) if self.size <= MEMO_BYTES else {}
             self.clear()
+            self.size = 0
         ids = [self.encode(t) for t in texts]
         if self.check_new():
             ids = [self.encode(t) for t in texts]
