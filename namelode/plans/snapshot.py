@@ -14,7 +14,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,16 +92,19 @@ class Store:
         return f"{kind}-{uuid.uuid4().hex}"
 
     def _write_part(self, docs: DataFrame) -> dict:
-        """The folders of a new part; docs is evaluated once, the rest is made from what was written."""
-        part = {k: self._fresh(k) for k in ("docs", "names", "postings")}
-        docs.select(*DOCS).repartitionByRange("doc_seq").sortWithinPartitions("doc_seq").write.mode("errorifexists").parquet(f"{self.path}/{part['docs']}")
-        own = self._read([part["docs"]], DOC_SCHEMA)
+        """The folders of a new part. docs is evaluated once, for it may ask a service; ranging by samples reads what was
+        written."""
+        part, staged, seen = {k: self._fresh(k) for k in ("docs", "names", "postings")}, self._fresh("staged"), Observation()
+        terms = F.coalesce(F.sum(F.size(T.index_terms(F.col("tokens")))), F.lit(0)).alias("terms")
+        docs.select(*DOCS).observe(seen, F.count(F.lit(1)).alias("n"), terms).write.mode("errorifexists").parquet(f"{self.path}/{staged}")
+        own = self._read([staged], DOC_SCHEMA)
+        own.repartitionByRange("doc_seq").sortWithinPartitions("doc_seq").write.parquet(f"{self.path}/{part['docs']}")
         own.select("domain_exact", "doc_seq").repartitionByRange("domain_exact", "doc_seq").sortWithinPartitions("domain_exact", "doc_seq").write.parquet(f"{self.path}/{part['names']}")
         # ranged by place too, so that a token with a third of all postings is dealt over many tasks
         postings = postings_of(own).withColumn("bucket", bucket_of("token")).repartitionByRange("bucket", "token", "doc_seq").sortWithinPartitions("bucket", "token", "doc_seq")
         postings.write.partitionBy("bucket").parquet(f"{self.path}/{part['postings']}")
-        n, terms = own.agg(F.count("*"), F.coalesce(F.sum(F.size(T.index_terms(F.col("tokens")))), F.lit(0))).head()
-        return part | {"n": n, "terms": terms}
+        self._fs.delete(self._path(f"{self.path}/{staged}"), True)
+        return part | {k: int(seen.get[k]) for k in ("n", "terms")}
 
     def _read(self, folders: list[str], schema: str) -> DataFrame:
         if not folders:
