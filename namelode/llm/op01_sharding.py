@@ -66,12 +66,20 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
 
 
 #: CRC-32 in SQL: a table of 256 entries from the polynomial, then one step a byte.
-CRC_SQL = """
+CRC_TABLE_SQL = """
 crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM (SELECT unnest(range(256))::BIGINT AS i)),
-crcs AS (SELECT text AS crc_text, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
-    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS i))"""
+
+
+def crc_of(text: str) -> str:
+    """SQL for the CRC-32 of an SQL expression's UTF-8, beside crc_table."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+CRC_SQL = f"""{CRC_TABLE_SQL},
+crcs AS (SELECT text AS crc_text, {crc_of("text")} AS crc
   FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table)"""
 
 OP1_SQL = f"""

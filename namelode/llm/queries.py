@@ -12,6 +12,9 @@ from .op07_toxicity import op7_query
 from .op08_media import op8_query
 from .op09_topk import OP9_SQL, op9_query
 from .op10_pieces import op10_query
+from .op11_variants import OP11_SQL, op11_query
+from .op12_mixing import OP12_SQL, op12_query
+from .op13_codes import OP13_SQL, op13_query
 
 QUERIES = {
     "op1_stratified_shards": op1_query,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_media_archives": op8_query,
     "op9_maxscore_topk": op9_query,
     "op10_merge_pieces": op10_query,
+    "op11_spelling_variants": op11_query,
+    "op12_target_mix": op12_query,
+    "op13_elkan_codes": op13_query,
 }
 
 ORACLES = {
@@ -31,4 +37,7 @@ ORACLES = {
     "op4_jaccard_classes": OP4_SQL,
     "op5_revisit_resolution": OP5_SQL,
     "op9_maxscore_topk": OP9_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_target_mix": OP12_SQL,
+    "op13_elkan_codes": OP13_SQL,
 }
