@@ -6,7 +6,7 @@ passed on. The stages before the last return the same columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,23 +33,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with a doc_id for every row that has one, in the order of ids, and what gives the rows their own ids back.
+
+    Where no id repeats that is docs as it is. Rows that share an id are documents of their own: only their texts say whether one is
+    a copy of the other.
+    """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        return docs, lambda rows: rows
+    own = "own_id"
+    while own in (c.lower() for c in docs.columns):
+        own += "_"
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = written(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn(own, F.col("doc_id")).withColumn("doc_id", number), "numbered")
+    return rows, lambda found: found.withColumn("doc_id", F.col(own)).select(docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by a Jaccard similarity of 0.8 on five-word shingles the smallest id stays."""
-    classes = op04_jaccard.jaccard_classes(docs, width=5, num=80, den=100)
+    """Of each class of documents linked by a Jaccard similarity of 0.8 on five-word shingles the smallest id stays.
+
+    Rows without an id stay; rows that share an id are copies only if their texts are linked.
+    """
+    rows, back = told_apart(docs)
+    classes = op04_jaccard.jaccard_classes(rows, width=5, num=80, den=100)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.head(1):  # rows that repeat an id are copies too
-        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return kept
+    return back(rows.join(gone, "doc_id", "left_anti").select(rows.columns))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go from the later ones; documents of nothing else go."""
-    cut = op06_chains.without_passages(docs, op06_chains.repeated_passages(docs))
+    rows, back = told_apart(docs)
+    cut = op06_chains.without_passages(rows, op06_chains.repeated_passages(rows))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    return back(cut).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
