@@ -370,3 +370,16 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 0, 1, 2, 3, 4, 5}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_keeps_rows_that_only_share_an_id(spark):
+    """Two rows of one id: near copies are one document, other texts are documents of their own and lose only their own passages."""
+    text = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"] + " " + text["a"]), (3, text["c"] + " more"), (None, text["a"]), (None, text["a"])]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, own_id long, gone string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["ngram_jaccard"](spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"][:2], r["own_id"]) for r in left if r["doc_id"]) == [("1", "a0", 1), ("1", "b0", 1), ("3", "c0", 3), ("3", "d0", 3)] and sum(r["doc_id"] is None for r in left) == 2
+    cut = stages["substring_dedup"](spark, docs.where("text not like 'c%more'"), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in cut if r["doc_id"]) == [("1", text["a"]), ("1", text["b"]), ("3", text["c"]), ("3", text["d"])]
+    assert cut[0].asDict().keys() == {"doc_id", "text", "own_id", "gone"}
