@@ -39,7 +39,16 @@ class ResultCache:
         self._kept.clear()
 
     def ping(self) -> bool:
-        return True
+        """Whether an entry that is put in comes back; hits, misses and other entries stay as they are."""
+        probe, kept = object(), self._kept.copy() if len(self._kept) >= self.entries else None
+        hits, misses = self.hits, self.misses
+        self.set(probe, probe)
+        found = self.get(probe) is probe
+        self.delete(probe)
+        if kept is not None:
+            self._kept = kept
+        self.hits, self.misses = hits, misses
+        return found
 
     def stats(self) -> dict:
-        return {"connected": True, "hits": self.hits, "misses": self.misses}
+        return {"connected": self.ping(), "hits": self.hits, "misses": self.misses}

@@ -7,7 +7,7 @@ import json
 import os
 import sys
 import time
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from .service import Service
 from .session import local_session
 from .sources import download as D
 from .sources import lines as L
+from .sources.zipped import read_zipped
 
 
 def file_system(spark: SparkSession, path: str):
@@ -33,8 +34,9 @@ def file_system(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that a pattern matches, is there."""
     fs, at = file_system(spark, path)
-    return fs.exists(at)
+    return bool(fs.globStatus(at))
 
 
 @contextmanager
@@ -69,7 +71,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--cpus", default="*")
     verbs = top.add_subparsers(dest="verb", required=True)
     full = verbs.add_parser("full", help="build an index from a list")
-    full.add_argument("--file", "--input", help="list, folder or pattern; without it the list is downloaded")
+    full.add_argument("--file", "--input", help="list, folder or pattern; without it the zipped list is read from the web")
     full.add_argument("--download", action="store_true", help="download the list even if a file is given")
     full.add_argument("--commit-interval", type=int, default=0, help="publish after so many lines; 0: once, at the end")
     daily = verbs.add_parser("daily", help="apply removals and additions; a file that does not exist is passed over")
@@ -81,8 +83,9 @@ def parser() -> argparse.ArgumentParser:
         verb.add_argument("--batch-size", type=int, help="labels a call of the service")
     verbs.add_parser("stats")
     verbs.add_parser("optimize", help="merge all parts into one")
-    vacuum = verbs.add_parser("vacuum", help="delete what no recent snapshot names")
+    vacuum = verbs.add_parser("vacuum", help="delete what no recent snapshot names, and what failed jobs left")
     vacuum.add_argument("--keep", type=int, default=2)
+    vacuum.add_argument("--age-hours", type=float, default=24, help="only what is older goes, for a search or sync may be running")
     search = verbs.add_parser("search")
     search.add_argument("q")
     search.add_argument("--tld")
@@ -113,31 +116,37 @@ def main(argv: list[str] | None = None) -> int:
     store = Store(spark, path)
     started = time.perf_counter()
     if args.verb == "full":
-        source = args.file if args.file and not args.download else D.download(config, D.ListKind.FULL)
-        lines = L.scan(L.across_files(L.read_lines(spark, source))).select(F.col("line_no").alias("doc_seq"), "s")
-        with progress(spark, "full build"):
-            build(store, lines, segmenter_of(spark, args, config), args.commit_interval)
+        web = not args.file or args.download
+        raw = read_zipped(spark, D.list_url(config, D.ListKind.FULL)) if web else L.across_files(L.read_lines(spark, args.file))
+        with store.staged(raw) if web else nullcontext(raw) as own, progress(spark, "full build"):
+            build(store, L.scan(own).select(F.col("line_no").alias("doc_seq"), "s"), segmenter_of(spark, args, config), args.commit_interval)
         n, seconds = store.count(), time.perf_counter() - started
         print(rate_line(n, seconds), file=sys.stderr)
         print(json.dumps({"indexed": n, "seconds": seconds, "per_second": n / seconds}))
     elif args.verb == "daily":
-        if args.download:
-            args.add, args.remove = D.download(config, D.ListKind.DAILY_UPDATE), D.download(config, D.ListKind.DAILY_REMOVE)
-        with lock(f"{path}/.sync.lock", spark), progress(spark, "daily sync"):
-            none = spark.createDataFrame([], "line_no long, raw string")
-            read = lambda f: L.across_files(L.read_lines(spark, f)).select("line_no", "raw") if f and exists(spark, f) else none
-            have = store.docs()
-            first = (have.agg(F.max("doc_seq")).head()[0] or 0) + 1
-            change = Y.delta(read(args.add), read(args.remove), segmenter_of(spark, args, config), first)
-            counts = Y.summary(have, change).head().asDict()
-            store.sync(change)
+        listed = {"add": D.ListKind.DAILY_UPDATE, "remove": D.ListKind.DAILY_REMOVE}
+        with ExitStack() as held:
+            held.enter_context(lock(f"{path}/.sync.lock", spark))
+            held.enter_context(progress(spark, "daily sync"))
+
+            def read(kind: str) -> DataFrame:
+                """The lines of a list: from the web, or of the files that are there."""
+                if args.download:
+                    return held.enter_context(store.staged(read_zipped(spark, D.list_url(config, listed[kind])))).select("line_no", "raw")
+                path = getattr(args, kind)
+                if path and exists(spark, path):
+                    return L.across_files(L.read_lines(spark, path)).select("line_no", "raw")
+                return spark.createDataFrame([], "line_no long, raw string")
+
+            change = Y.delta(read("add"), read("remove"), segmenter_of(spark, args, config), store.next_seq())
+            counts = store.sync(change) | Y.requested(change)
         print(json.dumps(counts | {"seconds": time.perf_counter() - started}))
     elif args.verb == "stats":
         print(json.dumps(Service(spark, path).stats()))
     elif args.verb == "optimize":
         store.optimize()
     elif args.verb == "vacuum":
-        print(json.dumps({"deleted": store.vacuum(args.keep)}))
+        print(json.dumps({"deleted": store.vacuum(args.keep, args.age_hours * 3600)}))
     elif args.verb == "serve":
         from .http import server
 

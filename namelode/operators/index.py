@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ class Index:
     postings: DataFrame
     corpus: DataFrame
     terms: DataFrame
+    #: Of a stored index: postings in blocks, how many documents of blocks may be gone at most, and the documents of
+    #: some rows' doc_seqs. held: what searches keep until ``release``.
+    blocks: DataFrame | None = None
+    slack: int = 0
+    docs_of: Callable[[DataFrame], DataFrame] | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
 
 def build_docs(lines: DataFrame, segmenter: Segmenter, order: str = "doc_seq", idna: bool = True) -> DataFrame:

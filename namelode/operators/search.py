@@ -6,6 +6,7 @@ candidates have been cut by score, and ranks are carried as columns, never as ro
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +30,56 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode("qtokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """rows (times, df, tf, dl, n_docs, avgdl) with w, what a posting adds to the score."""
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return rows.withColumn("w", F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+
+
+def asked_tokens(queries: DataFrame, terms: DataFrame, corpus: DataFrame) -> DataFrame:
+    return query_tokens(queries).join(terms, "token").crossJoin(F.broadcast(corpus.withColumnRenamed("n", "n_docs")))  # one row
+
+
 def scored(queries: DataFrame, index: Index) -> DataFrame:
-    """qid, doc_seq, score for documents with any token of the query. Only the query's tokens' postings are read and counted."""
-    tokens = query_tokens(queries)
-    own = index.postings.join(tokens.select("token").distinct(), "token", "left_semi")
-    asked = tokens.join(term_stats(own), "token").crossJoin(F.broadcast(index.corpus))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return own.join(asked, "token").groupBy("qid", "doc_seq").agg(F.round(F.sum(weight), 6).alias("score"))
+    """qid, doc_seq, score for documents with any token of the query. Only the query's tokens' postings are read and counted.
+
+    A stored index leaves out documents that can't be among the query's candidates.
+    """
+    if index.blocks is not None:
+        return scored_by_blocks(queries, index)
+    own = index.postings.join(query_tokens(queries).select("token").distinct(), "token", "left_semi")
+    rows = weighted(own.join(asked_tokens(queries, term_stats(own), index.corpus), "token"))
+    return rows.groupBy("qid", "doc_seq").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def competing_blocks(queries: DataFrame, index: Index) -> DataFrame:
+    """qid, token, tf, dl, base, zone, w of the blocks that may hold candidates. No posting is read for it.
+
+    All postings of a block weigh the same. A token's heaviest blocks that hold a query's number of candidates show that the
+    last candidate scores as much as the last of them at least. A block is skipped if its weight and the most that the query's
+    other tokens can add stay below that, and, for a query of one token, if there are enough candidates in blocks before it.
+    """
+    heads = index.blocks.select("token", "tf", "dl", "base", "zone", "n")
+    need = F.col("candidate_limit") + index.slack  # so many, whatever is gone
+    rows = weighted(heads.join(asked_tokens(queries, index.terms, index.corpus), "token")).join(queries.select("qid", "candidate_limit"), "qid")
+    rows = rows.withColumn("shown", F.round("w", 6))
+    token = Window.partitionBy("qid", "token")
+    place = ["shown", "base", "zone"]
+    upto = F.sum("n").over(token.orderBy(F.col("shown").desc(), "base", "zone"))  # with those of the same weight and place
+    rows = rows.withColumn("upto", upto).withColumn("ahead", F.col("upto") - F.sum("n").over(Window.partitionBy("qid", "token", *place)))
+    rows = rows.withColumn("most", F.max("w").over(token)).withColumn("first", F.row_number().over(token.orderBy(F.col("w").desc())) == 1)
+    query = Window.partitionBy("qid")
+    least = F.coalesce(F.max(F.when(F.col("upto") >= need, F.col("w"))).over(query), F.lit(0.0))
+    total = F.sum(F.when(F.col("first"), F.col("most"))).over(query)
+    n_own = F.sum(F.col("first").cast("int")).over(query)
+    rows = rows.withColumn("bound", F.col("w") + total - F.col("most")).withColumn("least", least).withColumn("n_own", n_own)
+    return rows.where((F.col("bound") >= F.col("least") - 1e-5) & ((F.col("n_own") > 1) | (F.col("ahead") < need))).select("qid", "token", "tf", "dl", "base", "zone", "w")
+
+
+def scored_by_blocks(queries: DataFrame, index: Index) -> DataFrame:
+    kept = competing_blocks(queries, index)
+    rows = kept.join(index.blocks.select("token", "tf", "dl", "base", "zone", "addrs"), ["token", "tf", "dl", "base", "zone"])
+    return rows.select("qid", "w", F.explode("addrs").alias("doc_seq")).groupBy("qid", "doc_seq").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def candidates(queries: DataFrame, index: Index) -> DataFrame:
@@ -48,7 +91,12 @@ def candidates(queries: DataFrame, index: Index) -> DataFrame:
 
 def matched(queries: DataFrame, index: Index) -> DataFrame:
     """Candidates with their documents, match counts and whether they match all tokens, after min_match and tld."""
-    found = candidates(queries, index).join(index.docs.withColumnRenamed("tld", "doc_tld"), "doc_seq")
+    found, docs = candidates(queries, index), index.docs
+    if index.docs_of is not None:
+        found = found.persist(StorageLevel.DISK_ONLY)  # asked for addresses, then joined; a few thousand rows a query
+        index.held.append(found)
+        docs = index.docs_of(found)
+    found = found.join(docs.withColumnRenamed("tld", "doc_tld"), "doc_seq")
     found = found.withColumn("match_count", F.size(F.filter("qtokens", lambda t: F.array_contains("tokens", t))))
     kept = found.where((F.col("match_count") >= F.col("min_match")) & (F.col("tld").isNull() | (F.col("doc_tld") == F.lower("tld"))))
     return kept.withColumn("perfect", (F.col("match_count") == F.col("n_tokens")).cast("int"))

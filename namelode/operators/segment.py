@@ -6,8 +6,13 @@ import base64
 import json
 import math
 import re
+import time
 import urllib.request
+import warnings
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from http.client import HTTPException
 from typing import Protocol
 
 import pandas as pd
@@ -66,10 +71,18 @@ class DictionarySegmenter:
 
 
 class HttpSegmenter:
-    """A word-splitting service: POST {"labels": [...]} with basic authentication, answers in the order asked."""
+    """A word-splitting service: POST {"labels": [...]} with basic authentication, answers in the order asked.
 
-    def __init__(self, url: str, user: str, password: str, chunk: int = 50_000, timeout: float = 120):
+    A task keeps ``parallel`` calls of ``chunk`` labels each under way and yields answers in order, so it holds that many chunks
+    at most. A call that fails is tried again after a pause; after ``tries`` its labels have no tokens, with a warning, and the
+    job goes on. ``strict``: it fails instead.
+    """
+
+    def __init__(self, url: str, user: str, password: str, chunk: int = 50_000, timeout: float = 120, parallel: int = 4, tries: int = 2, pause: float = 0.5, strict: bool = False):
+        if min(chunk, parallel, tries) < 1:
+            raise ValueError("chunk, parallel and tries must be positive")
         self.url, self.auth, self.chunk, self.timeout = url, base64.b64encode(f"{user}:{password}".encode()).decode(), chunk, timeout
+        self.parallel, self.tries, self.pause, self.strict = parallel, tries, pause, strict
 
     def ask(self, labels: list[str]) -> list[list[str]]:
         request = urllib.request.Request(f"{self.url.rstrip('/')}/segment/bulk", json.dumps({"labels": labels}).encode(), {"Content-Type": "application/json", "Authorization": f"Basic {self.auth}"})
@@ -77,12 +90,44 @@ class HttpSegmenter:
             answers = {r["label"]: r["segmentation"] for r in json.load(response)["results"]}
         return [answers.get(x, []) for x in labels]
 
+    def ask_or_leave(self, labels: list[str]) -> list[list[str]]:
+        for turn in range(self.tries):
+            try:
+                return self.ask(labels)
+            except (OSError, HTTPException, ValueError, KeyError, TypeError) as e:  # no answer, or not one that can be read
+                failed = e
+                if turn + 1 < self.tries:
+                    time.sleep(self.pause * 2**turn)
+        if self.strict:
+            raise RuntimeError(f"the segmenter gave no answer for {len(labels)} labels") from failed
+        warnings.warn(f"{len(labels)} labels stay without tokens: {failed}", stacklevel=2)
+        return [[] for _ in labels]
+
     def segments(self, labels: DataFrame) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Frames are batches of Arrow's size; a call takes as many of their rows as it may."""
+            own: list[pd.DataFrame] = []
             for frame in frames:
-                for i in range(0, len(frame), self.chunk):
-                    part = frame.iloc[i : i + self.chunk]
-                    yield part.assign(tokens=self.ask(part["label"].tolist()))
+                while len(frame):
+                    room = self.chunk - sum(map(len, own))
+                    own.append(frame.iloc[:room])
+                    frame = frame.iloc[room:]
+                    if sum(map(len, own)) == self.chunk:
+                        yield pd.concat(own)
+                        own = []
+            if own:
+                yield pd.concat(own)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(self.parallel) as pool:
+                under_way: deque[tuple[pd.DataFrame, Future]] = deque()
+                for part in chunks(frames):
+                    if len(under_way) == self.parallel:
+                        done, answer = under_way.popleft()
+                        yield done.assign(tokens=answer.result())
+                    under_way.append((part, pool.submit(self.ask_or_leave, part["label"].tolist())))
+                for done, answer in under_way:
+                    yield done.assign(tokens=answer.result())
 
         return labels.mapInPandas(run, SEGMENTS)
 

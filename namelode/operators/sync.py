@@ -56,3 +56,8 @@ def summary(docs: DataFrame, change: Delta) -> DataFrame:
     row = one(docs, "initial").crossJoin(one(change.requests, "delete_requests")).crossJoin(one(docs.join(change.removed, "domain_exact", "left_semi"), "rows_removed"))
     row = row.crossJoin(one(change.added, "added")).crossJoin(one(change.filtered, "filtered")).crossJoin(one(apply(docs, change), "final"))  # one row each
     return row.withColumn("net_change", F.col("final") - F.col("initial"))
+
+
+def requested(change: Delta) -> dict:
+    """delete_requests and filtered: what was asked for and what was turned down, whatever the index holds."""
+    return {"delete_requests": change.requests.count(), "filtered": change.filtered.count()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,12 +67,18 @@ def scan_count(spark, sf_dir):
     return L.count_lines(fixtures.raw_domains(spark, sf_dir))
 
 
-PADDED = ["\t a.com \n", " b.net　", "c.org", "  d e.io ", ""]
+#: White space that names may come with.
+SPACES = ["", " ", "\t", "\u00a0", "\u3000", " \n ", "\u0085", "\u2028\r"]
+_SPACES_SQL = "[" + ", ".join("''" + "".join(f" || chr({ord(c)})" for c in x) for x in SPACES) + "]"
 
 
-@query(r"SELECT n::BIGINT AS n, regexp_replace(raw, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS trimmed FROM " + O.values(list(enumerate(PADDED))) + " AS t(n, raw)")
+@query(rf"SELECT p_partkey, regexp_replace(raw, '^[\s\p{{Z}}\x{{85}}\x0B]+|[\s\p{{Z}}\x{{85}}\x0B]+$', '', 'g') AS trimmed FROM (SELECT p_partkey, ({_SPACES_SQL})[p_partkey % 8 + 1] || p_name || ({_SPACES_SQL})[p_partkey // 8 % 8 + 1] AS raw FROM part)")
 def norm_trim(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(PADDED)), "n long, raw string").select("n", T.trim(F.col("raw")).alias("trimmed"))
+    """The parts' names, each between two kinds of white space."""
+    pads = F.array(*map(F.lit, SPACES))
+    pad = lambda n: F.element_at(pads, (n % len(SPACES) + 1).cast("int"))
+    raw = F.concat(pad(F.col("p_partkey")), "p_name", pad(F.floor(F.col("p_partkey") / len(SPACES))))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.trim(raw).alias("trimmed"))
 
 
 @query(O.corpus("SELECT seq, d AS domain_exact FROM status"))
@@ -131,13 +136,11 @@ def tokens_join(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.join_tokens(F.split("p_name", " ")).alias("joined"))
 
 
-SPACED = [" a  b ", "", "one", "x\ty  z"]
-
-
-@query(r"SELECT n::BIGINT AS n, array_to_string(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''), '|') AS tokens, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> ''))::INTEGER AS n_tokens FROM " + O.values(list(enumerate(SPACED))) + " AS t(n, s)")
+@query(r"SELECT doc_id, md5(array_to_string(tokens, '|')) AS tokens_md5, len(tokens)::INTEGER AS n_tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\p{Z}\x{85}\x0B]+'), lambda x: x <> '') AS tokens FROM documents)")
 def tokens_split(spark, sf_dir):
-    tokens = T.split_tokens(F.col("s"))
-    return spark.createDataFrame(list(enumerate(SPACED)), "n long, s string").select("n", F.array_join(tokens, "|").alias("tokens"), F.size(tokens).alias("n_tokens"))
+    """The words of whole documents."""
+    tokens = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.split_tokens(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.md5(F.array_join("tokens", "|")).alias("tokens_md5"), F.size("tokens").alias("n_tokens"))
 
 
 @query("SELECT p_partkey, base64(encode(p_name)) AS b64 FROM part")
@@ -156,9 +159,9 @@ def combined_score(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query(O.searched("SELECT qid::INTEGER AS qid, 'search:' || q || '|' || coalesce(qtld, 'any') || '|' || lim || '|' || min_match AS cache_key FROM queries"))
+@query(O.asked("SELECT qid, 'search:' || q || '|' || coalesce(qtld, 'any') || '|' || lim || '|' || min_match AS cache_key FROM queries"))
 def cache_key(spark, sf_dir):
-    return fixtures.queries(spark).select("qid", T.cache_key(F.col("q"), F.col("tld"), F.col("lim"), F.col("min_match")).alias("cache_key"))
+    return fixtures.part_queries(spark, sf_dir).select("qid", T.cache_key(F.col("q"), F.col("tld"), F.col("lim"), F.col("min_match")).alias("cache_key"))
 
 
 # building
@@ -223,14 +226,14 @@ def corpus_stats(spark, sf_dir):
 # searching
 
 
-@query(O.searched("SELECT qid::INTEGER AS qid, pos::BIGINT AS place, token FROM (SELECT qid, unnest(qtokens) AS token, unnest(range(len(qtokens))) AS pos FROM tokenized)"))
+@query(O.asked("SELECT qid, pos::BIGINT AS place, token FROM (SELECT qid, unnest(qtokens) AS token, unnest(range(len(qtokens))) AS pos FROM tokenized)"))
 def query_tokens(spark, sf_dir):
-    return S.tokenized(fixtures.queries(spark)).select("qid", F.posexplode("qtokens").alias("place", "token")).withColumn("place", F.col("place").cast("bigint"))
+    return S.tokenized(fixtures.part_queries(spark, sf_dir)).select("qid", F.posexplode("qtokens").alias("place", "token")).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(O.searched("SELECT qid::INTEGER AS qid, n_tokens::INTEGER AS n_tokens, candidate_limit::INTEGER AS candidate_limit FROM tokenized"))
+@query(O.asked("SELECT qid, n_tokens::INTEGER AS n_tokens, candidate_limit::INTEGER AS candidate_limit FROM tokenized"))
 def candidate_limit(spark, sf_dir):
-    return S.tokenized(fixtures.queries(spark)).select("qid", "n_tokens", "candidate_limit")
+    return S.tokenized(fixtures.part_queries(spark, sf_dir)).select("qid", "n_tokens", "candidate_limit")
 
 
 @query(O.searched("SELECT qid::INTEGER AS qid, doc_seq, score FROM scored"))
@@ -289,12 +292,13 @@ def search_summary(spark, sf_dir):
     return S.summaries(fixtures.queries(spark), index(spark, sf_dir))
 
 
-BODY = json.dumps({"queries": [{"q": "gear"}, {"q": "small gear", "tld": "com"}, {"q": "red red bolt", "min_match": 2}], "limit": 6})
-
-
-@query("SELECT * FROM (VALUES (0, 'gear', NULL, 6, 1), (1, 'small gear', 'com', 6, 1), (2, 'red red bolt', NULL, 6, 2)) AS t(qid, q, tld, lim, min_match)")
+@query(O.asked("SELECT body, (row_number() OVER (PARTITION BY body ORDER BY qid) - 1)::INTEGER AS qid, q, qtld AS tld, max(lim) OVER (PARTITION BY body)::INTEGER AS lim, min_match FROM (SELECT *, (qid // 10)::INTEGER AS body FROM queries)"))
 def bulk_from_json(spark, sf_dir):
-    return from_json(spark.createDataFrame([(BODY,)], "body string"))
+    """The queries of ten parts at a time as a request body, and back."""
+    rows = fixtures.part_queries(spark, sf_dir).withColumn("body_id", F.floor(F.col("qid") / 10).cast("int"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("qid", "q", "tld", "min_match"))), lambda x: F.struct(x["q"].alias("q"), x["tld"].alias("tld"), x["min_match"].alias("min_match")))
+    bodies = rows.groupBy("body_id").agg(F.to_json(F.struct(each.alias("queries"), F.max("lim").alias("limit"))).alias("body"))
+    return from_json(bodies, "body", "body_id").withColumnRenamed("body_id", "body")
 
 
 @query()
@@ -350,26 +354,49 @@ def sync_summary(spark, sf_dir):
     return Y.summary(*changed(spark, sf_dir))
 
 
+def stored(spark, sf_dir) -> snapshot.Store:
+    """A stored index after one sync. Its lists are made from the index, so the documents are built once."""
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(docs(spark, sf_dir))
+    adds, removes = fixtures.sync_lines(spark, store.docs())
+    store.sync(Y.delta(adds, removes, fixtures.segmenter(spark, sf_dir), fixtures.FIRST_ADDED))
+    return store
+
+
 @query(O.synced("SELECT count(*) AS documents, count(DISTINCT domain_exact) AS names, count(DISTINCT tld) AS tlds FROM applied"))
 def index_stats(spark, sf_dir):
     """Counts of a snapshot that has been written, synced and read back."""
-    have, change = changed(spark, sf_dir)
-    store = snapshot.Store(spark, snapshot.scratch(spark))
-    store.build(have)
-    store.sync(change)
-    return store.docs().agg(F.count("*").alias("documents"), F.countDistinct("domain_exact").alias("names"), F.countDistinct("tld").alias("tlds"))
+    return stored(spark, sf_dir).docs().agg(F.count("*").alias("documents"), F.countDistinct("domain_exact").alias("names"), F.countDistinct("tld").alias("tlds"))
 
 
 @query(O.synced(f"SELECT {O.DOC_COLUMNS} FROM applied"))
 def optimize_noop(spark, sf_dir):
     """Compaction changes files, never rows."""
-    have, change = changed(spark, sf_dir)
-    store = snapshot.Store(spark, snapshot.scratch(spark))
-    store.build(have)
-    store.sync(change)
+    store = stored(spark, sf_dir)
     store.optimize()
     return shown(store.docs().select(*I.DOCS))
 
 
+@query(O.corpus("SELECT token, df FROM term_stats", O.SYNC, O.INDEX.replace("FROM docs)", "FROM applied)")))
+def term_stats_stored(spark, sf_dir):
+    """Documents of each token after a sync, from counts of blocks and of what went."""
+    return stored(spark, sf_dir).terms()
+
+
+@query(O.synced("""SELECT domain_exact, label, tld, len, has_hyphen, array_to_string(tokens, ' ') AS tokens FROM (SELECT * FROM docs WHERE domain_exact NOT IN (SELECT domain_exact FROM requests)
+  AND domain_exact <> (SELECT arg_max(domain_exact, doc_seq) FROM docs) AND domain_exact NOT IN (SELECT domain_exact FROM added) UNION ALL SELECT * FROM added)"""))
+def sync_stored(spark, sf_dir):
+    """A stored index after two days: removals, the document of the largest number among them, then additions."""
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(docs(spark, sf_dir))
+    adds, removes = fixtures.sync_lines(spark, store.docs())
+    last = store.docs().agg(F.max("doc_seq").alias("line_no"), F.max_by("domain_exact", "doc_seq").alias("raw"))
+    segments, none = fixtures.segmenter(spark, sf_dir), removes.limit(0)
+    with store.staged(adds) as adds:  # taken from the index as it was
+        store.sync(Y.delta(none, removes.unionByName(last), segments, store.next_seq()))
+        store.sync(Y.delta(adds, none, segments, store.next_seq()))
+    return shown(store.docs().select(*I.DOCS[1:]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(S.search(query_rows(spark, [(0, "small gear", None, 5, None)]), index(spark, sf_dir)))

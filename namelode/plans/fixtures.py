@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.segment import LookupSegmenter
-from ..sources.requests import query_rows
+from ..sources.requests import query_rows, with_defaults
 
 EDGES = ["", "# comment", "nodot", ".com", "com.", "123456.com", "12345.com", "1.com", "aaaaa.net", "aaaa.net", "ababa.net", "1-2-3.org", "a-1-2.org", "-----.org", "1.2.com", "a.b.co.uk", "example.com..", "Example.COM", "example.com.", "x1" * 31 + "y.com", "x1" * 32 + ".com", "ab." * 90 + "com", "my-domain.net", "abc123.com"]
 QUERIES = [(0, "gear", None, 5, None), (1, "small gear", "com", 3, None), (2, "red red bolt", None, 4, 2), (3, "small gear", "de", 50, None), (4, "gear", "io", 7, 0), (5, "  SMALL   Gear ", None, 5, None), (6, "zzzz", None, 5, None), (7, "gear", "", 5, None), (8, "small-gear", None, 5, None), (9, "  ", None, 5, None), (10, "blue widget", None, None, None)]
@@ -47,6 +47,14 @@ def queries(spark: SparkSession) -> DataFrame:
     return query_rows(spark, QUERIES)
 
 
+def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each part: its name's words in several spellings, and settings made from its numbers."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    q = F.when(key % 5 == 0, F.upper(name)).when(key % 5 == 1, F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit(" \t")))).when(key % 5 == 2, F.concat(name, F.lit(" "), name)).when(key % 5 == 3, F.lit(" ")).otherwise(F.split(name, " ")[0])
+    tld = F.when(key % 3 == 0, F.lit(None)).when(key % 3 == 1, "com").otherwise("")
+    return with_defaults(spark.read.parquet(f"{sf_dir}/part.parquet").select(key.cast("int").alias("qid"), q.alias("q"), tld.alias("tld"), F.when(key % 4 != 0, F.col("p_size").cast("int")).alias("lim"), F.when(key % 7 != 0, (key % 3).cast("int")).alias("min_match")))
+
+
 def sync_lines(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """adds and removes (line_no, raw)."""
     own = docs.where("doc_seq < 1000000").select(F.col("doc_seq").alias("line_no"), F.col("domain_exact").alias("raw"))

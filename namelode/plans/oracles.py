@@ -50,10 +50,11 @@ doc_terms AS (SELECT doc_seq, list_filter(flatten(list_transform(tokens, lambda
 postings AS (SELECT token, doc_seq, count(*)::INTEGER AS tf, any_value(dl)::INTEGER AS dl FROM (SELECT doc_seq, len(terms) AS dl, unnest(terms) AS token FROM doc_terms) GROUP BY ALL),
 term_stats AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
 corpus_stats AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM doc_terms)"""
-SEARCH = f"""
-queries AS (SELECT qid, q, tld::VARCHAR AS qtld, coalesce(lim, 50) AS lim, coalesce(min_match, 1) AS min_match FROM {values(QUERIES)} AS t(qid, q, tld, lim, min_match)),
+TOKENIZED = r"""
 tokenized AS (SELECT *, len(qtokens) AS n_tokens, least(lim * CASE len(qtokens) WHEN 1 THEN 20 ELSE 50 END, CASE WHEN qtld IS NULL THEN 1000 ELSE 3000 END) AS candidate_limit
-  FROM (SELECT *, list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda x: x <> '') AS qtokens FROM queries) WHERE len(qtokens) > 0),
+  FROM (SELECT *, list_filter(regexp_split_to_array(lower(q), '\s+'), lambda x: x <> '') AS qtokens FROM queries) WHERE len(qtokens) > 0)"""
+SEARCH = f"""
+queries AS (SELECT qid, q, tld::VARCHAR AS qtld, coalesce(lim, 50) AS lim, coalesce(min_match, 1) AS min_match FROM {values(QUERIES)} AS t(qid, q, tld, lim, min_match)),{TOKENIZED},
 query_tokens AS (SELECT qid, unnest(qtokens) AS token FROM tokenized),
 scored AS (SELECT qid, doc_seq, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM query_tokens JOIN postings USING (token) JOIN term_stats USING (token), corpus_stats GROUP BY qid, doc_seq),
@@ -79,6 +80,10 @@ upserted AS (SELECT * FROM docs WHERE domain_exact NOT IN (SELECT domain_exact F
 applied AS (SELECT * FROM removed_only WHERE domain_exact NOT IN (SELECT domain_exact FROM added) UNION ALL SELECT * FROM added)"""
 LOOKUP = f"lookups AS (SELECT qid::INTEGER AS qid, regexp_replace(lower(trim(raw)), '[.]$', '') AS name FROM {values(LOOKUPS)} AS t(qid, raw))"
 
+PART_QUERIES = f"""
+queries AS (SELECT p_partkey::INTEGER AS qid, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || replace(p_name, ' ', ' ' || chr(9)) WHEN 2 THEN p_name || ' ' || p_name WHEN 3 THEN ' ' ELSE string_split(p_name, ' ')[1] END AS q,
+  CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'com' ELSE '' END AS qtld, coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_size END, 50)::INTEGER AS lim, coalesce(CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 3 END, 1)::INTEGER AS min_match FROM part),{TOKENIZED}"""
+
 DOC_COLUMNS = "doc_seq, domain_exact, label, tld, len, has_hyphen, array_to_string(tokens, ' ') AS tokens"
 
 
@@ -92,3 +97,8 @@ def searched(select: str) -> str:
 
 def synced(select: str) -> str:
     return corpus(select, SYNC)
+
+
+def asked(select: str) -> str:
+    """Over the queries that are made of parts."""
+    return f"WITH {PART_QUERIES}\n{select}"

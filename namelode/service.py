@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .session import configure
 from .sources.requests import DEFAULT_LIMIT, query_rows
 
 MAX_BULK = 100
+log = logging.getLogger(__name__)
 
 
 class BadRequest(ValueError):
@@ -31,8 +33,12 @@ class Service:
         if rows:
             queries = query_rows(self.spark, rows)
             tokens = [r["token"] for r in S.query_tokens(S.tokenized(queries)).select("token").distinct().collect()]  # of MAX_BULK queries at most
-            found = S.search(queries, self.store.index(tokens)).orderBy("qid", "pos").collect()
-            for r in found:  # at most the limit a query
+            index = self.store.index(tokens)
+            try:
+                found = S.search(queries, index).orderBy("qid", "pos").collect()  # at most the limit a query
+            finally:
+                index.release()
+            for r in found:
                 hit = r.asDict()
                 own = out[hit.pop("qid")]
                 own["total_candidates"] = hit.pop("total_candidates")
@@ -40,8 +46,22 @@ class Service:
                 own["results"].append(hit)
         return out
 
-    def _key(self, q: str, tld: str | None, limit: int, min_match: int | None) -> tuple:
-        return (max(self.store.versions(), default=0), q, tld, limit, min_match or 1)
+    def _version(self) -> int:
+        return max(self.store.versions(), default=0)
+
+    @staticmethod
+    def _key(version: int, q: str, tld: str | None, limit: int, min_match: int | None) -> tuple:
+        return (version, q, tld, limit, min_match or 1)
+
+    def _each(self, asked: list[tuple]) -> dict[int, dict | None]:
+        """The answers of all queries in one plan; if that fails each on its own, none for those that fail again."""
+        try:
+            return self._answers(asked)
+        except Exception:
+            if len(asked) == 1:
+                log.exception("query %r", asked[0][1])
+                return {asked[0][0]: None}
+            return {k: v for one in asked for k, v in self._each([one]).items()}
 
     def search(self, q: str, tld: str | None = None, limit: int = DEFAULT_LIMIT, min_match: int | None = None) -> dict:
         started = time.perf_counter()
@@ -49,7 +69,7 @@ class Service:
             raise BadRequest("limit must be positive")
         if not q.split():
             raise BadRequest("the query is empty")
-        key = self._key(q, tld, limit, min_match)
+        key = self._key(self._version() if self.cache else 0, q, tld, limit, min_match)
         found = self.cache.get(key) if self.cache else None
         cached = found is not None
         if not cached:
@@ -59,26 +79,29 @@ class Service:
         return found | {"query_time_ms": (time.perf_counter() - started) * 1000, "cached": cached}
 
     def search_bulk(self, queries: list[dict], limit: int = DEFAULT_LIMIT) -> dict:
-        """All queries that are not cached in one plan; a blank query has an empty answer."""
+        """All queries that are not cached in one plan; a blank query, or one that fails, has an empty answer, which is not kept if it failed."""
         started = time.perf_counter()
         if len(queries) > MAX_BULK:
             raise BadRequest(f"more than {MAX_BULK} queries")
         if limit < 1:
             raise BadRequest("limit must be positive")
-        keys = [self._key(x["q"], x.get("tld"), limit, x.get("min_match")) for x in queries]
+        version = self._version() if self.cache else 0
+        keys = [self._key(version, x["q"], x.get("tld"), limit, x.get("min_match")) for x in queries]
         known = {i: found for i, k in enumerate(keys) if self.cache and (found := self.cache.get(k)) is not None}
+        looked = (time.perf_counter() - started) * 1000
         asked = [(i, x["q"], x.get("tld"), limit, x.get("min_match")) for i, x in enumerate(queries) if i not in known]
-        fresh = self._answers(asked)
+        fresh = self._each(asked) if asked else {}
         ms = (time.perf_counter() - started) * 1000
         results = []
         for i, k in enumerate(keys):
-            if i in known:
-                results.append(known[i] | {"cached": True})
+            if i in known:  # an entry of a single search too; its time is that of looking it up
+                results.append(known[i] | {"query_time_ms": looked / len(keys), "cached": True})
+            elif (answer := fresh[i]) is None:
+                results.append({"results": [], "total_candidates": 0, "query_time_ms": ms / len(asked), "cached": False})
             else:
-                answer = fresh[i] | {"query_time_ms": ms / max(1, len(asked))}
                 if self.cache:
                     self.cache.set(k, answer)
-                results.append(answer | {"cached": False})
+                results.append(answer | {"query_time_ms": ms / len(asked), "cached": False})
         return {"results": results, "total_time_ms": (time.perf_counter() - started) * 1000}
 
     def search_frame(self, queries: DataFrame) -> DataFrame:

@@ -24,8 +24,10 @@ def across_files(lines: DataFrame) -> DataFrame:
     """lines with a line_no that orders the lines of all files: files by name, lines by place. That of the first file stays."""
     files = lines.select("file").distinct()
     number = (F.row_number().over(Window.orderBy("file")) - 1).cast("long")  # a row a file
-    numbered = files.select(F.col("file").alias("f"), F.shiftleft(number, 44).alias("first"))
-    return lines.join(numbered, F.col("file") == F.col("f")).select("file", (F.col("first") + F.col("line_no")).alias("line_no"), "raw")
+    within = F.when(number < 1 << 19, F.shiftleft(number, 44)).otherwise(F.raise_error(F.lit("more than 2^19 files")).cast("long"))
+    numbered = files.select(F.col("file").alias("f"), within.alias("first"))
+    place = F.when(F.col("line_no") < 1 << 44, F.col("line_no")).otherwise(F.raise_error(F.lit("a file of 16 TB or more")).cast("long"))
+    return lines.join(numbered, F.col("file") == F.col("f")).select("file", (F.col("first") + place).alias("line_no"), "raw")
 
 
 def lines_of(spark: SparkSession, raw: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ def with_defaults(queries: DataFrame) -> DataFrame:
     return queries.withColumn("lim", F.coalesce("lim", F.lit(DEFAULT_LIMIT))).withColumn("min_match", F.coalesce("min_match", F.lit(1)))
 
 
-def from_json(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """The queries of bulk request bodies, numbered in their order; the limit is shared."""
-    parsed = bodies.select(F.from_json(column, BULK).alias("b")).select("b.limit", F.posexplode("b.queries").alias("qid", "x"))
-    return with_defaults(parsed.select(F.col("qid").cast("int"), "x.q", "x.tld", F.col("limit").alias("lim"), "x.min_match"))
+def from_json(bodies: DataFrame, column: str = "body", *keep: str) -> DataFrame:
+    """The queries of bulk request bodies, numbered in their order, after the columns ``keep`` of their body; the limit is shared."""
+    parsed = bodies.select(*keep, F.from_json(column, BULK).alias("b")).select(*keep, "b.limit", F.posexplode("b.queries").alias("qid", "x"))
+    return with_defaults(parsed.select(*keep, F.col("qid").cast("int"), "x.q", "x.tld", F.col("limit").alias("lim"), "x.min_match"))
