@@ -16,8 +16,7 @@ from .cache import ResultCache
 from .config import Config
 from .operators import sync as Y
 from .operators.index import build_docs
-from .operators.segment import DictionarySegmenter, HttpSegmenter
-from .plans.catalog import segment_counts
+from .operators.segment import HttpSegmenter, dictionary_segmenter
 from .plans.snapshot import Store
 from .progress import progress, rate_line
 from .service import Service
@@ -60,7 +59,7 @@ def lock(path: str, spark: SparkSession | None = None):
 def segmenter_of(spark: SparkSession, args, config: Config):
     if args.words:
         words = spark.read.option("lineSep", "\n").text(args.words).where("value <> ''").groupBy(F.col("value").alias("w")).count()
-        return DictionarySegmenter(segment_counts(words))
+        return dictionary_segmenter(words)
     config.need("segmenter_url", "segmenter_user", "segmenter_password")
     return HttpSegmenter(config.segmenter_url, config.segmenter_user, config.segmenter_password, args.batch_size or config.batch_size)
 

@@ -70,6 +70,42 @@ class DictionarySegmenter:
         return labels.mapInPandas(run, SEGMENTS)
 
 
+class TableSegmenter:
+    """What ``DictionarySegmenter`` gives, for a dictionary (w, count) of any size, which stays a table.
+
+    Every stretch of a label that could be a word is looked up by a join; a label then has its own few words with their counts, and
+    the best split is found among them. Stretches are distinct before the join, so one that many labels hold is
+    looked up once, and what is gathered for a label is bounded by its length.
+    """
+
+    def __init__(self, words: DataFrame):
+        self.words = words
+        found = words.agg(F.sum("count"), F.max(F.char_length("w"))).head()
+        self.total, self.longest = int(found[0] or 0) or 1, int(found[1] or 1)
+        self.unknown = math.log(self.total) + 10
+
+    def segments(self, labels: DataFrame) -> DataFrame:
+        total, longest, unknown = self.total, self.longest, self.unknown
+        ends = lambda n: F.sequence(F.lit(1), n)
+        runs = labels.select(F.explode(F.split("label", "[-.]+")).alias("run")).where("run <> ''").distinct()
+        size = F.char_length("run")
+        starts = runs.select("run", F.explode(ends(size)).alias("a")).withColumn("n", F.explode(ends(F.least(F.lit(longest), F.char_length("run") - F.col("a") + 1))))
+        pieces = starts.select("run", F.substring(F.col("run"), F.col("a"), F.col("n")).alias("w"))
+        known = pieces.select("w").distinct().join(self.words.select("w", "count"), "w")
+        hits = pieces.distinct().join(known, "w").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("w", "count"))).alias("found"))
+
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                costs = [{w: -math.log(n / total) for w, n in (found or {}).items()} for found in frame["found"]]
+                yield pd.DataFrame({"run": frame["run"], "words": [best_split(run, cost, longest, unknown) for run, cost in zip(frame["run"], costs)]})
+
+        # a run without any known word is split as well
+        words = runs.join(hits, "run", "left").mapInPandas(split, "run string, words array<string>")
+        placed = labels.select("label", F.posexplode(F.split("label", "[-.]+")).alias("i", "run")).where("run <> ''").join(words, "run")
+        joined = placed.groupBy("label").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("tokens"))
+        return labels.select("label").join(joined, "label", "left").select("label", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+
+
 class HttpSegmenter:
     """A word-splitting service: POST {"labels": [...]} with basic authentication, answers in the order asked.
 
@@ -132,6 +168,15 @@ class HttpSegmenter:
         return labels.mapInPandas(run, SEGMENTS)
 
 
+DICTIONARY_BYTES = 64 << 20
+
+
+def dictionary_segmenter(words: DataFrame, most: int = DICTIONARY_BYTES) -> Segmenter:
+    """Of words (w, count): in every task while they take no more than ``most`` bytes, as a table beyond that."""
+    size = words.agg(F.sum(F.octet_length("w") + 16)).head()[0] or 0
+    return DictionarySegmenter({r["w"]: r["count"] for r in words.collect()}) if size <= most else TableSegmenter(words)
+
+
 def segment_single(spark: SparkSession, segmenter: Segmenter, label: str) -> list[str]:
     """The tokens of one label; none without an answer."""
     found = segmenter.segments(spark.createDataFrame([(label,)], "label string")).head()

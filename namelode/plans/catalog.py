@@ -12,7 +12,7 @@ from ..operators import index as I
 from ..operators import search as S
 from ..operators import sync as Y
 from ..operators.normalize import normalize, with_status
-from ..operators.segment import DictionarySegmenter, add_tokens
+from ..operators.segment import add_tokens, dictionary_segmenter
 from ..session import configure
 from ..sources import lines as L
 from ..sources.requests import from_json, query_rows
@@ -178,24 +178,12 @@ def segment_missing(spark, sf_dir):
     return docs(spark, sf_dir).where(F.size("tokens") == 0).select("doc_seq", "label")
 
 
-DICTIONARY_BYTES = 64 << 20
-
-
-def segment_counts(names: DataFrame) -> dict[str, int]:
-    """All words of names (w, count), which go to the driver and every task; too many of them are an error, never cut."""
-    size = names.agg(F.sum(F.octet_length("w") + 16)).head()[0] or 0
-    if size > DICTIONARY_BYTES:
-        raise ValueError(f"the dictionary has {size} bytes, more than {DICTIONARY_BYTES}")
-    return {r["w"]: r["count"] for r in names.collect()}
-
-
 @query()
 def segment_dictionary(spark, sf_dir):
     """Labels split by a dictionary of part names; there is no SQL for the dynamic program."""
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").count()
-    counts = segment_counts(names)
     rows = normalized(spark, sf_dir).where("status = 'ok'").select("seq", "label")
-    return shown(add_tokens(rows, DictionarySegmenter(counts))).select("seq", "label", "tokens")
+    return shown(add_tokens(rows, dictionary_segmenter(names))).select("seq", "label", "tokens")
 
 
 @query(O.corpus(f"SELECT {O.DOC_COLUMNS} FROM docs"))

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from namelode.operators.segment import DictionarySegmenter
+from namelode.operators.segment import DictionarySegmenter, TableSegmenter, dictionary_segmenter
 from namelode.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,12 +53,19 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     sys.modules.pop("__spark_entry__")
 
 
-def test_dictionary_takes_every_word(spark, monkeypatch):
-    names = spark.range(100_500).selectExpr("concat('w', id) as w", "id + 1 as count")
-    assert len(catalog.segment_counts(names)) == 100_500
-    monkeypatch.setattr(catalog, "DICTIONARY_BYTES", 1000)
-    with pytest.raises(ValueError):
-        catalog.segment_counts(names)
+def test_dictionaries_of_any_size(spark):
+    """Beyond the bound the dictionary stays a table; what comes out is the same."""
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 5))): rng.randint(1, 900) for _ in range(60)}
+    table = spark.createDataFrame(list(words.items()), "w string, count long")
+    labels = ["", "-", "a--b", "zzz", "aé-zz.ab", "x" * 63] + ["".join(rng.choice("abéz-.") for _ in range(rng.randint(1, 20))) for _ in range(150)]
+    small, large = dictionary_segmenter(table), dictionary_segmenter(table, 100)
+    assert isinstance(small, DictionarySegmenter) and isinstance(large, TableSegmenter)
+    frame = spark.createDataFrame([(x,) for x in sorted(set(labels))], "label string")
+    assert {r["label"]: list(r["tokens"]) for r in large.segments(frame).collect()} == {x: small.split(x) for x in set(labels)}
+    many = spark.range(100_500).selectExpr("concat('w', id) as w", "id + 1 as count")
+    assert dictionary_segmenter(many, 100).segments(spark.createDataFrame([("w100499w7",)], "label string")).head()["tokens"] == ["w100499", "w7"]
+    assert large.segments(frame.limit(0)).count() == 0 and dictionary_segmenter(table.limit(0)).split("ab") == dictionary_segmenter(table.limit(0), -1).segments(spark.createDataFrame([("ab",)], "label string")).head()["tokens"]
 
 
 def splits(run):
