@@ -51,11 +51,16 @@ def apply(docs: DataFrame, change: Delta) -> DataFrame:
 
 
 def summary(docs: DataFrame, change: Delta) -> DataFrame:
-    """initial, delete_requests, rows_removed, added, filtered, final, net_change."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = one(docs, "initial").crossJoin(one(change.requests, "delete_requests")).crossJoin(one(docs.join(change.removed, "domain_exact", "left_semi"), "rows_removed"))
-    row = row.crossJoin(one(change.added, "added")).crossJoin(one(change.filtered, "filtered")).crossJoin(one(apply(docs, change), "final"))  # one row each
-    return row.withColumn("net_change", F.col("final") - F.col("initial"))
+    """initial, delete_requests, rows_removed, added, filtered, final, net_change, counted together in one pass over each list."""
+    removed = change.removed.select("domain_exact", F.lit(True).alias("out"))
+    names = change.added.select("domain_exact", F.lit(True).alias("new"))  # one row a name
+    have = docs.select("domain_exact").join(removed, "domain_exact", "left").join(names, "domain_exact", "left").select(F.lit("have").alias("kind"), "out", "new")
+    rows = have
+    for kind, listed in (("requests", change.requests), ("added", change.added), ("filtered", change.filtered)):
+        rows = rows.unionByName(listed.select(F.lit(kind).alias("kind")), allowMissingColumns=True)
+    of = lambda kind, *more: F.count(F.when(F.expr(" and ".join([f"kind = '{kind}'", *more])), 1))
+    counts = rows.agg(of("have").alias("initial"), of("requests").alias("delete_requests"), of("have", "out").alias("rows_removed"), of("added").alias("added"), of("filtered").alias("filtered"), (of("have", "out is null", "new is null") + of("added")).alias("final"))
+    return counts.withColumn("net_change", F.col("final") - F.col("initial"))
 
 
 def requested(change: Delta) -> dict:

@@ -100,3 +100,31 @@ def test_download_to_memory(tmp_path):
     assert download_bytes(config, ListKind.FULL) == b"PK"
     with pytest.raises(DownloadError):
         download_bytes(config, ListKind.DAILY_REMOVE)
+
+
+def test_idna_of_every_character():
+    """Each assigned character, and random names, against the library that has the standard's table; Punycode against the codec."""
+    import random
+    import unicodedata
+
+    from namelode.functions.idna import punycode
+
+    rng = random.Random(4)
+    pools = ["abcdef-019", "äöüßéñ", "пример", "例子テスト", "मराठी", "😀🏳"]
+    for _ in range(3000):
+        label = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 30)))
+        assert punycode(label) == label.encode("punycode").decode()
+    library = pytest.importorskip("idna")
+
+    def want(name):
+        try:
+            labels = library.uts46_remap(name, std3_rules=False, transitional=False).split(".")
+        except UnicodeError:
+            return name
+        return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
+
+    known = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    assert not [hex(ord(c)) for c in known if to_ascii(f"a{c}b.de") != want(f"a{c}b.de")]
+    for _ in range(5000):
+        name = "".join(rng.choices(known, k=rng.randint(1, 12)))
+        assert to_ascii(name) == want(name)
