@@ -3,8 +3,9 @@
 1. Seeds: closed syncmers of SEED words, chosen by their own words alone; a run of nine words that two documents share holds
    one. Seeds go to buckets with some bits of the words around them. There each seed of a document is joined with one source:
    the first document (by id) that shares MIN_PART words around it, else the first that shares nine, else the first that has
-   the seed. So a passage that a third of all documents share gives a match a document and seed, never pairs, and twelve
-   words that an earlier document has are always found; a fuzzy passage whose seeds were all first seen elsewhere is not.
+   the seed; and, but for the first kind, with a second: the first that also has the words behind the seed, all but one. So a
+   passage that a third of all documents share gives at most two matches a document and seed, never pairs, twelve words
+   that an earlier document has are always found, and a fuzzy passage is found though its words were first seen elsewhere.
 2. The matches of two documents, joined to exact runs where they touch, are chained: in the order of their places in one
    document, each takes the best chain so far that ends before it in the other, found in a Fenwick tree of prefix maxima,
    less the cost of the gaps between them.
@@ -79,15 +80,17 @@ def earliest(group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def sources_of(seed: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For rows in the order of seed, doc and place: the row of the source, or -1.
+def sources_of(seed: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of seed, doc and place: the row of the source, or -1; and that of a second source, or -1.
 
     The source is the first document that shares MIN_PART words around the seed, which are an alignment by themselves; else
-    the first that shares SEED + 3 words; else the first that has the seed.
+    the first that shares SEED + 3 words; else the first that has the seed. Without MIN_PART words the second is the first document
+    that shares all of the AFTER words behind the seed but one: text that goes on alike behind a changed word is that of
+    the passage, not of another that only has this seed's words.
     """
     group = np.cumsum(np.concatenate([[0], seed[1:] != seed[:-1]]).astype(np.uint64))
     found = np.full(len(seed), -1, np.int64)
-    open_ = np.arange(len(seed))
+    open_, fuzzy = np.arange(len(seed)), None
     for words in (AFTER, BEFORE, 0):
         mask = np.uint64((1 << FIELD * words) - 1)
         best = np.full(len(seed), len(seed), np.int64)
@@ -98,9 +101,22 @@ def sources_of(seed: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.nda
         hit = open_[best[open_] < len(seed)]
         found[hit] = best[hit]
         open_ = open_[best[open_] == len(seed)]
+        fuzzy = open_ if fuzzy is None else fuzzy
         if not len(open_):
             break
-    return found
+    second = np.full(len(seed), -1, np.int64)
+    if len(fuzzy):
+        own = np.flatnonzero(np.isin(group, group[fuzzy]))  # seeds with no open row need no second source
+        after, best = context[own] >> np.uint64(FIELD * BEFORE), np.full(len(own), len(own), np.int64)
+        for k in range(AFTER):
+            row = earliest(group[own], after & ~np.uint64(((1 << FIELD) - 1) << FIELD * k), doc[own])
+            best = np.minimum(best, np.where(row < 0, len(own), row))
+        hit = best < len(own)
+        second[own[hit]] = own[best[hit]]
+        is_fuzzy = np.zeros(len(seed), bool)
+        is_fuzzy[fuzzy] = True
+        second[~is_fuzzy | (doc[second] == doc[found])] = -1
+    return found, second
 
 
 def packed(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -202,9 +218,9 @@ def match_rows(seeds: DataFrame, bits: int) -> DataFrame:
             order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
             if len(order):
                 seed, context, doc, pos = in_order(*(x[order] for x in (seed, context, doc, pos)))
-                source = sources_of(seed, context, doc)
-                found = np.flatnonzero(source >= 0)
-                passed += [(b, 1, data) for b, data in matched(doc, pos, found, source[found], bits)]
+                for source in sources_of(seed, context, doc):
+                    found = np.flatnonzero(source >= 0)
+                    passed += [(b, 1, data) for b, data in matched(doc, pos, found, source[found], bits)]
             if passed:
                 yield buckets_batch(passed)
 

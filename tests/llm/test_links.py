@@ -383,3 +383,24 @@ def test_pipeline_keeps_rows_that_only_share_an_id(spark):
     cut = stages["substring_dedup"](spark, docs.where("text not like 'c%more'"), "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in cut if r["doc_id"]) == [("1", text["a"]), ("1", text["b"]), ("3", text["c"]), ("3", text["d"])]
     assert cut[0].asDict().keys() == {"doc_id", "text", "own_id", "gone"}
+
+
+def test_fuzzy_passages_whose_words_were_first_seen_elsewhere(spark):
+    """Every run between two changed words has an earlier owner that shares nothing else."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(1_000_000)}" for _ in range(n)]
+    rows, want = {}, set()
+    for k in range(6):  # as told: every tenth word; then with gaps of other sizes
+        passage = fresh(120)
+        cuts = list(range(9, 120, 10)) if k == 0 else sorted(rng.sample(range(5, 115), 9))
+        runs = [passage[a + 1 : b] for a, b in zip([-1, *cuts], [*cuts, 120])]
+        for i, run in enumerate(runs):
+            rows[1000 * k + i] = fresh(30) + run + fresh(30)
+        rows[1000 * k + 500] = fresh(40) + passage + fresh(40)
+        rows[1000 * k + 600] = fresh(40) + [f"changed{k}x{i}" if i in cuts else w for i, w in enumerate(passage)] + fresh(40)
+        want.add((1000 * k + 600, 1000 * k + 500))
+    got = chains.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows.items()])).collect()
+    pairs = {(r["doc_id"], r["source_id"]): r for r in got}
+    assert set(pairs) >= want and all(d % 1000 >= 500 for d, _ in pairs)
+    first = pairs[600, 500]
+    assert (first["passage_start"], first["passage_end"]) == (40, 159)
