@@ -365,6 +365,21 @@ def optimize_noop(spark, sf_dir):
     return shown(store.docs().select(*I.DOCS))
 
 
+@query(O.searched("SELECT qid::INTEGER AS qid, domain_exact, score, r::INTEGER AS r FROM candidates JOIN docs USING (doc_seq)"))
+def topn_stored(spark, sf_dir):
+    """Candidates of a stored index, from the blocks whose bounds compete, and their documents by address."""
+    store = snapshot.Store(spark, snapshot.scratch(spark))
+    store.build(docs(configure(spark), sf_dir))
+    own = store.index()
+    return S.candidates(S.tokenized(fixtures.queries(spark)), own).join(own.docs, "doc_seq").select("qid", "domain_exact", "score", "r")
+
+
+@query(O.corpus("SELECT * FROM results", O.SYNC, O.INDEX.replace("FROM docs)", "FROM applied)"), O.SEARCH.replace("JOIN docs USING", "JOIN applied USING")))
+def search_synced(spark, sf_dir):
+    """The answers of a stored index after a sync."""
+    return shown(S.search(fixtures.queries(spark), stored(configure(spark), sf_dir).index()))
+
+
 @query(O.corpus("SELECT token, df FROM term_stats", O.SYNC, O.INDEX.replace("FROM docs)", "FROM applied)")))
 def term_stats_stored(spark, sf_dir):
     """Documents of each token after a sync, from counts of blocks and of what went."""

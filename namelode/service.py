@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,8 +106,8 @@ class Service:
         return {"results": results, "total_time_ms": (time.perf_counter() - started) * 1000}
 
     def search_frame(self, queries: DataFrame) -> DataFrame:
-        """Any number of queries (qid, q, tld, lim, min_match) as a plan."""
-        return S.search(queries, self.store.index())
+        """Any number of queries (qid, q, tld, lim, min_match) as a plan; many have candidates in all files, so documents are joined."""
+        return S.search(queries, replace(self.store.index(), docs_of=None))
 
     def exact(self, domain: str) -> dict:
         started = time.perf_counter()

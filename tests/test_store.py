@@ -57,6 +57,8 @@ def test_service(spark, tmp_path):
     first = service.search("Gear", limit=2)
     assert [r["domain"] for r in first["results"]] == ["small-gear.com", "gear.com"] and first["total_candidates"] == 3 and not first["cached"]
     assert service.search("Gear", limit=2)["cached"] and service.stats()["cache"]["hits"] == 1
+    frame = service.search_frame(query_rows(spark, [(0, "Gear", None, 2, None)])).orderBy("pos").collect()
+    assert [r["domain"] for r in frame] == [r["domain"] for r in first["results"]]
     bulk = service.search_bulk([{"q": "Gear"}, {"q": " "}, {"q": "bolt", "tld": "NET"}], limit=2)
     assert [len(x["results"]) for x in bulk["results"]] == [2, 0, 1] and bulk["results"][0]["cached"]
     assert service.exact("GEAR.com.")["domain"]["label"] == "gear" and service.exact("absent.com")["found"] is False
@@ -140,10 +142,11 @@ def test_stored_search_is_that_of_the_documents(spark, tmp_path):
 
 def test_parts_are_merged_and_old_files_go(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(snapshot, "FAN", 3)
-    store = store_of(spark, tmp_path / "i", ["a-gear.com", "b-gear.com"])
+    store = store_of(spark, tmp_path / "i", [f"{x}-gear.com" for x in "abcdefghi"])
+    first = store.state()["parts"][0]
     for day in range(4):
         store.sync(Y.delta(L.lines_of(spark, [f"new{day}x.com"]), L.lines_of(spark, []), WORDS, 100 * (day + 1)))
-    assert store.segments() <= 3 and store.count() == 6
+    assert store.segments() <= 3 and store.count() == 13 and store.state()["parts"][0] == first  # what is large is not written again
     before = names(store)
     assert store.vacuum(1) > 0 and names(store) == before and len(store.versions()) == 1
     assert {f.name for f in (tmp_path / "i").iterdir() if f.is_dir()} == set(store._folders(store.state()))
