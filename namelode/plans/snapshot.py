@@ -400,15 +400,17 @@ class Store:
         """Delete the pointers before the last ``keep``, and every folder that the others don't name, jobs that failed and
         never published included; how many folders went. Only what is older than ``age`` seconds goes: choose longer than
         any search or sync runs, or stop them before."""
-        kept = self.versions()[-keep:]
-        named = {f for v in kept for f in self._folders(self.log.read(v) or EMPTY)}
-        now, found = time.time(), self.files.names()
+        if keep < 1:
+            raise ValueError("keep must be positive")
+        now, found = time.time(), self.files.names()  # before the pointers, so that what is published meanwhile is not seen
+        states = {v: self.log.read(v) for v in self.versions()}
+        kept = [v for v, state in states.items() if state is not None][-keep:]  # one that can't be read shows nothing
         old = {n for n, changed in found.items() if now - changed >= age}
-        for v in self.versions()[:-keep]:
-            if f"{POINTER}{v}" in old:
-                self.files.delete(f"{POINTER}{v}")
-        still = {f for v in self.versions() for f in self._folders(self.log.read(v) or EMPTY)}
-        gone = [n for n in old - named - still if re.match(r"(docs|names|postings|bits|lost|staged)-", n)]
+        dropped = {v for v in states if kept and v < kept[0] and f"{POINTER}{v}" in old}
+        for v in dropped:
+            self.files.delete(f"{POINTER}{v}")
+        named = {f for v, state in states.items() if v not in dropped for f in self._folders(state or EMPTY)}
+        gone = [n for n in old - named if kept and re.match(r"(docs|names|postings|bits|lost|staged)-", n)]
         for n in sorted(gone):
             self.files.delete(n)
         for n in old:
