@@ -62,7 +62,7 @@ def competing_blocks(queries: DataFrame, index: Index) -> DataFrame:
     heads = index.blocks.select("token", "tf", "dl", "base", "zone", "n")
     need = F.col("candidate_limit") + index.slack  # so many, whatever is gone
     rows = weighted(heads.join(asked_tokens(queries, index.terms, index.corpus), "token")).join(queries.select("qid", "candidate_limit"), "qid")
-    rows = rows.withColumn("shown", F.round("w", 6))
+    rows = rows.repartition("qid").withColumn("shown", F.round("w", 6))  # one exchange for all windows; a row a block
     token = Window.partitionBy("qid", "token")
     place = ["shown", "base", "zone"]
     upto = F.sum("n").over(token.orderBy(F.col("shown").desc(), "base", "zone"))  # with those of the same weight and place
