@@ -141,10 +141,11 @@ class Model:
     slope: float = 1.0
     base: float = 0.0
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    begun: dict[str, bool] = field(default_factory=dict)
     known: tuple[int, tuple[set[str], set[str]]] = (0, (set(), set()))
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "begun": {}}
 
     def restore(self, token: str) -> str:
         """The letters of a token as split at white space; '' without letters."""
@@ -155,23 +156,52 @@ class Model:
             word = decode(word, self.costs)
         return word
 
+    def follow(self, begun: set[str], token: str) -> set[str]:
+        """Where in the known words (beginnings or whole words) the readings of a token lead from others: characters stand
+        for themselves or letters they imitate, signs and repeated letters for nothing too."""
+        heads, _ = self.beginnings()
+        for before, c in zip(" " + token, token):
+            letters = c + LEET.get(c, "")
+            going = {w for at in begun for x in letters if (w := at + x) in heads or w in self.weights}
+            begun = going | begun if c == before or not c.isalnum() else going
+            if not begun:
+                break
+        return begun
+
+    def starts(self, token: str) -> set[str]:
+        """The beginnings of known words that a token can be read as."""
+        first = token[: PREFIXES[0]]
+        if (able := self.begun.get(first)) is None:
+            if len(self.begun) >= MEMO_WORDS:
+                self.begun.clear()
+            able = self.begun[first] = bool(self.follow({""}, first))
+        return self.follow({""}, token) & self.beginnings()[0] if able else set()
+
     def split_words(self, tokens: list[str]) -> Iterator[str]:
-        """Known words that a space cuts in two, where the lattice of the two parts drops the space."""
+        """Known words that spaces cut into parts, where the lattice of the parts, a space ending a word or being nothing,
+        drops all of them. Parts are joined only along the beginnings of known words, so a window is no longer than one."""
         heads, _ = self.beginnings()
-        for i, a in enumerate(tokens[:-1]):
-            if a in heads and (word := a + tokens[i + 1]) in self.weights and decode(f"{a} {tokens[i + 1]}", self.costs) == word:
-                yield word
+        for i, token in enumerate(tokens[:-1]):
+            begun, j = self.starts(token), i + 1
+            while begun and j < len(tokens):
+                begun, j = self.follow(begun, tokens[j]), j + 1
+                if whole := begun & self.weights.keys():
+                    window = " ".join(tokens[i:j])
+                    if any(map(str.isalpha, window)) and (word := decode(window, self.costs)) in whole:
+                        yield word
+                begun &= heads
 
     def beginnings(self) -> tuple[set[str], set[str]]:
         """What known words can begin with, and the first letters of whatever has a feature."""
         if self.known[0] != len(self.weights):
             whole = [w for w in self.weights if ":" not in w]
             first = {w[: PREFIXES[0]] for w in self.weights} | {w.partition(":")[2][: PREFIXES[0]] for w in self.weights if ":" in w}
+            self.begun.clear()
             self.known = (len(self.weights), ({w[:i] for w in whole for i in range(1, len(w))}, first))
         return self.known[1]
 
     def words(self, text: str) -> list[str]:
-        """What white space separates, known words among them that were cut by a space, and for each run of characters set
+        """What white space separates, known words among them that spaces cut into parts, and for each run of characters set
         apart: them as one token and as the likeliest words."""
         found = text.split()
         if self.weights:
@@ -342,6 +372,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             found = [own.total(t) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array([own.score(t) for t, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), pa.array([own.restored(t) if restored else None for t in texts], pa.string())], ["doc_id", "score", "hits", "restored"])
         own.memo.clear()
+        own.begun.clear()
 
     small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(tidy(run), OUT)

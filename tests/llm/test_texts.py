@@ -246,6 +246,65 @@ def test_spaced_and_long_insults():
     assert [model.total(t)[1] for t in ("a b c", "1 2 3\n4", "you are a person", "")] == [0] * 4
 
 
+def test_words_in_parts():
+    """A space is an edge of the lattice anywhere in a known word, however many parts it makes and however they are disguised."""
+    clean = "a stupid idiot is a moron and you are the clown who is a loser or a stupid person as the pathetic scum is trash "
+    c = np.concatenate([[0, 0], toxicity.classes_of(clean * 20), [0]])
+    c = c[np.concatenate([[True, True], (c[2:] > 0) | (c[1:-1] > 0)])]
+    counts = np.bincount((c[:-2] * toxicity.CLASSES + c[1:-1]) * toxicity.CLASSES + c[2:], minlength=toxicity.CLASSES**3)
+    insults = ("stupid", "idiot", "clown", "loser", "moron", "pathetic")
+    model = toxicity.Model(toxicity.costs_of(counts), {w: 5.0 for w in insults})
+    for word in insults:
+        n = len(word)
+        for cuts in ((i, j) for i in range(1, n) for j in range(i, n)):
+            parts = [p for p in (word[: cuts[0]], word[cuts[0] : cuts[1]], word[cuts[1] :]) if p]
+            for how in (" ".join, "  ".join, lambda p: " ".join(p).translate(str.maketrans("oi", "01")), lambda p: " ".join(p).upper() + "!"):
+                assert model.total(f"you are the {how(parts)} here")[1] == 1, (word, parts)
+    assert model.total("you id - io - t")[1] == 1 and model.total("stu u u pid and st up")[1] == 0
+    assert model.total("are you the person who is as the lo and ser or id and iot")[1] == 0
+    started = time.perf_counter()
+    assert model.total("id " * 50_000 + "- " * 50_000 + "i" * 50_000)[1] == 0 and model.total("id " + "io " * 50_000)[1] == 0
+    assert time.perf_counter() - started < 20
+
+
+def paths_of(word, i=0, out=""):
+    """Every reading of an obfuscated word with the sum of its prices."""
+    if i == len(word):
+        yield 0.0, out
+        return
+    c = word[i]
+    if c == " ":
+        options = [(" ", 0.0), ("", 0.0)]
+    elif c == "\n":
+        options = [(" ", 0.0), ("", 2.0)]
+    else:
+        options = [(c, 0.0)] * c.isalpha() + [(x, 1.0) for x in toxicity.LEET.get(c, "")]
+        if c.isdigit():
+            options.append(("", 8.0))
+        elif not c.isalpha():
+            options.append(("", 2.0 if c in toxicity.LEET else 0.5))
+        elif i and word[i - 1] == c:
+            options.append(("", 0.0 if i > 1 and word[i - 2] == c else 1.5))
+    for letter, price in options:
+        if letter != " " or (out and out[-1] != " "):
+            for cost, whole in paths_of(word, i + 1, out + letter):
+                yield price + cost, whole
+
+
+def test_decoder_against_all_paths():
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        costs = rng.uniform(0.1, 6, (toxicity.CLASSES,) * 3).astype(np.float32)
+        word = "".join(rng.choice(list("aabbil1!0@-. \né"), rng.integers(1, 8)))
+        best = {}
+        for price, out in paths_of(word):
+            c = [0, 0, *(toxicity.char_class(x) if x != " " else 0 for x in out)]
+            c += [0] * (c[-1] > 0)
+            total = price + sum(float(costs[x, y, z]) for x, y, z in zip(c, c[1:], c[2:]))
+            best[out.strip()] = min(total, best.get(out.strip(), np.inf))
+        assert best[toxicity.decode(word, costs)] == pytest.approx(min(best.values())), word
+
+
 def test_notice_before_a_better_one():
     words = "gnu generl public license version 2 gnu general public license version 2 gnu general publc license version 2"
     spans = licenses.Scanner().scan(words)[-1]
@@ -303,7 +362,7 @@ def test_scores_of_disguised_words(spark):
     model = toxicity.fit(docs, labels)
     insults = [w for w in model.weights if w.isalpha() and len(w) > 3]
     assert len(insults) >= 8
-    disguise = [lambda w: w.translate(str.maketrans("oiase", "01@$3")), lambda w: ".".join(w), lambda w: w[:2] + w[2] * 5 + w[3:], lambda w: " ".join(w), lambda w: "".join(c + c for c in w), lambda w: f"{w[:2]} {w[2:]}", lambda w: "  ".join(w)]
+    disguise = [lambda w: w.translate(str.maketrans("oiase", "01@$3")), lambda w: ".".join(w), lambda w: w[:2] + w[2] * 5 + w[3:], lambda w: " ".join(w), lambda w: "".join(c + c for c in w), lambda w: f"{w[:2]} {w[2:]}", lambda w: "  ".join(w), lambda w: f"{w[:2]} {w[2:4]} {w[4:]}"]
     rows = docs.join(labels, "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     telling = [r for r in held if r["toxic"] and any(w in r["text"].lower() for w in insults)]
@@ -312,7 +371,7 @@ def test_scores_of_disguised_words(spark):
         changed = [re.sub("|".join(insults), lambda m: how(m.group().lower()), r["text"], flags=re.I) for r in telling]
         assert sum(model.score(model.total(t)[0]) >= 0.5 for t in changed) >= 0.9 * len(telling), k
     clean = [r["text"] for r in held if not r["toxic"]]
-    noisy = [re.sub(r"\b\w{5}\b", lambda m: disguise[i % 7](m.group().lower()), t) for i, t in enumerate(clean)]
+    noisy = [re.sub(r"\b\w{5}\b", lambda m: disguise[i % len(disguise)](m.group().lower()), t) for i, t in enumerate(clean)]
     assert sum(model.score(model.total(t)[0]) >= 0.5 for t in noisy) <= 0.02 * len(noisy)
 
 
