@@ -42,7 +42,9 @@ MEMO_WORDS, MEMO_LENGTH = 100_000, 100
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 KEEP, IMITATE, DROP_SIGN, DROP_LIKE, DROP_REPEAT, DROP_DIGIT = 0.0, 1.0, 0.5, 2.0, 1.5, 8.0
 DROP_WIDE = 2.0
-SPACES = " \n"  # in a run of characters set apart: the narrowest space there, and a wider one
+#: What it costs to drop a space: the narrowest one of a run of characters set apart, one between parts of words, a wider one of a run.
+NARROW, BETWEEN, WIDE = " \t\n"
+SPACES = {NARROW: KEEP, BETWEEN: DROP_SIGN, WIDE: DROP_WIDE}
 CLASSES = 64
 OUT = "doc_id long, score double, hits long, restored string"
 
@@ -99,7 +101,7 @@ def decode(word: str, costs: np.ndarray) -> str:
     for i, c in enumerate(word):
         repeated = i > 0 and word[i - 1] == c
         if c in SPACES:
-            options = [(" ", KEEP), ("", KEEP if c == SPACES[0] else DROP_WIDE)]
+            options = [(" ", KEEP), ("", SPACES[c])]
         else:
             options = [(c, KEEP)] if c.isalpha() else []
             options += [(x, IMITATE) for x in LEET.get(c, "")]
@@ -131,6 +133,7 @@ def unlinked(letters: tuple) -> str:
 
 EDGES = re.compile(r"^[^\w@$!|+(€£]+|[\W_]+$")
 ODD = re.compile(r"[\W\d_]|(.)\1\1|(\w)\2(\w)\3")  # signs, one letter three times, or two doubled letters side by side
+ENDED = re.compile(r"\w[^\w\s]*[,.;:?][^\w\s]*$")  # a sign behind the letters that ends a part of a sentence
 APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
@@ -182,14 +185,16 @@ class Model:
         drops all of them. Parts are joined only along the beginnings of known words, so a window is no longer than one."""
         heads, _ = self.beginnings()
         for i, token in enumerate(tokens[:-1]):
-            begun, j = self.starts(token), i + 1
+            if not (begun := self.starts(token)) or ENDED.search(token):
+                continue
+            j = i + 1
             while begun and j < len(tokens):
                 begun, j = self.follow(begun, tokens[j]), j + 1
                 if whole := begun & self.weights.keys():
-                    window = " ".join(tokens[i:j])
+                    window = BETWEEN.join(tokens[i:j])
                     if any(map(str.isalpha, window)) and (word := decode(window, self.costs)) in whole:
                         yield word
-                begun &= heads
+                begun = set() if ENDED.search(tokens[j - 1]) else begun & heads
 
     def beginnings(self) -> tuple[set[str], set[str]]:
         """What known words can begin with, and the first letters of whatever has a feature."""
@@ -211,7 +216,7 @@ class Model:
             found.append("".join(run.split()))
             if any(c.isalpha() for c in run):
                 least = min(map(len, re.findall(r"\s+", run)))
-                lattice = re.sub(r"\s+", lambda x: SPACES[len(x.group()) > least], run)
+                lattice = re.sub(r"\s+", lambda x: WIDE if len(x.group()) > least else NARROW, run)
                 found += decode(lattice, self.costs).split()
         return found
 

@@ -261,6 +261,7 @@ def test_words_in_parts():
             for how in (" ".join, "  ".join, lambda p: " ".join(p).translate(str.maketrans("oi", "01")), lambda p: " ".join(p).upper() + "!"):
                 assert model.total(f"you are the {how(parts)} here")[1] == 1, (word, parts)
     assert model.total("you id - io - t")[1] == 1 and model.total("stu u u pid and st up")[1] == 0
+    assert model.total("of the st. upid. And id, iot")[1] == 0  # the end of a part of a sentence is no space within a word
     assert model.total("are you the person who is as the lo and ser or id and iot")[1] == 0
     started = time.perf_counter()
     assert model.total("id " * 50_000 + "- " * 50_000 + "i" * 50_000)[1] == 0 and model.total("id " + "io " * 50_000)[1] == 0
@@ -275,8 +276,8 @@ def paths_of(word, i=0, out=""):
     c = word[i]
     if c == " ":
         options = [(" ", 0.0), ("", 0.0)]
-    elif c == "\n":
-        options = [(" ", 0.0), ("", 2.0)]
+    elif c in "\t\n":
+        options = [(" ", 0.0), ("", 2.0 if c == "\n" else 0.5)]
     else:
         options = [(c, 0.0)] * c.isalpha() + [(x, 1.0) for x in toxicity.LEET.get(c, "")]
         if c.isdigit():
@@ -295,7 +296,7 @@ def test_decoder_against_all_paths():
     rng = np.random.default_rng(5)
     for trial in range(300):
         costs = rng.uniform(0.1, 6, (toxicity.CLASSES,) * 3).astype(np.float32)
-        word = "".join(rng.choice(list("aabbil1!0@-. \né"), rng.integers(1, 8)))
+        word = "".join(rng.choice(list("aabbil1!0@-. \n\té"), rng.integers(1, 8)))
         best = {}
         for price, out in paths_of(word):
             c = [0, 0, *(toxicity.char_class(x) if x != " " else 0 for x in out)]
