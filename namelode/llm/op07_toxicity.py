@@ -133,10 +133,15 @@ def unlinked(letters: tuple) -> str:
 
 EDGES = re.compile(r"^[^\w@$!|+(€£]+|[\W_]+$")
 ODD = re.compile(r"[\W\d_]|(.)\1\1|(\w)\2(\w)\3")  # signs, one letter three times, or two doubled letters side by side
-ENDED = re.compile(r"\w[^\w\s]*[,.;:?][^\w\s]*$")  # a sign behind the letters that ends a part of a sentence
+ENDED = re.compile(r"\w[^\w\s]*[,.;:?][^\w\s]*$")
 APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
+def ended(token: str) -> bool:
+    """Whether a sign behind the letters ends a part of a sentence."""
+    return not token[-1:].isalnum() and ENDED.search(token) is not None
+
+
 @dataclass
 class Model:
     costs: np.ndarray
@@ -144,7 +149,7 @@ class Model:
     slope: float = 1.0
     base: float = 0.0
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    begun: dict[str, bool] = field(default_factory=dict)
+    begun: dict[str, set[str]] = field(default_factory=dict)
     known: tuple[int, tuple[set[str], set[str]]] = (0, (set(), set()))
 
     def __getstate__(self):
@@ -162,7 +167,7 @@ class Model:
     def follow(self, begun: set[str], token: str) -> set[str]:
         """Where in the known words (beginnings or whole words) the readings of a token lead from others: characters stand
         for themselves or letters they imitate, signs and repeated letters for nothing too."""
-        heads, _ = self.beginnings()
+        heads = self.beginnings()[0]
         for before, c in zip(" " + token, token):
             letters = c + LEET.get(c, "")
             going = {w for at in begun for x in letters if (w := at + x) in heads or w in self.weights}
@@ -171,30 +176,32 @@ class Model:
                 break
         return begun
 
-    def starts(self, token: str) -> set[str]:
-        """The beginnings of known words that a token can be read as."""
-        first = token[: PREFIXES[0]]
-        if (able := self.begun.get(first)) is None:
-            if len(self.begun) >= MEMO_WORDS:
-                self.begun.clear()
-            able = self.begun[first] = bool(self.follow({""}, first))
-        return self.follow({""}, token) & self.beginnings()[0] if able else set()
+    def starts(self, first: str) -> set[str]:
+        """Where in the known words the first letters of a token can be."""
+        if len(self.begun) >= MEMO_WORDS:
+            self.begun.clear()
+        found = self.begun[first] = self.follow({""}, first)
+        return found
 
     def split_words(self, tokens: list[str]) -> Iterator[str]:
         """Known words that spaces cut into parts, where the lattice of the parts, a space ending a word or being nothing,
         drops all of them. Parts are joined only along the beginnings of known words, so a window is no longer than one."""
         heads, _ = self.beginnings()
         for i, token in enumerate(tokens[:-1]):
-            if not (begun := self.starts(token)) or ENDED.search(token):
+            first = token[: PREFIXES[0]]
+            begun = self.begun[first] if first in self.begun else self.starts(first)
+            if not begun or ended(token):
                 continue
-            j = i + 1
+            begun, j = (begun if first == token else self.follow({""}, token)) & heads, i + 1
             while begun and j < len(tokens):
                 begun, j = self.follow(begun, tokens[j]), j + 1
-                if whole := begun & self.weights.keys():
+                if not begun:
+                    break
+                if whole := [w for w in begun if w in self.weights]:
                     window = BETWEEN.join(tokens[i:j])
                     if any(map(str.isalpha, window)) and (word := decode(window, self.costs)) in whole:
                         yield word
-                begun = set() if ENDED.search(tokens[j - 1]) else begun & heads
+                begun = set() if ended(tokens[j - 1]) else begun & heads
 
     def beginnings(self) -> tuple[set[str], set[str]]:
         """What known words can begin with, and the first letters of whatever has a feature."""
