@@ -10,10 +10,12 @@
    bounded size. There the leader's answer (the size of its intersection with every set) is counted from a small inverted
    index, and every other set's answer is derived from that of the set most like it that has one: what is counted are only
    the lists of the shingles by which the two differ.
-4. Sets that link with the leader are linked with each other through it. Of those that don't, only the ones near enough to
-   link with such a set (Jaccard distance is a metric, so at most twice the threshold's distance from the leader) are compared
-   with all of the leader's other blocks; the remote ones are compared with what is not linked with the leader.
-5. Links, already reduced to a forest by each task, are joined to components.
+4. Sets that link with the leader are linked with each other through it. Those that don't become a list of their own, led by the
+   set that links with most others of its block, until they fit in a block or a leader links with few of them.
+5. What is left are the sets near enough to link with such a set (Jaccard distance is a metric, so at most twice the threshold's
+   distance from the leader) that no link has joined with the leader yet: they are compared with the sets that link with it. Of a
+   list whose leader linked with few, what is outside its largest component is compared with all of it.
+6. Links, already reduced to a forest by each task, are joined to components.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ from .shingles import SPACES, bucket_bits, exchange, set_rows, text_rows, unplan
 
 BLOCK_SETS, BLOCKS, MAX_BLOCK_SETS, BLOCK_TOKENS = 32, 256, 2048, 1 << 21
 ENTRIES = "token long, rep long, n long, pos long"
-NEAR, MIDDLE, REMOTE = 0, 1, 2
-LINKS = "a long, b long, far int"
+#: Lists are led anew so often, while their leader links with one set in so many.
+ROUNDS, ONE_IN = 12, 4
+#: Of sets that are compared with other sets: blocks a side, and the most sets of one.
+SIDES, MAX_SIDE_SETS = 16, 1024
+LINK, NEAR, MIDDLE, REMOTE = -1, 0, 1, 2
+FOUND = "leader long, a long, b long, n long, kind int"
 
 
 def prefix_entries(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -112,12 +118,9 @@ def read_sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return table["rep"].to_numpy(), table["n"].to_numpy(), [unplanes(t.as_py(), 6) for t in table["tokens"]]
 
 
-def out_links(edges: list[tuple[int, int]], far: list[tuple[int, int]], leader: int | None = None) -> pa.Table:
-    """Links, and sets that don't link with the leader with how far they are from it."""
+def out_links(edges: list[tuple[int, int]], leader: int) -> pa.Table:
     a, b = zip(*edges) if edges else ((), ())
-    c, d = zip(*far) if far else ((), ())
-    out = {"a": pa.array([*a, *c], pa.int64()), "b": pa.array([*b, *c], pa.int64()), "far": pa.array([*[NEAR] * len(a), *d], pa.int32())}
-    return pa.table(out | ({} if leader is None else {"leader": pa.array([leader] * len(out["a"]), pa.int64())}))
+    return pa.table({"leader": pa.array([leader] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([0] * len(a), pa.int64()), "kind": pa.array([LINK] * len(a), pa.int32())})
 
 
 def index_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -135,15 +138,14 @@ def index_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     return reach.select("leader", "rep", "n").distinct()
 
 
-def jaccard_links(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) that connect what is connected among different sets (rep, n, tokens), and the tables that they are read from."""
-    entries = written(prefix_entries(sets.select("rep", "n", "tokens"), num, den), "entries")
-    members = written(index_lists(entries, num, den), "members")
-    forget(entries)
-    size = members.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
+def compared(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of lists (leader, rep, n; the leader among them), cut into blocks of bounded size that each hold the leader: the links of each
+    block (LINK: a, b), and where a list has several blocks how far each set is from the leader (NEAR, MIDDLE, REMOTE: a is the set, n its
+    size, b how many sets of its block it links with)."""
+    size = lists.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
     per = F.least(F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("k") / BLOCKS)), F.lit(MAX_BLOCK_SETS))
     size = size.select("leader", F.greatest(F.ceil(F.col("k") / per), F.ceil(F.col("total") / BLOCK_TOKENS)).alias("blocks"))
-    cells = members.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).where("rep <> leader")
+    cells = lists.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).where("rep <> leader")
     heads = size.select("leader", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.col("leader").alias("rep"), "blocks")
     cells = cells.select("leader", "block", "rep", "blocks").unionByName(heads).join(sets.select("rep", "n", "tokens"), "rep")
 
@@ -153,36 +155,96 @@ def jaccard_links(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[
         ids, n, tokens = ids[order], n[order], [tokens[i] for i in order]
         both = derived(tokens, len(tokens))
         link = linked(both, n, n, num, den)
+        links = out_links(forest(link, ids), leader)
+        if table["blocks"][0].as_py() == 1:
+            return links
         union = n + n[0] - both[0]
         level = np.where(link[0], NEAR, np.where(both[0] * den >= (2 * num - den) * union, MIDDLE, REMOTE))
-        return out_links(forest(link, ids), [] if table["blocks"][0].as_py() == 1 else [(int(i), int(x)) for i, x in zip(ids, level) if x != NEAR], leader)
-
-    found = written(cells.groupBy("leader", "block").applyInArrow(lambda key, t: block(t, key[0].as_py()), LINKS + ", leader long"), "links")
-    links = found.where(f"far = {NEAR}").select("a", "b")
-    # far sets against the other blocks of their leader, in groups of bounded size
-    far = written(found.where(f"far <> {NEAR}").select("leader", F.col("a").alias("rep"), F.col("far").alias("level")).join(size, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "far")
-    if not far.head(1):
-        return links, [members, found, far]
-    others = F.explode(F.expr("filter(sequence(0L, blocks - 1), x -> x <> own)")).alias("block")
-    asking = far.select("leader", "own", "rep", "level", others).withColumn("side", F.lit(0))
-    pairs = far.groupBy("leader", "own", "blocks").agg(F.min("level").alias("nearest")).select("leader", "own", "nearest", others)
-    levels = far.select(F.col("leader").alias("l"), F.col("rep").alias("r"), "level")
-    targets = cells.select("leader", "block", "rep").where("rep <> leader").join(levels, (F.col("leader") == F.col("l")) & (F.col("rep") == F.col("r")), "left").select("leader", "block", "rep", F.coalesce("level", F.lit(NEAR)).alias("level"))
-    targets = targets.join(pairs, ["leader", "block"]).where(f"nearest = {MIDDLE} or level <> {NEAR}").withColumn("side", F.lit(1))
-    columns = ["leader", "own", "block", "rep", "level", "side"]
-    asked = asking.select(columns).unionByName(targets.select(columns)).join(sets.select("rep", "n", "tokens"), "rep")
-
-    def across(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("level", "ascending"), ("n", "ascending")])
+        own = {"leader": np.full(len(ids) - 1, leader), "a": ids[1:], "b": link.sum(1)[1:], "n": n[1:], "kind": level[1:].astype(np.int32)}
+        return pa.concat_tables([links, pa.table(own).cast(links.schema)])
+
+    return cells.groupBy("leader", "block").applyInArrow(lambda key, t: block(t, key[0].as_py()), FOUND)
+
+
+def asked_sets(levels: list[DataFrame], stalled: list[DataFrame], label: DataFrame) -> DataFrame:
+    """part, leader, rep, n, side: sets (side 0) that are still to be compared with sets of side 1 of their part and leader.
+
+    levels: what ``compared`` tells of each round's sets; stalled: lists no two sets of which need be compared yet; label: the
+    components so far (node, component). Sets of one component are not asked about.
+    """
+    out = []
+    for part, rows in enumerate(levels):
+        rows = rows.join(label, F.col("rep") == F.col("node"), "left").select("leader", "rep", "n", "kind", F.coalesce("component", "rep").alias("c"))
+        led = rows.select("leader").distinct().join(label, F.col("leader") == F.col("node"), "left").select(F.col("leader").alias("l"), F.coalesce("component", "leader").alias("own"))
+        asking = rows.where(f"kind = {MIDDLE}").join(led, F.col("leader") == F.col("l")).where("c <> own")
+        out.append((part, asking, rows.where(f"kind = {NEAR}")))
+    for part, rows in enumerate(stalled, len(levels)):
+        rows = rows.join(label, F.col("rep") == F.col("node"), "left").select("leader", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        most = rows.groupBy("leader", "c").agg(F.count("*").alias("k")).groupBy(F.col("leader").alias("l")).agg(F.max_by("c", F.struct("k", "c")).alias("own"))
+        out.append((part, rows.join(most, F.col("leader") == F.col("l")).where("c <> own"), rows))
+    columns = lambda rows, part, side: rows.select(F.lit(part).alias("part"), "leader", "rep", "n", F.lit(side).alias("side"))
+    found = None
+    for part, asking, answering in out:
+        both = columns(asking, part, 0).unionByName(columns(answering.join(asking.select("leader").distinct(), "leader", "left_semi"), part, 1))
+        found = both if found is None else found.unionByName(both)
+    return found
+
+
+def across_links(asked: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the two sides of each part and leader. Sides are cut into a few blocks, and sets go to each block of the other side."""
+    size = asked.groupBy("part", "leader", "side").agg(F.count("*").alias("k"), F.sum("n").alias("total"))
+    per = F.least(F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("k") / SIDES)), F.lit(MAX_SIDE_SETS))
+    size = size.withColumn("blocks", F.greatest(F.ceil(F.col("k") / per), F.ceil(F.col("total") / BLOCK_TOKENS)))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("blocks")))
+    size = size.groupBy("part", "leader").agg(of(0).alias("ask"), of(1).alias("answer")).where("ask > 0 and answer > 0")
+    rows = asked.join(size, ["part", "leader"])
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
+    every = lambda blocks: F.explode(F.expr(f"sequence(0L, {blocks} - 1)"))
+    asking = rows.where("side = 0").select("part", "leader", "rep", "side", own("ask").alias("i"), every("answer").alias("j"))
+    answering = rows.where("side = 1").select("part", "leader", "rep", "side", every("ask").alias("i"), own("answer").alias("j"))
+    dealt = asking.unionByName(answering).join(sets.select("rep", "n", "tokens"), "rep")
+
+    def across(table: pa.Table, leader: int) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("n", "ascending")])
         ids, n, tokens = read_sets(table)
-        level, k = table["level"].to_numpy(), int((table["side"].to_numpy() == 0).sum())
+        k = int((table["side"].to_numpy() == 0).sum())
         link = np.zeros((len(ids), len(ids)), bool)
         if 0 < k < len(ids):
             link[:k, k:] = linked(derived(tokens, k)[:, k:], n[:k], n[k:], num, den)
-            link[:k, k:] &= ~((level[:k, None] == REMOTE) & (level[None, k:] == NEAR))  # which can't link
-        return out_links(forest(link | link.T, ids), [])
+        return out_links(forest(link | link.T, ids), leader)
+
+    return dealt.groupBy("part", "leader", "i", "j").applyInArrow(lambda key, t: across(t, key[1].as_py()), FOUND).select("a", "b")
 
-    return links.unionByName(asked.groupBy("leader", "own", "block").applyInArrow(lambda t: across(t), LINKS).select("a", "b")), [members, found, far]
+
+def jaccard_links(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that connect what is connected among different sets (rep, n, tokens), and the tables that they are read from."""
+    entries = written(prefix_entries(sets.select("rep", "n", "tokens"), num, den), "entries")
+    lists = written(index_lists(entries, num, den), "members")
+    forget(entries)
+    tables, levels, stalled, links = [lists], [], [], None
+    for turn in range(ROUNDS + 1):
+        found = written(compared(lists, sets, num, den), "links")
+        tables.append(found)
+        more = found.where(f"kind = {LINK}").select("a", "b")
+        links = more if links is None else links.unionByName(more)
+        far = found.where(f"kind > {NEAR}").select("leader", F.col("a").alias("rep"), F.col("b").alias("degree"), "n")
+        if not far.head(1):
+            break
+        levels.append(found.where(f"kind >= {NEAR}").select("leader", F.col("a").alias("rep"), "n", "kind"))
+        # the first leader is the list's smallest set, later ones are chosen, so only their links tell whether to go on
+        goes_on = F.lit(True) if turn == 0 else (F.col("near") * ONE_IN >= F.col("k")) & F.lit(turn < ROUNDS)
+        near = levels[-1].groupBy("leader").agg(F.count("*").alias("k"), F.count(F.when(F.col("kind") == NEAR, 1)).alias("near")).select(F.col("leader").alias("l"), goes_on.alias("goes_on"))
+        first = far.groupBy("leader").agg(F.max(F.struct("degree", (-F.col("rep")).alias("turned"))).alias("most")).join(near, F.col("leader") == F.col("l")).select("l", (-F.col("most.turned")).alias("head"), "goes_on")
+        far = far.join(first, F.col("leader") == F.col("l"))
+        stalled.append(far.where("not goes_on").select("leader", "rep", "n"))
+        lists = written(far.where("goes_on").select(F.col("head").alias("leader"), "rep", "n").distinct(), "members")
+        tables.append(lists)
+    if not levels:
+        return links, tables
+    label = written(components(links), "labels")
+    asked = written(asked_sets(levels, stalled[1:], label), "asked")
+    links = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return links.unionByName(across_links(asked, sets, num, den)) if asked.head(1) else links, [*tables, label, asked]
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", table: bytes = SPACES) -> DataFrame:

@@ -404,3 +404,43 @@ def test_fuzzy_passages_whose_words_were_first_seen_elsewhere(spark):
     assert set(pairs) >= want and all(d % 1000 >= 500 for d, _ in pairs)
     first = pairs[600, 500]
     assert (first["passage_start"], first["passage_end"]) == (40, 159)
+
+
+def edited(rng, first, count, *, center):
+    """Texts that differ from one text by a tenth, so from each other by more than links allow; a pair in each ten is alike but for a word."""
+    words = [f"g{first}w{i}" for i in range(140)]
+    rows = [(first, " ".join(words))] if center else []
+    for i in range(len(rows), count):
+        text = list(words)
+        for j, at in enumerate(rng.sample(range(140), rng.choice([9, 12, 15]))):
+            text[at] = f"n{first + i}w{j}"
+        rows.append((first + i, " ".join(text)) if i % 10 else (first + i, rows[-1][1] + " more" if rows else " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("center", [True, False])
+def test_lists_without_links_to_their_first_leader(spark, monkeypatch, center):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "SIDES", 3)
+    rng = random.Random(5)
+    rows = edited(rng, 1000, 90, center=center) + edited(rng, 2000, 40, center=not center)
+    got = jaccard.jaccard_classes(frame(spark, rows), 1, 80, 100).collect()
+    assert sorted(map(tuple, got)) == classes(rows, 1, 80, 100)
+
+
+def test_sets_read_grow_with_the_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    plain = jaccard.read_sets
+    read = []
+    for count in (150, 600):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counting(table, seen=seen, plain=plain):
+            seen.add(table.num_rows)
+            return plain(table)
+
+        monkeypatch.setattr(jaccard, "read_sets", counting)
+        rows = edited(random.Random(7), 1, count, center=True)
+        jaccard.jaccard_classes(frame(spark, rows), 1, 80, 100).write.format("noop").mode("overwrite").save()
+        read.append(seen.value)
+    assert read[0] >= 150 and read[1] <= 6 * read[0], read
