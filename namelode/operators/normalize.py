@@ -16,13 +16,14 @@ class InvalidDomain(ValueError):
 def normalize(rows: DataFrame, column: str = "raw", idna: bool = True) -> DataFrame:
     """Adds domain_exact, label, tld, len, has_hyphen and reject_reason (null for valid names).
 
-    Only names that are not ASCII go through Python; ASCII names are their own ASCII form. The name and its parts are
+    Only names that are not ASCII go through Python; ASCII names are their own ASCII form. They are gathered into as many partitions as
+    their size asks for first, for every task with a Python step holds a worker, whether it has rows or not. The name and its parts are
     generated, not projected: a later filter on them would else repeat their expressions many times over.
     """
     rows = rows.select("*", F.explode(F.array(F.lower(T.strip_dot(T.trim(F.col(column)))))).alias("domain_exact"))
     if idna:
         ascii_only = T.is_ascii(F.col("domain_exact"))
-        rows = rows.where(ascii_only | F.col("domain_exact").isNull()).unionByName(rows.where(~ascii_only).withColumn("domain_exact", to_ascii_column("domain_exact")))
+        rows = rows.where(ascii_only | F.col("domain_exact").isNull()).unionByName(rows.where(~ascii_only).hint("rebalance").withColumn("domain_exact", to_ascii_column("domain_exact")))
     domain = F.col("domain_exact")
     rows = rows.select("*", F.inline(F.array(F.struct(T.label_of(domain).alias("label"), T.tld_of(domain).alias("tld")))))
     label = F.col("label")

@@ -46,6 +46,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.build_docs(scanned(spark, sf_dir), fixtures.segmenter(spark, sf_dir), "seq")
 
 
+def docs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs as a table in the shared folder, for plans that read them several times."""
+    made, path = docs(spark, sf_dir), snapshot.scratch(spark)
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
     return I.index_of(docs(configure(spark), sf_dir))
 
@@ -307,7 +314,7 @@ def exact_lookup(spark, sf_dir):
 
 
 def changed(spark, sf_dir) -> tuple[DataFrame, Y.Delta]:
-    have = docs(spark, sf_dir)
+    have = docs_once(spark, sf_dir)
     adds, removes = fixtures.sync_lines(spark, have)
     return have, Y.delta(adds, removes, fixtures.segmenter(spark, sf_dir), fixtures.FIRST_ADDED)
 

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from namelode.operators.normalize import normalize
 from namelode.operators.segment import DictionarySegmenter, TableSegmenter, dictionary_segmenter
 from namelode.plans import catalog
 
@@ -110,3 +111,10 @@ def test_json_answers(spark):
         own["results"].append(row | {"tokens": row["tokens"].split(" ") if row["tokens"] else []})
     got = {r["qid"]: json.loads(r["body"]) for r in catalog.QUERIES["search_json"](spark, SMALL).collect()}
     assert got == hits and len(got) >= 5
+
+
+def test_names_in_ascii_take_no_python_tasks(spark):
+    names = spark.createDataFrame([("small.com",), ("MÜNCHEN.de",)], "raw string").repartition(16)
+    rows = normalize(names)
+    assert "RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["domain_exact"] for r in rows.collect()) == ["small.com", "xn--mnchen-3ya.de"]
