@@ -54,7 +54,7 @@ def docs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.index_of(docs(configure(spark), sf_dir))
+    return I.index_of(docs_once(configure(spark), sf_dir))
 
 
 def shown(rows: DataFrame) -> DataFrame:

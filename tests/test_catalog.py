@@ -118,3 +118,8 @@ def test_names_in_ascii_take_no_python_tasks(spark):
     rows = normalize(names)
     assert "RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["domain_exact"] for r in rows.collect()) == ["small.com", "xn--mnchen-3ya.de"]
+
+
+def test_searches_make_documents_once(spark):
+    read = catalog.QUERIES["rank_groups"](spark, SMALL).inputFiles()
+    assert read and not [f for f in read if "part.parquet" in f or "pages.parquet" in f]
